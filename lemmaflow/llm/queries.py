@@ -3,11 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lemmaflow.llm import bpe, leaks
+from lemmaflow.llm import bpe, chunks, frequencies, leaks
 from lemmaflow.runtime import spread, table
 
 
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with the limit and overlap of their options."""
+    docs = table(spark, d, "mystem_documents").select("mdoc_id", "original_text", "analysis_options_id")
+    options = table(spark, d, "analysis_options").select("analysis_options_id", "max_chunk_chars", "overlap_chars").dropDuplicates(["analysis_options_id"])
+    return spread(docs).join(options, "analysis_options_id", "left")
+
+
+_CHUNKED = ("mdoc_id", "original_text", "max_chunk_chars", "overlap_chars")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    cases = chunks.oversized_cases(_limited(spark, d), *_CHUNKED)
+    kinds = F.filter(F.array(F.when(F.col("oversized"), "oversized"), F.when(F.col("unbroken"), "unbroken")), lambda x: x.isNotNull())
+    return cases.select("mdoc_id", F.explode(kinds).alias("case_kind"))
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.split_texts(_limited(spark, d), *_CHUNKED)
+
+
+def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return frequencies.frequencies(spread(table(spark, d, "token_forms").select("form_id", "mdoc_id", "lemma", "form_text")), ["lemma", "form_text"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_frequencies(spark, d).where("mark is not null").select("field_name", "term", "mark")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -25,9 +54,32 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p6_found": p6_found,
+    "p6_frequencies": p6_frequencies,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_cleaned": p8_cleaned,
 }
-ORACLE: dict[str, str] = {}
+_P6 = """
+WITH once AS (SELECT DISTINCT form_id, mdoc_id, lemma, form_text FROM token_forms),
+t AS (SELECT 'lemma' AS field_name, lemma AS term, form_id, mdoc_id FROM once WHERE lemma <> ''
+  UNION ALL SELECT 'form_text', form_text, form_id, mdoc_id FROM once WHERE form_text <> ''),
+n AS (SELECT field_name, count(DISTINCT mdoc_id) AS total FROM t GROUP BY field_name),
+c AS (SELECT field_name, term, count(DISTINCT form_id) AS occurrences, count(DISTINCT mdoc_id) AS documents FROM t GROUP BY field_name, term),
+m AS (SELECT c.*, CASE WHEN documents = 1 THEN 'rare' WHEN documents > 0.2 * total THEN 'common' END AS mark FROM c JOIN n USING (field_name))
+"""
+ORACLE: dict[str, str] = {
+    "p1_found": r"""
+WITH o AS (SELECT DISTINCT d.mdoc_id, d.original_text AS t, coalesce(a.max_chunk_chars, 32768) AS lim FROM mystem_documents d LEFT JOIN analysis_options a USING (analysis_options_id) WHERE d.original_text IS NOT NULL),
+big AS (SELECT *, length(t) + length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units FROM o),
+over AS (SELECT * FROM big WHERE units > lim),
+runs AS (SELECT mdoc_id, lim, unnest(regexp_extract_all(t, '[^\pZ\pP\t\n\x0B\f\r]+')) AS r FROM over)
+SELECT mdoc_id, 'oversized' AS case_kind FROM over
+UNION ALL SELECT DISTINCT mdoc_id, 'unbroken' FROM runs WHERE length(r) + length(regexp_replace(r, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > lim
+""",
+    "p6_found": _P6 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
+    "p6_frequencies": _P6 + "SELECT field_name, term, occurrences, documents, mark FROM m",
+}
