@@ -42,8 +42,8 @@ def invisible() -> frozenset[int]:
 
 @cache
 def widths() -> dict[int, str]:
-    """Full- and half-width forms -> ordinary forms, and every blank but tabs and line ends -> a space."""
-    out = {}
+    """Full- and half-width forms and Latin ligatures -> ordinary forms; every blank but tabs and line ends -> a space."""
+    out = {cp: unicodedata.normalize("NFKC", chr(cp)) for cp in range(0xFB00, 0xFB07)}
     for cp in range(0x3000, 0x10000):
         kind = unicodedata.decomposition(chr(cp)).split()
         if kind and kind[0] in ("<wide>", "<narrow>"):
