@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaflow.llm import bpe, chunks, frequencies, leaks
-from lemmaflow.runtime import spread, table
+from lemmaflow.functions import lookalikes
+from lemmaflow.llm import bpe, canon, chunks, frequencies, leaks
+from lemmaflow.runtime import spread, staged, table
 
 
 def _limited(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +30,26 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunks.split_texts(_limited(spark, d), *_CHUNKED)
 
 
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text")
+    return forms.select("mdoc_id", "canonical_text", F.hex("look").alias("look")).dropDuplicates(["mdoc_id"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = staged(canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text").select("mdoc_id", "look", "exact"), "p4-forms")
+    pairs = canon.alike_pairs(texts, "mdoc_id").select(F.lit("original_text").alias("field_name"), "key_a", "key_b")
+    types = table(spark, d, "issue_types").select("type_no", "type_name")
+    names = F.explode(F.split("type_name", "[^A-Za-z]+")).alias("word")
+    issues = table(spark, d, "text_issues").select("issue_id", "issue_type").where("issue_type is not null").dropDuplicates(["issue_id"])
+    # spellings, not rows, are repaired: there are few of them and each may be frequent
+    spelled = issues.select(F.col("issue_type").alias("k"), "issue_type").distinct()
+    forms = canon.canonical(spelled, "k", "issue_type", vocabulary=types.select(names))
+    alike = forms.join(types, (F.col("canonical_text") == F.col("type_name")) & (F.col("k") != F.col("type_name"))).select(F.col("k").alias("issue_type"), "type_no")
+    odd = issues.join(F.broadcast(types), F.col("issue_type") == F.col("type_name"), "left_anti")
+    wrong = odd.join(alike, "issue_type").select(F.lit("issue_type").alias("field_name"), F.col("issue_id").alias("key_a"), F.col("type_no").alias("key_b"))
+    return pairs.unionByName(wrong)
+
+
 def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequencies.frequencies(spread(table(spark, d, "token_forms").select("form_id", "mdoc_id", "lemma", "form_text")), ["lemma", "form_text"])
 
@@ -56,6 +77,8 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
+    "p4_canonical": p4_canonical,
     "p6_found": p6_found,
     "p6_frequencies": p6_frequencies,
     "p7_ids": p7_ids,
@@ -71,6 +94,28 @@ n AS (SELECT field_name, count(DISTINCT mdoc_id) AS total FROM t GROUP BY field_
 c AS (SELECT field_name, term, count(DISTINCT form_id) AS occurrences, count(DISTINCT mdoc_id) AS documents FROM t GROUP BY field_name, term),
 m AS (SELECT c.*, CASE WHEN documents = 1 THEN 'rare' WHEN documents > 0.2 * total THEN 'common' END AS mark FROM c JOIN n USING (field_name))
 """
+
+
+def _p4_sql() -> str:
+    """A plainer comparison: every look-alike folded everywhere."""
+    joined = {chr(k): v for k, v in lookalikes.widths().items() if len(v) > 1}
+    one = {chr(k): v for k, v in lookalikes.widths().items() if v != " " and len(v) == 1} | lookalikes.to_latin()
+    quoted = lambda x: x.replace("'", "''")
+    gone = "".join(f"\\x{{{cp:X}}}" for cp in sorted(lookalikes.invisible()) if cp < 0xE000 or cp > 0xF8FF)
+    column = "@@"
+    for c, v in joined.items():
+        column = f"replace({column}, '{c}', '{v}')"
+    form = f"nfc_normalize({column}), '[{gone}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')"
+    form = f"trim(regexp_replace(nfc_normalize(translate(regexp_replace(regexp_replace({form}, '{quoted(''.join(one))}', '{quoted(''.join(one.values()))}')), '\\r\\n?', chr(10), 'g'), ' ' || chr(10) || chr(9))"
+    return f"""
+WITH d AS (SELECT DISTINCT mdoc_id, original_text AS t FROM mystem_documents WHERE original_text IS NOT NULL),
+f AS (SELECT mdoc_id, t, {form.replace("@@", "t")} AS form FROM d),
+i AS (SELECT DISTINCT issue_id, issue_type AS t FROM text_issues WHERE issue_type IS NOT NULL AND issue_type NOT IN (SELECT type_name FROM issue_types))
+SELECT 'original_text' AS field_name, a.mdoc_id AS key_a, b.mdoc_id AS key_b FROM f a JOIN f b ON a.form = b.form AND a.mdoc_id < b.mdoc_id AND a.t <> b.t WHERE a.form <> ''
+UNION ALL SELECT 'issue_type', issue_id, type_no FROM i JOIN issue_types ON {form.replace("@@", "i.t")} = type_name
+"""
+
+
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH o AS (SELECT DISTINCT d.mdoc_id, d.original_text AS t, coalesce(a.max_chunk_chars, 32768) AS lim FROM mystem_documents d LEFT JOIN analysis_options a USING (analysis_options_id) WHERE d.original_text IS NOT NULL),
@@ -80,6 +125,7 @@ runs AS (SELECT mdoc_id, lim, unnest(regexp_extract_all(t, '[^\pZ\pP\t\n\x0B\f\r
 SELECT mdoc_id, 'oversized' AS case_kind FROM over
 UNION ALL SELECT DISTINCT mdoc_id, 'unbroken' FROM runs WHERE length(r) + length(regexp_replace(r, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > lim
 """,
+    "p4_found": _p4_sql(),
     "p6_found": _P6 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_frequencies": _P6 + "SELECT field_name, term, occurrences, documents, mark FROM m",
 }
