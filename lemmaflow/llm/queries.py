@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import lookalikes
-from lemmaflow.llm import bpe, canon, chunks, frequencies, leaks
+from lemmaflow.llm import bpe, canon, chunks, frequencies, leaks, mojibake
 from lemmaflow.runtime import spread, staged, table
 
 
@@ -50,6 +50,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.unionByName(wrong)
 
 
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text", "mystem_options_id"))
+    options = table(spark, d, "mystem_options").select("mystem_options_id", "encoding").dropDuplicates(["mystem_options_id"])
+    return mojibake.repair_encodings(docs.join(options, "mystem_options_id", "left"), "mdoc_id", "original_text", "encoding")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_restored(spark, d).select("mdoc_id", F.when(F.col("lost"), "lost").otherwise(F.md5("restored")).alias("restored_md5"))
+
+
 def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequencies.frequencies(spread(table(spark, d, "token_forms").select("form_id", "mdoc_id", "lemma", "form_text")), ["lemma", "form_text"])
 
@@ -79,6 +89,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p6_found": p6_found,
     "p6_frequencies": p6_frequencies,
     "p7_ids": p7_ids,
