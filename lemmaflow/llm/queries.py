@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import lookalikes
-from lemmaflow.llm import bpe, canon, chunks, frequencies, leaks, mojibake
+from lemmaflow.llm import bpe, canon, chunks, frequencies, leaks, mojibake, sentences
 from lemmaflow.runtime import spread, staged, table
 
 
@@ -84,6 +84,10 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -97,6 +101,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_cleaned": p8_cleaned,
+    "p9_found": p9_found,
 }
 _P6 = """
 WITH once AS (SELECT DISTINCT form_id, mdoc_id, lemma, form_text FROM token_forms),
