@@ -13,7 +13,7 @@ LINE_BREAKS = "\\r\\n"
 CONTROL_MESSAGE = "Control character replaced with space"
 LINE_MESSAGE = "Line separator replaced with space for JSON-line protocol"
 NONCHARACTER_MESSAGE = "Unicode noncharacter replaced with space"
-UNMATCHED_MESSAGE = "Could not align MyStem token to original text: "
+UNMATCHED_MESSAGE = "Could not align token to original text: "
 
 
 def utf16_length(text: Column) -> Column:

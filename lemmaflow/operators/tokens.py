@@ -32,7 +32,7 @@ CURRENCY_FORMS = {
     "元": "юань yuan cny",
 }
 # Stress marks that forms are freed of.
-STRESS = re.compile("[́́]")
+STRESS = re.compile("[\u0301\u0341]")
 
 _EMAIL = regex.compile(r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)+")
 _EMAIL_MARKS = re.compile(r"[._%+\-]+")
