@@ -21,7 +21,7 @@ def term_query(postings: DataFrame, term: str, key: str = "doc_id") -> DataFrame
 def pattern_query(postings: DataFrame, pattern: str, key: str = "doc_id") -> DataFrame:
     """Documents with a term that fits a pattern of ``*`` and ``?``; the pattern is only made small."""
     like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
-    return postings.where(F.col("term").like(normalize_term(F.lit(like)))).select(key).distinct()
+    return postings.where(F.like(F.col("term"), normalize_term(F.lit(like)))).select(key).distinct()
 
 
 def analyzed_query(postings: DataFrame, queries: DataFrame, query_key: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -43,9 +43,9 @@ def phrase_query(postings: DataFrame, terms: list[str], distances: list[int] | N
         raise ValueError("one distance for each term")
     if not terms:
         return postings.select(key).limit(0)
-    parts = F.filter(F.array(*[F.when(F.col("term") == t, F.struct(F.lit(n).alias("part"), (F.col("position") - d).alias("begin"))) for n, (t, d) in enumerate(zip(terms, steps))]), lambda x: x.isNotNull())
+    parts = F.filter(F.array(*[F.when(F.col("term") == t, F.struct(F.lit(1 << n).cast("long").alias("part"), (F.col("position") - d).alias("begin"))) for n, (t, d) in enumerate(zip(terms, steps))]), lambda x: x.isNotNull())
     hits = postings.where(F.col("term").isin(*terms)).select(key, F.explode(parts).alias("x")).select(key, "x.part", "x.begin")
-    whole = hits.groupBy(key, "begin").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("part"))).alias("seen"))
+    whole = hits.groupBy(key, "begin").agg(F.bit_or("part").alias("seen"))
     return whole.where(F.col("seen") == (1 << len(terms)) - 1).select(key).distinct()
 
 

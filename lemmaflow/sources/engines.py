@@ -68,7 +68,8 @@ class DictionaryEngine:
 
     The words of all documents meet the dictionary in a join on the word, which Spark carries out by
     size; each distinct word of a document is joined once. Homonyms give several analyses, in the order
-    of their lemmas.
+    of their lemmas. Words that the dictionary lacks are answered without an analysis, so that every
+    answer aligns with its own place.
     """
 
     profile, format = ExecutionProfile.UNKNOWN, OutputFormat.JSON
@@ -81,10 +82,9 @@ class DictionaryEngine:
         words = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)))).alias("word"))
         entries = self.dictionary.groupBy("w").agg(F.array_sort(F.collect_list("lemma")).alias("lemmas"))
         known = words.join(entries, F.lower("word") == F.col("w")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemmas"))).alias("known"))
-        item = lambda w: F.struct(w.alias("text"), F.transform(F.try_element_at(F.col("known"), w), lambda x: F.struct(x.alias("lex"))).alias("analysis"))
-        tokens = F.transform(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)), item)
-        # only words that the dictionary knows are answered; the others are gaps
-        answer = F.to_json(F.filter(tokens, lambda x: x["analysis"].isNotNull()))
+        lemmas = lambda w: F.coalesce(F.try_element_at(F.col("known"), w), F.array().cast("array<string>"))
+        item = lambda w: F.struct(w.alias("text"), F.transform(lemmas(w), lambda x: F.struct(x.alias("lex"))).alias("analysis"))
+        answer = F.to_json(F.transform(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)), item))
         joined = df.join(known.withColumnRenamed("k", "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
         whole = F.array(F.struct(F.lit(0).alias("at"), F.length(text).alias("n"), answer.alias("json")))
         return joined.withColumn("answers", F.when(F.col("known").isNotNull(), whole).cast(ANSWERS)).drop("known")
