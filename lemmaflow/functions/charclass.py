@@ -86,3 +86,11 @@ def gap_pattern(classify_currencies: bool, inside=python_class) -> str:
     """One alternation that cuts any text into gap tokens without remainder."""
     money = f"|[{inside('C')}]" if classify_currencies else ""
     return f"://|@{money}|[{inside('S')}]+|[{inside('N')}]+|[{inside('W')}]+|(?s:.)"
+
+
+@cache
+def java_class(name: str) -> str:
+    """For the JVM only: whole categories first, which are quick to test, then what else belongs."""
+    wide = {"W": ("L", "Nd"), "N": ("Nd",), "S": (), "C": ("Sc",)}[name]
+    rest = {cp for cp in members(name) if not unicodedata.category(chr(cp)).startswith(wide)} if wide else members(name)
+    return "".join(f"\\p{{{c}}}" for c in wide) + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges(frozenset(rest)))

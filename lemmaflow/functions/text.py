@@ -39,7 +39,7 @@ def prepare(text: Column, json_line: bool = False) -> Column:
 
 
 def preparation_issues(text: Column, json_line: bool = False) -> Column:
-    """ARRAY<STRUCT<type, message, offset, length>> of what prepare() replaces; offsets in UTF-16 units."""
+    """ARRAY<STRUCT<type, message, offset, length>> of what prepare() replaces; null for null; offsets in UTF-16 units."""
     found = F.regexp_extract_all(text, F.lit(_unsafe(json_line)), F.lit(0))
     between = F.transform(F.split(text, _unsafe(json_line), -1), utf16_length)
     lengths = F.transform(found, utf16_length)
@@ -54,7 +54,8 @@ def preparation_issues(text: Column, json_line: bool = False) -> Column:
         F.arrays_zip(found.alias("c"), offsets.alias("o"), lengths.alias("n")),
         lambda x: F.struct(kind(x["c"]).alias("type"), message(x["c"]).alias("message"), x["o"].alias("offset"), x["n"].alias("length")),
     )
-    return F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<struct<type:string,message:string,offset:int,length:int>>"))
+    none = F.array().cast("array<struct<type:string,message:string,offset:int,length:int>>")
+    return F.when(F.size(found) > 0, each).when(text.isNotNull(), none)
 
 
 def prepare_utf16(data: bytes) -> tuple[str, list[tuple[str, str, int, int]]]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions, LemmaflowError
-from lemmaflow.functions.charclass import hex_class
+from lemmaflow.functions.charclass import java_class
 from lemmaflow.operators.analyze import ANSWERS, preparation_issues, reader_chunks
 from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, ExecutionProfile, Limits, OutputFormat, PoolOptions
 from lemmaflow.runtime import arrow_batch, arrow_schema
@@ -78,7 +78,7 @@ class DictionaryEngine:
         self.dictionary = dictionary.select(F.lower(word).alias("w"), F.col(lemma).alias("lemma")).where("w <> '' and lemma <> ''").distinct()
 
     def attach(self, df: DataFrame, key: str, text: str, options: AnalysisOptions) -> DataFrame:
-        run = f"[{hex_class('W')}]+"
+        run = f"[{java_class('W')}]+"
         words = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)))).alias("word"))
         entries = self.dictionary.groupBy("w").agg(F.array_sort(F.collect_list("lemma")).alias("lemmas"))
         known = words.join(entries, F.lower("word") == F.col("w")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemmas"))).alias("known"))

@@ -9,23 +9,16 @@ from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions
 from lemmaflow.options import Encoding
+from lemmaflow.runtime import map_rows
 
 
 def read_files(spark: SparkSession, path: str, encoding: Encoding = Encoding.UTF_8) -> DataFrame:
     """(path, text): one row per file, decoded on the executors."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    # The JVM's names of the encodings.
-    charset = {"cp866": "IBM866", "cp1251": "windows-1251", "koi8-r": "KOI8-R", "utf-8": "UTF-8"}[str(encoding)]
-    if charset == "UTF-8":
+    if encoding == Encoding.UTF_8:
         return files.select("path", F.decode("content", "UTF-8").alias("text"))
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decoded(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: b.decode(str(encoding).replace("-", "_"), "replace"))
-
-    return files.select("path", decoded("content").alias("text"))
+    codec = str(encoding)
+    return map_rows(files, "path string, text string", lambda x: [(x["path"], bytes(x["content"]).decode(codec, "replace"))])
 
 
 def write_files(df: DataFrame, path: str, source: str | None = None, format: str = "parquet") -> None:
