@@ -8,8 +8,8 @@ over the stitched tables, which holds one window of them at a time, emits the pi
 Rules: lengths and offsets are UTF-16 units. A piece is at most the limit long, unless the limit is 1 and
 the character takes 2. Cuts prefer the highest rank in the later half of a piece (blank line, sentence
 end, line end, white space, punctuation), else the last natural cut that makes progress, else the limit;
-never inside a character. Consecutive pieces share exactly the overlap (one more where it would cut a
-character; at most the limit less one). A null, empty or blank text is never oversized for being blank;
+never inside a character. Consecutive pieces share exactly the overlap (one more, or one less if only
+that goes on, where it would cut a character; at most the limit less one). A null, empty or blank text is never oversized for being blank;
 texts within the limit have no pieces. A limit of null is the default with its own overlap kept; a limit
 under 1 counts as 1, a null or negative overlap as 0.
 """
@@ -110,7 +110,7 @@ class _Walk:
             yield self._emit(s, cut)
             nxt = cut - self.overlap
             if self._inside(nxt):
-                nxt -= 1
+                nxt += -1 if nxt - 1 > s else 1
             self.start = nxt if nxt > s else cut
             drop = bisect_left(self.cuts, self.start)
             del self.cuts[:drop], self.ranks[:drop]

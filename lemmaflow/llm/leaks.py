@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -239,11 +240,18 @@ def remove_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return _each_block(docs, items, item_key, item_text, "k bigint, clean_text string, removed_words bigint", rows, least).withColumnRenamed("k", key)
 
 
+@cache
+def _pieces() -> re.Pattern:
+    """A character with the marks that join it, invisible characters between them or not."""
+    hidden = "".join(f"\\U{cp:08x}" for cp in sorted(invisible()) if not 0xD800 <= cp < 0xE000)
+    return re.compile(f"(?s).(?:[{hidden}]*[\u0300-\u036f\u0483-\u0487])*")
+
+
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Code-point spans in ``text`` of the words that words() gives, in the same order."""
     out, hidden, open_at = [], invisible(), None
     pieces: list[tuple[int, int, str]] = []
-    for m in re.finditer(r"(?s).[̀-ͯ҃-҇]*", text):
+    for m in _pieces().finditer(text):
         pieces.append((m.start(), m.end(), normalised(m.group())))
     for a, b, n in pieces:
         if not n and all(ord(c) in hidden for c in text[a:b]):
