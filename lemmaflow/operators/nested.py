@@ -82,7 +82,8 @@ class Index:
             escaped = np.zeros(len(buf), bool)
         quote = (buf == 34) & ~escaped
         seen = np.cumsum(quote)
-        rec = np.searchsorted(self.ends, at)
+        self._quote_at = np.flatnonzero(quote)
+        rec = np.repeat(np.arange(n), sizes + 1)
         base = np.where(self.starts > 0, seen[np.maximum(self.starts - 1, 0)], 0)
         inside = ((seen - base[rec]) & 1).astype(bool)
         good = ((seen[self.ends] - base) & 1) == 0
@@ -131,7 +132,6 @@ class Index:
         # the container around a bracket: that of the latest opening bracket one level up
         self.up = np.full(len(pos), -1, np.int64)
         opens = np.flatnonzero(kind <= _LS)
-        key_open = (prec[opens], depth[opens], opens)
         if len(opens):
             big = int(depth.max()) + 2 if len(depth) else 2
             code = prec * big + np.maximum(depth, 0)
@@ -145,7 +145,6 @@ class Index:
                 hit = np.maximum(k, 0)
                 fits = (k >= 0) & (sorted_code[hit] == code[group] - 1) & (depth[group] > 1)
                 self.up[group] = np.where(fits, sorted_open[hit], -1)
-        del key_open
         good &= self._grammar(n, quote, seen, inside, first, last)
         self.good = good
 
@@ -173,6 +172,7 @@ class Index:
         same = seq_rec[a] == seq_rec[b]
         lo, hi = seq_pos[a], seq_pos[b] - 1
         zs, zp = np.concatenate([[0], seen]), np.concatenate([[0], plains])
+        self._quotes, self._plains = zs, zp
         strings = (zs[np.maximum(hi, -1) + 1] - zs[lo + 1]) // 2
         others = zp[hi + 1] - zp[lo + 1]
         gap = np.where(strings == 0, np.where(others == 0, 0, 2), np.where((strings == 1) & (others == 0), 1, 3))
@@ -186,64 +186,82 @@ class Index:
         bad[np.unique(seq_rec[a][~ok])] = True
         return ~bad
 
-    def fields(self, names: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(object, name's number, value's first byte) of the named fields, the last of repeated ones only."""
+    def _blank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether only white space lies between the structural bytes numbered ``a`` and ``b``."""
+        lo, hi = self.pos[a] + 1, self.pos[b]
+        return (self._quotes[lo] == self._quotes[hi]) & (self._plains[lo] == self._plains[hi])
+
+    def fields(self, names: list[bytes]) -> list[dict[str, np.ndarray]]:
+        """For each name: objects that have the field, and the colon before its value; of repeats the last."""
         colon = np.flatnonzero((self.kind == _COLON) & self.good[self.rec])
-        prev = self.pos[colon - 1]
-        code = np.full(len(colon), -1, np.int64)
-        for i, (lo, hi) in enumerate(zip(prev.tolist(), self.pos[colon].tolist())):
-            word = self.raw[lo + 1 : hi].strip(b" \t\r\n")[1:-1]
-            if b"\\" in word:
-                word = json.loads(b'"' + word + b'"').encode("utf-8", "surrogatepass")
-            code[i] = names.get(word, -1)
-        keep = code >= 0
-        obj, code, at = self.own[colon[keep]], code[keep], colon[keep]
-        order = np.lexsort((at, code, obj))
-        obj, code, at = obj[order], code[order], at[order]
-        final = np.ones(len(obj), bool)
-        final[:-1] = (obj[1:] != obj[:-1]) | (code[1:] != code[:-1])
-        return obj[final], code[final], at[final]
+        # the key lies between the last two quotes before the colon
+        end = self._quote_at[self._quotes[self.pos[colon]] - 1] if len(colon) else colon
+        start = self._quote_at[self._quotes[self.pos[colon]] - 2] + 1 if len(colon) else colon
+        size, owner = end - start, self.own[colon]
+        slashes = np.concatenate([[0], np.cumsum(self.buf == 92)])
+        odd = np.flatnonzero(slashes[end] > slashes[start]) if len(colon) else colon
+        spelled = {int(n): json.loads(b'"' + self.raw[start[n] : end[n]] + b'"').encode("utf-8", "surrogatepass") for n in odd}
+        out = []
+        for name in names:
+            fits = np.flatnonzero(size == len(name))
+            if len(fits):
+                same = (self.buf[start[fits, None] + np.arange(len(name))] == np.frombuffer(name, np.uint8)).all(axis=1)
+                fits = fits[same]
+            fits = np.union1d(fits, [n for n, word in spelled.items() if word == name]).astype(np.int64)
+            if spelled:
+                fits = fits[[spelled.get(int(n), name) == name for n in fits]]
+            obj, at = owner[fits], colon[fits]
+            order = np.lexsort((at, obj))
+            obj, at = obj[order], at[order]
+            final = np.ones(len(obj), bool)
+            final[:-1] = obj[1:] != obj[:-1]
+            out.append({"obj": obj[final], "colon": at[final]})
+        return out
 
     def container_of(self, colon: np.ndarray) -> np.ndarray:
         """The bracket that opens the value behind each colon, or -1 for a scalar."""
         nxt = np.minimum(colon + 1, len(self.pos) - 1)
-        empty = np.fromiter((not self.raw[a + 1 : b].strip() for a, b in zip(self.pos[colon].tolist(), self.pos[nxt].tolist())), bool, len(colon))
-        return np.where(empty & (self.kind[nxt] <= _LS), nxt, -1)
+        return np.where((self.kind[nxt] <= _LS) & self._blank(colon, nxt), nxt, -1) if len(colon) else colon
 
     def scalar_at(self, colon: int) -> str | float | bool | None:
         """The scalar behind a colon; None for a container."""
+        if self.kind[colon + 1] <= _LS:
+            return None
         text = self.raw[self.pos[colon] + 1 : self.pos[colon + 1]].strip()
         return json.loads(text) if text else None
 
     def elements(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into lists, position, opening bracket or -1) of each element; -1 in lists has none."""
-        out_i, out_p, out_c = [], [], []
-        kind = self.kind
-        for i, c in enumerate(lists.tolist()):
-            if c < 0:
-                continue
-            if kind[c] == _LB:
-                out_i.append(i), out_p.append(0), out_c.append(c)
-                continue
-            end = self._closing[c]
-            if end == c + 1 and not self.raw[self.pos[c] + 1 : self.pos[end]].strip():
-                continue
-            k, p = c, 0
-            while True:  # walks only over this list's own commas and children
-                nxt = k + 1
-                if kind[nxt] <= _LS:
-                    out_i.append(i), out_p.append(p), out_c.append(nxt if kind[nxt] == _LB else -1)
-                    k = self._closing[nxt] + 1
-                else:
-                    out_i.append(i), out_p.append(p), out_c.append(-1)
-                    k = nxt
-                if kind[k] != _COMMA:
-                    break
-                p += 1
-        return np.array(out_i, np.int64), np.array(out_p, np.int64), np.array(out_c, np.int64)
-
-
-_NAMES = {b"tokens": 0, b"analyses": 1, b"grammar": 2, b"variants": 3, b"text": 4, b"start": 5, b"end": 6, b"lemma": 7, b"weight": 8, b"raw": 9, b"pos": 10, b"common": 11, b"grammemes": 12}
+        kind, none = self.kind, np.empty(0, np.int64)
+        which = np.full(len(kind) + 1, -1, np.int64)  # the last place stands for no container
+        held = np.flatnonzero(lists >= 0)
+        bare = held[kind[lists[held]] == _LB]
+        real = held[kind[lists[held]] == _LS]
+        which[lists[real]] = real
+        of = np.where(kind == _COMMA, which[self.own], np.where(kind <= _LS, which[self.up], -1)) if len(kind) else none
+        inner = np.flatnonzero(of >= 0)
+        inner = inner[np.argsort(of[inner], kind="stable")]
+        group, comma = of[inner], kind[inner] == _COMMA
+        commas = np.bincount(group[comma], minlength=len(lists)) if len(lists) else none
+        # an element's position is the number of its list's commas before it
+        before = np.cumsum(comma) - comma
+        first = np.searchsorted(group, group)
+        place = before - before[first] if len(inner) else none
+        full = np.zeros(len(lists), bool)
+        full[real] = ~((self._closing[lists[real]] == lists[real] + 1) & self._blank(lists[real], np.maximum(self._closing[lists[real]], 0)))
+        count = np.where(full, commas + 1, 0)
+        count[bare] = 1
+        offset = np.cumsum(count) - count
+        index = np.repeat(np.arange(len(lists)), count)
+        position = np.arange(len(index)) - offset[index]
+        opening = np.full(len(index), -1, np.int64)
+        opening[offset[bare]] = lists[bare]
+        child = np.flatnonzero(~comma & (kind[inner] == _LB))
+        opening[offset[group[child]] + place[child]] = inner[child]
+        return index, position, opening
+
+
+_NAMES = [b"tokens", b"analyses", b"grammar", b"variants", b"text", b"start", b"end", b"lemma", b"weight", b"raw", b"pos", b"common", b"grammemes"]
 LEVELS = {
     "records": "rec_id bigint, n_tokens bigint",
     "tokens": "rec_id bigint, token_pos bigint, text string, start_offset bigint, end_offset bigint",
@@ -267,20 +285,22 @@ def _number(x, cast):
 def flatten_batch(ids: list[int], bodies: list[bytes], level: str) -> dict[str, list]:
     """Rows of one level (see LEVELS) of the records of a batch."""
     ix = Index(bodies)
-    obj, code, colon = ix.fields(_NAMES)
-    value = ix.container_of(colon)
-    at = {(o, c): (k, v) for o, c, k, v in zip(obj.tolist(), code.tolist(), colon.tolist(), value.tolist())}
-    none = (None, -1)
+    found = ix.fields(_NAMES[:4] if level in ("paths", "records") else _NAMES)
+    at = [dict(zip(f["obj"].tolist(), f["colon"].tolist())) if n > 3 else {} for n, f in enumerate(found)]
 
     def lists(objects: np.ndarray, name: int) -> np.ndarray:
-        return np.fromiter((at.get((o, name), none)[1] if o >= 0 else -1 for o in objects.tolist()), np.int64, len(objects))
+        """The container in a field of each object, or -1."""
+        value = np.full(len(ix.kind) + 1, -1, np.int64)  # the last place stands for no object
+        value[found[name]["obj"]] = ix.container_of(found[name]["colon"])
+        return value[objects]
 
     def scalar(o: int, name: int):
-        k, v = at.get((o, name), none)
-        return ix.scalar_at(k) if k is not None and v < 0 else None
+        k = at[name].get(o)
+        return ix.scalar_at(k) if k is not None else None
 
     def strings(o: int, name: int) -> list[str]:
-        k, v = at.get((o, name), none)
+        k = at[name].get(o)
+        v = -1 if k is None else int(ix.container_of(np.array([k]))[0])
         if v < 0:
             return [] if k is None or ix.scalar_at(k) is None else [_string(ix.scalar_at(k))]
         text = ix.raw[ix.pos[v] : ix.pos[ix._closing[v]] + 1]
