@@ -19,12 +19,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.charclass import ranges
 from lemmaflow.functions.lookalikes import plain_table, to_latin, to_script
 from lemmaflow.runtime import arrow_batch, arrow_schema, staged
 
@@ -33,10 +34,23 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ҃-҇]+[^\W\d_]*)*")
 _HAS = (re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[Ѐ-ԯ]"), re.compile(r"[Ͱ-Ͽἀ-῿]"))
 
 
+def _class(points) -> re.Pattern:
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges(frozenset(points))) + "]")
+
+
+@cache
+def _special() -> re.Pattern:
+    """Any character that plain() changes."""
+    return _class(cp for cp in {*plain_table(), 13} - {32} if not 0xD800 <= cp < 0xE000)
+
+
 def plain(text: str) -> str:
     """Composed, with unified widths and blanks and without invisible characters."""
-    out = unicodedata.normalize("NFC", text).translate(plain_table()).replace("\r\n", "\n").replace("\r", "\n")
-    return unicodedata.normalize("NFC", out).strip()
+    out = unicodedata.normalize("NFC", text)
+    if _special().search(out):  # most texts have nothing to change, and searching is quick
+        out = out.translate(plain_table()).replace("\r\n", "\n").replace("\r", "\n")
+        out = unicodedata.normalize("NFC", out)
+    return out.strip()
 
 
 @lru_cache(1 << 14)
@@ -58,6 +72,12 @@ def _in_doubt(c: str) -> bool:
     return unicodedata.normalize("NFD", c)[0] in _doubled()
 
 
+@cache
+def _doubt() -> re.Pattern:
+    """Any letter in doubt, in the blocks of the three scripts."""
+    return _class(cp for low, high in ((0x41, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for cp in range(low, high) if _in_doubt(chr(cp)))
+
+
 def _certain(text: str) -> Counter:
     return Counter(s for c in text if c.isalpha() and (s := _script(c)) and not _in_doubt(c))
 
@@ -95,7 +115,7 @@ def repairs(text: str) -> dict[str, str]:
     main = None
     out: dict[str, str] = {}
     for token in set(_TOKEN.findall(text)):
-        if not any(map(_in_doubt, token)):
+        if not _doubt().search(token):
             continue
         own = _certain(token)
         target = _foremost(own)
@@ -112,7 +132,7 @@ def repairs(text: str) -> dict[str, str]:
 
 def clean_words(text: str, doubtful: dict[str, str]) -> set[str]:
     """Tokens of a plain text that need no repair and could be the result of one."""
-    return {t for t in set(_TOKEN.findall(text)) if t not in doubtful and any(map(_in_doubt, t))}
+    return {t for t in set(_TOKEN.findall(text)) if t not in doubtful and _doubt().search(t)}
 
 
 def rewritten(text: str, change: dict[str, str]) -> str:
@@ -142,22 +162,20 @@ def canonical(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None =
 
         return source.mapInArrow(run, ddl)
 
-    def doubtful_rows(batch):
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = repairs(plain(t))
-            if found:
-                yield k, list(found.values())
-
-    def word_rows(batch):
+    def first_rows(batch):
+        # one reading of the texts gives both the repairs they need and the words that may confirm repairs
         words: set[str] = set()
-        for t in batch.column(0).to_pylist():
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             p = plain(t)
-            words |= clean_words(p, repairs(p))
-        return ((w,) for w in words)
+            found = repairs(p)
+            words |= clean_words(p, found)
+            if found:
+                yield k, list(found.values()), None
+        yield from ((None, None, w) for w in words)
 
-    doubtful = staged(over(docs, f"k {kind}, candidates array<string>", doubtful_rows).dropDuplicates(["k"]), "canon-doubtful")
-    candidates = doubtful.select("k", F.explode("candidates").alias("word"))
-    words = over(docs.select("t"), "word string", word_rows)
+    first = staged(over(docs, f"k {kind}, candidates array<string>, word string", first_rows), "canon-words")
+    candidates = first.where("k is not null").dropDuplicates(["k"]).select("k", F.explode("candidates").alias("word"))
+    words = first.where("word is not null").select("word")
     if vocabulary is not None:
         words = words.unionByName(vocabulary.select("word"))
     confirmed = candidates.select("word").distinct().join(words.distinct(), "word", "left_semi")
