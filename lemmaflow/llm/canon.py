@@ -78,8 +78,20 @@ def _doubt() -> re.Pattern:
     return _class(cp for low, high in ((0x41, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for cp in range(low, high) if _in_doubt(chr(cp)))
 
 
+@cache
+def _certain_letters() -> dict[str, re.Pattern]:
+    """Runs of the letters of each script that no other script has a double of."""
+    blocks = [cp for low, high in ((0x41, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for cp in range(low, high) if chr(cp).isalpha() and not _in_doubt(chr(cp))]
+    return {s: re.compile(_class(cp for cp in blocks if _script(chr(cp)) == s).pattern + "+") for s in _SCRIPTS}
+
+
 def _certain(text: str) -> Counter:
-    return Counter(s for c in text if c.isalpha() and (s := _script(c)) and not _in_doubt(c))
+    return Counter({s: sum(map(len, found)) for s, p in _certain_letters().items() if (found := p.findall(text))})
+
+
+@lru_cache(1 << 17)
+def _own_script(token: str) -> str:
+    return _foremost(_certain(token))
 
 
 def _foremost(counts: Counter) -> str:
@@ -90,6 +102,7 @@ def _foremost(counts: Counter) -> str:
     return best[0] if len(best) == 1 else ""
 
 
+@lru_cache(1 << 17)
 def repair(token: str, script: str) -> str:
     """``token`` with its look-alikes of other scripts replaced by their doubles in ``script``."""
     doubles = to_script(script)
@@ -117,8 +130,7 @@ def repairs(text: str) -> dict[str, str]:
     for token in set(_TOKEN.findall(text)):
         if not _doubt().search(token):
             continue
-        own = _certain(token)
-        target = _foremost(own)
+        target = _own_script(token)
         if not target:
             if main is None:
                 main = _foremost(_certain(text)) or _foremost(Counter(s for c in text if (s := _script(c))))
