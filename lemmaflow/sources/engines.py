@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions, LemmaflowError
-from lemmaflow.functions.charclass import java_class
+from lemmaflow.functions.charclass import java_class, python_class
 from lemmaflow.operators.analyze import ANSWERS, preparation_issues, reader_chunks
 from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, ExecutionProfile, Limits, OutputFormat, PoolOptions
-from lemmaflow.runtime import arrow_batch, arrow_schema
+from lemmaflow.runtime import arrow_batch
 
 
 class Engine(Protocol):
@@ -81,13 +81,42 @@ class DictionaryEngine:
         run = f"[{java_class('W')}]+"
         words = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)))).alias("word"))
         entries = self.dictionary.groupBy("w").agg(F.array_sort(F.collect_list("lemma")).alias("lemmas"))
-        known = words.join(entries, F.lower("word") == F.col("w")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemmas"))).alias("known"))
-        lemmas = lambda w: F.coalesce(F.try_element_at(F.col("known"), w), F.array().cast("array<string>"))
-        item = lambda w: F.struct(w.alias("text"), F.transform(lemmas(w), lambda x: F.struct(x.alias("lex"))).alias("analysis"))
-        answer = F.to_json(F.transform(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)), item))
+        known = words.join(entries, F.lower("word") == F.col("w")).groupBy("k").agg(F.collect_list(F.struct("word", "lemmas")).alias("_known"))
         joined = df.join(known.withColumnRenamed("k", "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
-        whole = F.array(F.struct(F.lit(0).alias("at"), F.length(text).alias("n"), answer.alias("json")))
-        return joined.withColumn("answers", F.when(F.col("known").isNotNull(), whole).cast(ANSWERS)).drop("known")
+        names = [c for c in df.columns if c != "answers"]
+        out_schema = _with_answers(df.select(*names))
+        arrow, at = _to_arrow(out_schema), names.index(text)
+        pattern = f"[{python_class('W')}]+"
+
+        def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import json
+            import re
+
+            word = re.compile(pattern)
+            for batch in batches:
+                answers = []
+                for t, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                    if t is None or not found:
+                        answers.append(None)
+                        continue
+                    held = {x["word"]: [{"lex": y} for y in x["lemmas"]] for x in found}
+                    items = [{"text": w, "analysis": held.get(w, [])} for w in word.findall(t)]
+                    answers.append([{"at": 0, "n": len(t), "json": json.dumps(items, ensure_ascii=False)}])
+                yield arrow_batch(arrow, [*batch.columns[: len(names)], answers])
+
+        return joined.select(*names, "_known").mapInArrow(run_batches, out_schema)
+
+
+def _with_answers(df: DataFrame):
+    from pyspark.sql.types import StructType
+
+    return StructType(df.schema.fields).add("answers", StructType.fromDDL(f"x {ANSWERS}")["x"].dataType)
+
+
+def _to_arrow(schema):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
 
 
 class ProcessEngine:
@@ -104,14 +133,9 @@ class ProcessEngine:
         self.format, self.profile = options.format, ExecutionProfile.POOLED_SESSIONS
 
     def attach(self, df: DataFrame, key: str, text: str, options: AnalysisOptions) -> DataFrame:
-        schema = df.drop("answers").schema
-        names = schema.names
-        from pyspark.sql.types import StructType
-
-        out_schema = StructType(schema.fields).add("answers", StructType.fromDDL(f"x {ANSWERS}")["x"].dataType)
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(out_schema)
+        names = [c for c in df.columns if c != "answers"]
+        out_schema = _with_answers(df.select(*names))
+        arrow = _to_arrow(out_schema)
         command, request, limits, pool, mode = self.command, self.options, self.limits, self.pool, self.mode
         at = names.index(text)
 
