@@ -14,10 +14,24 @@ CYRILLIC = (
 GREEK = "AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ oο vν pρ uυ iι aα".split()
 
 
+@cache
+def pairs() -> list[str]:
+    """The pairs above, and those of letters that carry the same marks on letters that look the same."""
+    plain = {pair[1]: pair[0] for pair in CYRILLIC + GREEK}
+    out = CYRILLIC + GREEK
+    for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        if marks and base in plain and chr(cp) not in plain:
+            whole = unicodedata.normalize("NFC", plain[base] + "".join(marks))
+            if len(whole) == 1:
+                out = [*out, whole + chr(cp)]
+    return out
+
+
 @cache
 def to_latin() -> dict[str, str]:
     """Cyrillic or Greek letter -> the Latin letter it looks like."""
-    return {pair[1]: pair[0] for pair in CYRILLIC + GREEK}
+    return {pair[1]: pair[0] for pair in pairs()}
 
 
 @cache
@@ -26,7 +40,7 @@ def to_script(script: str) -> dict[str, str]:
     latin = to_latin()
     if script == "LATIN":
         return latin
-    own = {pair[0]: pair[1] for pair in (CYRILLIC if script == "CYRILLIC" else GREEK)}
+    own = {pair[0]: pair[1] for pair in pairs() if (pair[1] >= "\u0400" and pair[1] < "\u0530") == (script == "CYRILLIC")}
     return own | {c: own[x] for c, x in latin.items() if x in own and own[x] != c}
 
 
@@ -74,7 +88,7 @@ def skeleton_table() -> dict[int, str | None]:
             c = parent[c]
         return c
 
-    for pair in CYRILLIC + GREEK:
+    for pair in pairs():
         a, b = find(pair[0].lower()), find(pair[1].lower())
         if a != b:
             parent[max(a, b)] = min(a, b)
