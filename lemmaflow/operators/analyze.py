@@ -11,6 +11,7 @@ named in ``keep`` are carried along; the rest is dropped, so clashing names do n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -191,6 +192,25 @@ def term_stream(df: DataFrame, key: str, text: str, answers: str | None = None,
     return _run(df, key, text, answers, keep, "term string, start int, end int, type string, keyword boolean, pos_inc int, position int", rows, tokenizer, options, mode)
 
 
+def document_terms(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
+    """One row per document and distinct term: term, n. Counted where the document is, without a shuffle."""
+
+    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
+        return list(Counter(r[0] for r in postings_of(found.tokens, options.positions)[0]).items()) if found else []
+
+    return _run(df, key, text, answers, keep, "term string, n bigint", rows, tokenizer, options, mode)
+
+
+def document_stats(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
+    """One row per document that has terms: n_terms, n_positions, n_distinct; without a shuffle."""
+
+    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
+        posted = postings_of(found.tokens, options.positions)[0] if found else []
+        return [(len(posted), posted[-1][6] + 1, len({r[0] for r in posted}))] if posted else []
+
+    return _run(df, key, text, answers, keep, "n_terms bigint, n_positions bigint, n_distinct bigint", rows, tokenizer, options, mode)
+
+
 def corrected(offset: Column, deltas: Column) -> Column:
     """An offset of filtered text in the unfiltered one; ``deltas``: ARRAY<STRUCT<at, add>> in order of at."""
     return offset + F.coalesce(F.element_at(F.transform(F.filter(deltas, lambda d: d["at"] <= offset), lambda d: d["add"]), -1), F.lit(0))

@@ -67,8 +67,12 @@ def boolean_query(postings: DataFrame, should: list[str] = (), must: list[str] =
 
 
 def term_stats(postings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, tf, df): occurrences and documents of every term; documents are counted in two steps."""
-    per_doc = postings.groupBy("term", key).agg(F.count("*").alias("n"))
+    """(term, tf, df): occurrences and documents of every term.
+
+    From postings in two steps, so that no term's documents gather; from the terms of distinct documents
+    (analyze.document_terms) in one, with partial sums before the only shuffle.
+    """
+    per_doc = postings if "n" in postings.columns else postings.groupBy("term", key).agg(F.count("*").alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 

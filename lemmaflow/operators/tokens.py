@@ -34,6 +34,7 @@ CURRENCY_FORMS = {
 # Stress marks that forms are freed of.
 STRESS = re.compile("[\u0301\u0341]")
 
+# The shape of e-mail addresses, and the marks inside them.
 _EMAIL = regex.compile(r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)+")
 _EMAIL_MARKS = re.compile(r"[._%+\-]+")
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"

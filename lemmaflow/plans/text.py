@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lemmaflow.functions import text as T
 from lemmaflow.functions.charclass import gap_pattern, hex_class
 from lemmaflow.operators import lemmas, nested, search
-from lemmaflow.operators.analyze import analyze, reader_chunks, search_tokens, term_stream
+from lemmaflow.operators.analyze import analyze, document_stats, document_terms, reader_chunks, search_tokens, term_stream
 from lemmaflow.operators.parse import align
 from lemmaflow.operators.tokens import CURRENCY_FORMS, to_utf16
 from lemmaflow.options import AnalysisOptions, PositionPolicy, TokenizerOptions
@@ -61,11 +61,11 @@ def _positions(options: AnalysisOptions):
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.term_stats(_postings(spark, d))
+    return search.term_stats(document_terms(_docs(spark, d), "doc_id", "text", tokenizer=SEARCH))
 
 
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.doc_stats(_postings(spark, d))
+    return document_stats(_docs(spark, d), "doc_id", "text", tokenizer=SEARCH)
 
 
 def document_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -220,6 +220,8 @@ QUERIES = {
     "positions_preserve": _positions(PRESERVE),
     "term_stats": term_stats,
     "doc_stats": doc_stats,
+    "posting_stats": lambda s, d: search.term_stats(_postings(s, d)),
+    "posting_doc_stats": lambda s, d: search.doc_stats(_postings(s, d)),
     "document_ends": document_ends,
     "term_query": lambda s, d: search.term_query(_postings(s, d), "weistim"),
     "prefix_query": lambda s, d: search.pattern_query(_postings(s, d), "Врыгол*"),
@@ -318,6 +320,8 @@ ORACLE = {
     "positions_preserve": _POST + " SELECT doc_id, term, CAST(start_offset AS BIGINT) AS start_offset, ord AS position, CASE WHEN form_no = 0 THEN step ELSE 0 END AS pos_inc, lower(type) AS type, keyword FROM post",
     "term_stats": _POST + " SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM post GROUP BY term",
     "doc_stats": _POST + " SELECT doc_id, count(*) AS n_terms, max(compact) + 1 AS n_positions, count(DISTINCT term) AS n_distinct FROM post GROUP BY doc_id",
+    "posting_stats": _POST + " SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM post GROUP BY term",
+    "posting_doc_stats": _POST + " SELECT doc_id, count(*) AS n_terms, max(compact) + 1 AS n_positions, count(DISTINCT term) AS n_distinct FROM post GROUP BY doc_id",
     "document_ends": "WITH " + _tokens(True, True) + f""", e AS (SELECT doc_id, count(*) AS n, max(CASE WHEN type NOT IN ('SEPARATOR', 'OTHER') THEN ord END) AS last FROM tok GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE {_LEN16.format("text")} END AS final_offset, coalesce(n - 1 - coalesce(last, -1), 0) AS end_increment, coalesce(n, 0) AS n_tokens FROM documents LEFT JOIN e USING (doc_id)""",
     "term_query": _POST + " SELECT DISTINCT doc_id FROM post WHERE term = 'weistim'",
