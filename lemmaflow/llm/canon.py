@@ -155,38 +155,47 @@ def _digest(text: str) -> bytes:
     return hashlib.sha256(text.encode()).digest()
 
 
-def canonical(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
+def _over(source: DataFrame, ddl: str, rows) -> DataFrame:
+    arrow = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(rows(batch))
+            yield arrow_batch(arrow, zip(*found) if found else [[] for _ in arrow])
+
+    return source.mapInArrow(run, ddl)
+
+
+def canonical(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None, with_text: bool = True) -> DataFrame:
     """(key, canonical_text, look binary, exact binary) of every non-blank text, one row per key.
 
     Texts that look the same share ``look``; equal texts share ``exact``. ``vocabulary``: further
-    (word) rows that confirm repairs, besides the words of the texts themselves.
+    (word) rows that confirm repairs, besides the words of the texts themselves. Without ``with_text``
+    the canonical texts are null, and only those that need repairs are ever written down.
     """
     kind = dict(df.dtypes)[key]
     docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
 
-    def over(source: DataFrame, ddl: str, rows) -> DataFrame:
-        arrow = arrow_schema(ddl)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = list(rows(batch))
-                yield arrow_batch(arrow, zip(*found) if found else [[] for _ in arrow])
-
-        return source.mapInArrow(run, ddl)
-
     def first_rows(batch):
-        # one reading of the texts gives both the repairs they need and the words that may confirm repairs
+        # one reading of the texts settles those that need no repair, and gives the repairs that the others
+        # need and the words that may confirm them
         words: set[str] = set()
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             p = plain(t)
+            if not p:
+                continue
             found = repairs(p)
             words |= clean_words(p, found)
             if found:
-                yield k, list(found.values()), None
-        yield from ((None, None, w) for w in words)
-
-    first = staged(over(docs, f"k {kind}, candidates array<string>, word string", first_rows), "canon-words")
-    candidates = first.where("k is not null").dropDuplicates(["k"]).select("k", F.explode("candidates").alias("word"))
+                yield k, list(found.values()), None, p, None, _digest(t)
+            else:
+                yield k, None, None, p if with_text else None, _digest(p), _digest(t)
+        yield from ((None, None, w, None, None, None) for w in words)
+
+    first = staged(_over(docs, f"k {kind}, candidates array<string>, word string, p string, look binary, exact binary", first_rows), "canon-first")
+    sound = first.where("k is not null and candidates is null").select("k", F.col("p").alias("canonical_text"), "look", "exact")
+    doubtful = first.where("k is not null and candidates is not null").dropDuplicates(["k"])
+    candidates = doubtful.select("k", F.explode("candidates").alias("word"))
     words = first.where("word is not null").select("word")
     if vocabulary is not None:
         words = words.unionByName(vocabulary.select("word"))
@@ -194,20 +203,16 @@ def canonical(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None =
     known = candidates.join(confirmed, "word").groupBy("k").agg(F.collect_set("word").alias("known"))
 
     def final_rows(batch):
-        for k, t, known in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            p = plain(t)
-            if not p:
-                continue
+        for k, p, exact, known in zip(*(batch.column(i).to_pylist() for i in range(4))):
             found = repairs(p)
             words = set(known or ())
             sure = {a: b for a, b in found.items() if b in words}
-            shown = rewritten(p, sure)
             look = rewritten(p, sure | {a: skeleton(a) for a in found if a not in sure})
-            yield k, shown, _digest(look), _digest(t)
+            yield k, rewritten(p, sure) if with_text else None, _digest(look), exact
 
-    # few texts hold doubtful tokens; the others need no partner, and no text moves for them
-    marked = docs.join(known, "k", "left")
-    return over(marked.select("k", "t", "known"), f"k {kind}, canonical_text string, look binary, exact binary", final_rows).withColumnRenamed("k", key)
+    marked = doubtful.select("k", "p", "exact").join(known, "k", "left")
+    repaired = _over(marked, f"k {kind}, canonical_text string, look binary, exact binary", final_rows)
+    return sound.dropDuplicates(["k"]).unionByName(repaired).withColumnRenamed("k", key)
 
 
 def alike_pairs(forms: DataFrame, key: str) -> DataFrame:

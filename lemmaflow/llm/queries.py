@@ -32,11 +32,12 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text")
-    return forms.select("mdoc_id", "canonical_text", F.hex("look").alias("look")).dropDuplicates(["mdoc_id"])
+    return forms.select("mdoc_id", "canonical_text", F.hex("look").alias("look"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = staged(canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text").select("mdoc_id", "look", "exact"), "p4-forms")
+    forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text", with_text=False)
+    texts = staged(forms.select("mdoc_id", "look", "exact"), "p4-forms")
     pairs = canon.alike_pairs(texts, "mdoc_id").select(F.lit("original_text").alias("field_name"), "key_a", "key_b")
     types = table(spark, d, "issue_types").select("type_no", "type_name")
     names = F.explode(F.split("type_name", "[^A-Za-z]+")).alias("word")
