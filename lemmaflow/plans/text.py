@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from lemmaflow.operators.analyze import analyze, document_stats, document_terms,
 from lemmaflow.operators.parse import align
 from lemmaflow.operators.tokens import CURRENCY_FORMS, to_utf16
 from lemmaflow.options import AnalysisOptions, PositionPolicy, TokenizerOptions
-from lemmaflow.runtime import map_rows, shared_dir, spread, table
+from lemmaflow.runtime import map_rows, scratch, spread, table
 from lemmaflow.sources.engines import DictionaryEngine, NoEngine, PrecomputedEngine
 from lemmaflow.streaming.postings import stream_postings, write_stream
 
@@ -207,7 +205,7 @@ def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
     """Term counts of the documents read as a stream; the stream's files lie in the shared folder."""
     schema = table(spark, d, "documents").schema
     source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     write_stream(stream_postings(source, "doc_id", "text", tokenizer=SEARCH), f"{place}/out", f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out").groupBy("term").agg(F.count("*").alias("n"))
 
