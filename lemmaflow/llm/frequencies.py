@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.runtime import arrow_batch, arrow_schema, shared_dir
+from lemmaflow.runtime import arrow_batch, arrow_schema, scratch
 
 #: Bytes of rows that a task aggregates at once.
 PARTITION_BYTES = 96 << 20
@@ -115,7 +115,7 @@ def partial_counts(batches: Iterator[pa.RecordBatch], fields: int, uri: str, bou
 
 def frequencies(df: DataFrame, fields: list[str], doc: str = "mdoc_id", row_key: str = "form_id", common_share: float = 0.2, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """(field_name, term, occurrences, documents, mark); mark: rare, common or null."""
-    uri = shared_dir(df.sparkSession)
+    uri = scratch(df.sparkSession, "radix")
     n = len(fields)
     base = df.select(F.col(doc).cast("bigint").alias("doc"), F.col(row_key).cast("bigint").alias("row_key"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).where("doc is not null and row_key is not null")
     # one row per distinct term of a source row, with a bit for each field that holds it
