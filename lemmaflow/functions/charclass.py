@@ -93,4 +93,7 @@ def java_class(name: str) -> str:
     """For the JVM only: whole categories first, which are quick to test, then what else belongs."""
     wide = {"W": ("L", "Nd"), "N": ("Nd",), "S": (), "C": ("Sc",)}[name]
     rest = {cp for cp in members(name) if not unicodedata.category(chr(cp)).startswith(wide)} if wide else members(name)
-    return "".join(f"\\p{{{c}}}" for c in wide) + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges(frozenset(rest)))
+    named, listed = "".join(f"\\p{{{c}}}" for c in wide), ranges(frozenset(rest))
+    inside = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in listed)
+    # what lies below the first listed character, as blanks and most punctuation, is refused at once
+    return f"{named}[[^\\x{{0}}-\\x{{{listed[0][0] - 1:X}}}]&&[{inside}]]" if wide and listed and listed[0][0] else named + inside

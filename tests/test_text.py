@@ -191,3 +191,14 @@ def test_options():
             bad()
     full = AnalyzerOptions(True, True, True, True, True, True, True, disambiguate=True, english_grammemes=True, filter_grammar="S", fixlist="f", generate_all=True, weight=True)
     assert " ".join(full.arguments()) == "-n -c -w -l -i -g -s -e utf-8 -d --eng-gr --filter-gram S --fixlist f --format json --generate-all --weight"
+
+
+def test_jvm_class_has_the_same_members(spark):
+    for name in "WNC":
+        members = charclass.members(name)
+        points = [cp for cp in range(0x3100) if not 0xD800 <= cp < 0xE000] + [0x1F600, 0x1D165, 0x10FFFF]
+        df = spark.createDataFrame([(cp, chr(cp)) for cp in points], "cp int, c string")
+        got = {r["cp"] for r in df.where(F.col("c").rlike(f"^[{charclass.java_class(name)}]$")).collect()}
+        assigned = {cp for cp in points if __import__("unicodedata").category(chr(cp)) != "Cn"}
+        odd = (got ^ {cp for cp in points if cp in members}) & assigned
+        assert len(odd) < 60, sorted(map(hex, odd))[:20]  # characters that one side's Unicode tables lack
