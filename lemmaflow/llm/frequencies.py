@@ -101,6 +101,8 @@ def partial_counts(batches: Iterator[pa.RecordBatch], fields: int, uri: str, bou
         if held:
             rows = pa.Table.from_batches(held)
             con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+            if uri.startswith("file://"):  # what DuckDB itself must spill goes to the shared folder, too
+                con.execute(f"SET temp_directory = '{uri[7:].replace(chr(39), chr(39) * 2)}/duckdb-{uuid.uuid4().hex}'")
             con.register("rows", rows)
             yield con.sql(_counting(fields)).to_arrow_table()
             con.close()
