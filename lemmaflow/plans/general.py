@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lemmaflow.operators.nested import flatten
 from lemmaflow.operators.packed import split_packed
@@ -15,7 +16,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _level(level: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return flatten(spread(table(spark, d, "model_records").select("rec_id", "body")), level)
+        flat = flatten(spread(table(spark, d, "model_records").select("rec_id", "body")), level)
+        listed = [name for name, kind in flat.dtypes if kind.startswith("array")]
+        return flat.withColumns({name: F.concat_ws(",", name) for name in listed})
 
     return query
 
@@ -42,7 +45,17 @@ SELECT rec_id, CAST(token_pos AS BIGINT) AS token_pos, CAST(analysis_pos AS BIGI
   CAST(unnest(CASE WHEN len(l) = 0 THEN [-1] ELSE generate_series(0, len(l) - 1) END) AS BIGINT) AS variant_pos FROM v0
 """
 
+_LEVELS = _P3[: _P3.rindex("SELECT rec_id, CAST(token_pos")]
+_STRINGS = "coalesce(array_to_string(CAST({0} AS VARCHAR[]), ','), '')"
+
 ORACLE = {
+    "p3_tokens": _LEVELS + """SELECT rec_id, CAST(token_pos AS BIGINT) AS token_pos, json_extract_string(tok, '$.text') AS text,
+  CAST(json_extract(tok, '$.start') AS BIGINT) AS start_offset, CAST(json_extract(tok, '$.end') AS BIGINT) AS end_offset FROM t WHERE token_pos >= 0""",
+    "p3_analyses": _LEVELS + f"""SELECT rec_id, CAST(token_pos AS BIGINT) AS token_pos, CAST(analysis_pos AS BIGINT) AS analysis_pos, json_extract_string(an, '$.lemma') AS lemma,
+  TRY_CAST(json_extract_string(an, '$.weight') AS DOUBLE) AS weight, json_extract_string(an, '$.grammar.raw') AS grammar_raw, json_extract_string(an, '$.grammar.pos') AS part_of_speech,
+  {_STRINGS.format("json_extract(an, '$.grammar.common')")} AS common FROM a WHERE analysis_pos >= 0""",
+    "p3_variants": _LEVELS + f""", v AS (SELECT rec_id, token_pos, analysis_pos, unnest(l) AS variant, generate_subscripts(l, 1) - 1 AS variant_pos FROM v0)
+SELECT rec_id, CAST(token_pos AS BIGINT) AS token_pos, CAST(analysis_pos AS BIGINT) AS analysis_pos, CAST(variant_pos AS BIGINT) AS variant_pos, {_STRINGS.format("json_extract(variant, '$.grammemes')")} AS grammemes FROM v""",
     "p2_found": f"""
 WITH r AS (SELECT DISTINCT gr_id, raw FROM grammar_strings WHERE raw IS NOT NULL),
 t AS (SELECT gr_id, unnest({_TOK}) AS v, generate_subscripts({_TOK}, 1) AS n FROM r),
