@@ -114,6 +114,28 @@ m AS (SELECT c.*, CASE WHEN documents = 1 THEN 'rare' WHEN documents > 0.2 * tot
 """
 
 
+def _p8_sql() -> str:
+    """Runs of twelve words by a join of all runs of documents and items."""
+    table_ = lookalikes.skeleton_table()
+    joined = {chr(k): v for k, v in table_.items() if v is not None and len(v) > 1} | {"ß": "ss"}
+    one = {chr(k): v for k, v in table_.items() if v is not None and len(v) == 1 and v != " "}
+    quoted = lambda x: x.replace("'", "''")
+    gone = "".join(f"\\x{{{cp:X}}}" for cp in sorted(lookalikes.invisible()))
+    form = "nfc_normalize(@@)"
+    for c, v in joined.items():
+        form = f"replace({form}, '{c}', '{v}')"
+    form = f"nfc_normalize(translate(regexp_replace(lower({form}), '[{gone}]', '', 'g'), '{quoted(''.join(one))}', '{quoted(''.join(one.values()))}'))"
+    words = f"regexp_extract_all({form}, '[\\p{{L}}\\p{{N}}]+')"
+    grams = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM {1} WHERE len(w) >= 12"
+    return f"""
+WITH d AS (SELECT doc_id, {words.replace("@@", "text")} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {words.replace("@@", "item_text")} AS w FROM eval_items WHERE item_text IS NOT NULL),
+short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS g FROM i WHERE len(w) BETWEEN 1 AND 11)
+SELECT DISTINCT doc_id, item_id FROM ({grams.format("doc_id", "d")}) a JOIN ({grams.format("item_id", "i")}) b USING (g)
+UNION SELECT doc_id, item_id FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', g)
+"""
+
+
 def _p4_sql() -> str:
     """A plainer comparison: every look-alike folded everywhere."""
     joined = {chr(k): v for k, v in lookalikes.widths().items() if len(v) > 1}
@@ -144,6 +166,7 @@ SELECT mdoc_id, 'oversized' AS case_kind FROM over
 UNION ALL SELECT DISTINCT mdoc_id, 'unbroken' FROM runs WHERE length(r) + length(regexp_replace(r, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > lim
 """,
     "p4_found": _p4_sql(),
+    "p8_found": _p8_sql(),
     "p6_found": _P6 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_frequencies": _P6 + "SELECT field_name, term, occurrences, documents, mark FROM m",
 }
