@@ -82,28 +82,39 @@ def _lattice(edges: list[dict], join_nats: float):
 def best_path(edges: list[dict], join_nats: float) -> list[str]:
     """Values of the likeliest split; of ties the one with more values."""
     n, rows = _lattice(edges, join_nats)
-    best: list = [(-math.inf, 0, [])] * (n + 1)
-    best[0] = (0.0, 0, [])
+    best: list[tuple[float, int]] = [(-math.inf, 0)] * (n + 1)
+    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
+    best[0] = (0.0, 0)
     for i in range(n):
-        s, k, path = best[i]
+        s, k = best[i]
         for j, v, w in rows[i]:
-            if (s + w, k + 1) > best[j][:2]:
-                best[j] = (s + w, k + 1, [*path, v])
-    return [v for v in best[n][2] if v]
+            if (s + w, k + 1) > best[j]:
+                best[j], back[j] = (s + w, k + 1), (i, v)
+    out, at = [], n
+    while at:
+        at, value = back[at]
+        out.append(value)
+    return [v for v in reversed(out) if v]
+
+
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in xs))
 
 
 def expected(edges: list[dict], join_nats: float) -> list[tuple[str, float]]:
-    """Expected occurrences of each candidate over all splits of a segment (forward-backward)."""
+    """Expected occurrences of each candidate over all splits of a segment (forward-backward, in logarithms)."""
     n, rows = _lattice(edges, join_nats)
-    top = max(w for r in rows for _, _, w in r)
-    a, b = [0.0] * (n + 1), [0.0] * (n + 1)
-    a[0] = b[n] = 1.0
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i in range(n):
         for j, _, w in rows[i]:
-            a[j] += a[i] * math.exp(w - top)
+            into[j].append((i, w))
+    a, b = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for j in range(1, n + 1):
+        a[j] = _log_sum([a[i] + w for i, w in into[j]])
     for i in range(n - 1, -1, -1):
-        b[i] = sum(math.exp(w - top) * b[j] for j, _, w in rows[i])
-    return [(v, a[i] * math.exp(w - top) * b[j] / a[n]) for i in range(n) for j, v, w in rows[i]] if a[n] > 0 else []
+        b[i] = _log_sum([w + b[j] for j, _, w in rows[i]])
+    return [(v, math.exp(a[i] + w + b[j] - a[n])) for i in range(n) for j, v, w in rows[i]]
 
 
 def learn_splits(open_segments: DataFrame, fixed: DataFrame, rounds: int, longest: int, join_nats: float) -> DataFrame:

@@ -49,6 +49,8 @@ def test_lattice():
     assert best_path(edges, 0.0) == ["a", "b"]
     counts = dict(expected(edges, 0.0))
     assert abs(counts["a"] + counts["a b"] - 1) < 1e-9 and counts["a"] == counts["b"]
+    long = [dict(i=n, j=m, value=f"v{n} {m}", p=1e-6) for n in range(3000) for m in (n + 1, n + 2) if m <= 3000]
+    assert len(best_path(long, 20.0)) == 3000 and abs(sum(c for _, c in expected(long, 20.0)) - 3000) < 60
     assert segments("«a, b» c") == [("a, b", True), ("c", True)]
 
 
