@@ -88,6 +88,17 @@ def test_parts_and_sound_texts(measure):
     assert mojibake.restore(garble(latin, ("utf_8", "cp1252")), None, measure) == latin
 
 
+def test_texts_of_one_case_leave_no_trace_and_are_restored(spark):
+    small = [ORIGINAL.lower(), "я пела песню, потому что вечер был тихий. мама мыла раму и пошла спать."]
+    bad = {(n, k): garble(t, chain) for n, t in enumerate(small) for k, chain in enumerate([("cp1251", "koi8_r"), ("koi8_r", "cp1251")])}
+    assert not any(mojibake.SUSPECT.search(t) for t in bad.values())
+    rows = [(n, t, "UTF_8") for n, t in enumerate(SOUND)] + [(1000 + 10 * n + k, t, None) for (n, k), t in bad.items()] + [(2000 + n, t, "KOI8_R") for n, t in enumerate(small)]
+    df = spark.createDataFrame(rows, "k bigint, t string, e string")
+    got = {r["k"]: r["restored"] for r in mojibake.repair_encodings(df, "k", "t", "e").collect()}
+    want = {1000 + 10 * n + k: small[n] for n, k in bad}
+    assert got == want
+
+
 def test_lost():
     assert mojibake.is_lost("Ве�ер") and mojibake.is_lost("??? ????? ??") and mojibake.is_lost("sch?n")
     assert not mojibake.is_lost("Что?! Да??? Нет? http://a.b/?q=1 ok") and not mojibake.is_lost("")
