@@ -56,6 +56,7 @@ _EDGE = _re.compile(
 _BEFORE = _re.compile(r"[\w.\-’'\u0300-\u036f]*[\w\u0300-\u036f]\Z")
 _WORD = _re.compile(r"[\w\u0300-\u036f’'\-]+")
 _INITIALS = _re.compile(r"(?:[^\W\d_]\.\s?)*[^\W\d_]\Z")
+_MIDDLE = _re.compile(r"(?<=\w )[^\W\d_]\w{0,5}(?=[ ,])")
 _BLANK = _re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)| ")
 _NUMBER = _re.compile(r"[\d.,\-:/]*\d\Z")
 _LINE_NUMBER = _re.compile(r"(?:\A|[\r\n])[^\S\r\n]*\(?(?:\d{1,4}|[^\W\d_])(?:\.\d{1,3})*\Z")
@@ -107,7 +108,7 @@ def _next_word(text: str, at: int) -> str:
 
 
 def period_counts(text: str, out: Counter) -> None:
-    """Adds what stands around the periods of ``text``: (kind, key, what follows) -> count."""
+    """Adds what stands around the periods of ``text``: (kind, key, what follows) -> count; a word alone counts mid-sentence."""
     for m in _re.finditer(r"\.(?=\s|\Z)(?<!\.\.)", text):
         at = m.start()
         key, _ = period_key(text, at)
@@ -123,8 +124,7 @@ def period_counts(text: str, out: Counter) -> None:
         word = _next_word(text, m.end())
         if word and word[0].isupper() and len(word) <= LONGEST:
             out["s", word.lower(), "S"] += 1
-    for m in _re.finditer(r"(?<=\w )[^\W\d_]\w{0,5}(?=[ ,])", text[:600]):
-        out["s", m.group().lower(), "M"] += 1
+    out.update(_MIDDLE.findall(text))
 
 
 def language(label: str | None) -> str:
@@ -291,7 +291,7 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, Model]:
             counts: dict[str, Counter] = {}
             for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 period_counts(t, counts.setdefault(language(l), Counter()))
-            rows = [(l, *k, n) for l, c in counts.items() for k, n in c.items()]
+            rows = [(l, *(("s", k.lower(), "M") if isinstance(k, str) else k), n) for l, c in counts.items() for k, n in c.items()]
             yield arrow_batch(arrow, zip(*rows) if rows else [[] for _ in arrow])
 
     source = df.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where("t is not null")

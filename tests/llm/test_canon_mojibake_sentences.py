@@ -150,6 +150,14 @@ def cut(text, model=None):
     return [text[a:b] for a, b in sentences.spans(text, model or sentences.Model())]
 
 
+def test_words_are_counted_in_whole_texts():
+    from collections import Counter
+
+    out = Counter()
+    sentences.period_counts("Он шёл домой. " * 100 + "Потом она снова поёт.", out)
+    assert out["шёл"] == 100 and out["она"] == out["снова"] == 1
+
+
 def test_marks_of_many_scripts():
     assert cut("今天很好。明天呢？“好！”他说") == ["今天很好。", "明天呢？", "“好！”", "他说"]
     assert cut("「行く？」と聞いた。はい……そう。") == ["「行く？」と聞いた。", "はい……", "そう。"]
