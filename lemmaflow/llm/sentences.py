@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmaflow.runtime import arrow_batch, arrow_schema, staged
@@ -317,12 +317,40 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, Model]:
 
     fixed = ["language", "kind", "word", *_COUNTED]
     top = foremost(words, 2 * PROFILE)
-    others = foremost(each.where("kind <> 'p'").withColumn("n", n).where(F.col("n") >= LEAST_COUNT), 20 * PROFILE)
-    chosen = frequent.join(odd, "word", "left_semi").select(*fixed).union(top).distinct().union(others)
+    chosen = frequent.join(odd, "word", "left_semi").select(*fixed).union(top).distinct().union(_pairs(each, frequent.where(inside > 0.05 * (capital + inside))).select(*fixed)).union(_starters(each).select(*fixed))
     chosen = chosen.union(totals.select("language", F.lit("total").alias("kind"), F.lit("").alias("word"), *_COUNTED))
     return models([r.asDict() for r in chosen.collect()])
 
 
+def _pairs(each: DataFrame, before: DataFrame) -> DataFrame:
+    """The pairs that hold together over a period, of all pairs whose first word is in ``before``."""
+    pairs = each.where("kind = 'c'").withColumns({"a": F.split("word", " ")[0], "b": F.split("word", " ")[1], "n": F.col("upper") + F.col("caseless") + F.col("lower")})
+    sums = [pairs.groupBy("language", *by).agg(F.sum("n").alias(name)).where(F.col(name) >= LEAST_COUNT) for by, name in ((["a"], "n_a"), (["b"], "n_b"), ([], "n_all"))]
+    found = pairs.where(F.col("n") >= LEAST_COUNT).join(before.select("language", F.col("word").alias("a")), ["language", "a"], "left_semi")
+    found = found.join(sums[0], ["language", "a"]).join(sums[1], ["language", "b"]).join(sums[2], "language")
+    return found.where(ratio_column(F.col("n"), F.col("n_a"), F.col("n_b") - F.col("n"), F.col("n_all") - F.col("n_a")) > LEAST_RATIO)
+
+
+def _starters(each: DataFrame) -> DataFrame:
+    """The words that begin sentences oftener than they stand inside them."""
+    words = each.where("kind = 's'")
+    whole = words.groupBy("language").agg(F.greatest(F.sum("starts"), F.lit(1)).alias("s"), F.greatest(F.sum("middles"), F.lit(1)).alias("t"))
+    return words.where(F.col("starts") >= LEAST_COUNT).join(whole, "language").where(ratio_column(F.col("starts"), F.col("s"), F.col("middles"), F.col("t")) > LEAST_RATIO)
+
+
+def ratio_column(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """ratio() of columns."""
+    zero = F.lit(0.0)
+    p = (k1 + k2) / F.greatest(n1 + n2, F.lit(1))
+    p1, p2 = k1 / F.greatest(n1, F.lit(1)), k2 / F.greatest(n2, F.lit(1))
+
+    def part(k: Column, n: Column, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(zero) + F.when(n > k, (n - k) * F.log(1 - p)).otherwise(zero)
+
+    value = 2 * (part(k1, n1, p1) + part(k2, n2, p2) - part(k1, n1, p) - part(k2, n2, p))
+    return F.when((n1 <= 0) | (n2 <= 0) | (p <= 0) | (p >= 1), zero).when(p1 >= p2, value).otherwise(-value)
+
+
 def ratio(k1: float, n1: float, k2: float, n2: float) -> float:
     """Signed log-likelihood ratio of two shares: positive where the first is the greater."""
     from math import log
@@ -347,7 +375,7 @@ def script(word: str) -> str:
 
 
 def models(rows: list[dict]) -> dict[str, Model]:
-    """The models from the counts, also one for all words of a script ('~' and its name)."""
+    """The models from the counts and the pairs and starters found, also one for all words of a script ('~' and its name)."""
     by: dict[str, list[dict]] = {}
     pooled: dict[tuple[str, str], dict] = {}
     for r in rows:
@@ -401,16 +429,13 @@ def _model(own: list[dict]) -> Model:
             m.ends.pop(r["word"], None)  # too few to differ from other initials
     counts = {r["word"]: r["ends"] + capital(r) + r["lower"] + r["digits"] for r in words}
     m.known = {w for w, n in counts.items() if n >= 4 * LEAST_COUNT}
-    total = sum(whole[c] for c in _COUNTED) or 1
     for r in own:
         if r["kind"] == "c":
-            a, b = r["word"].split(" ", 1)
+            a = r["word"].split(" ", 1)[0]
             n = capital(r) + r["lower"]
-            if a in m.inside and n > 0.5 * counts.get(a, n) and ratio(n, counts.get(a, n) or n, counts.get(b, 0), total) > LEAST_RATIO:
+            if a in m.inside and n > 0.5 * counts.get(a, n):
                 m.pairs.add(r["word"])
-    starts = [r for r in own if r["kind"] == "s"]
-    s, t = sum(r["starts"] for r in starts), sum(r["middles"] for r in starts)
-    m.starters = {r["word"] for r in starts if r["starts"] >= LEAST_COUNT and ratio(r["starts"], max(s, 1), r["middles"], max(t, 1)) > LEAST_RATIO}
+    m.starters = {r["word"] for r in own if r["kind"] == "s"}
     m.profile = set(sorted((w for w in counts if len(w) > 1), key=lambda w: (-counts[w], w))[:PROFILE])
     return m
 

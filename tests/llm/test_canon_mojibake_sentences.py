@@ -158,6 +158,23 @@ def test_words_are_counted_in_whole_texts():
     assert out["шёл"] == 100 and out["она"] == out["снова"] == 1
 
 
+def test_starters_of_low_rank_are_kept(spark):
+    letters = "абвгдежзик"
+    name = lambda n: "".join(letters[int(d)] for d in f"{n:04d}")
+    rows = [(f"Что? {name(n).title()} дом, " + f"он {name(n)} дом, " * 60, "ru") for n in range(2200) for _ in range(8)]
+    rows += [("Что? Щука дом.", "ru")] * 7
+    got = sentences.learn(spark.createDataFrame(rows, "t string, l string").repartition(4), "t", "l")["ru"]
+    assert got.starters == {"щука"}
+
+
+def test_ratios_of_columns_equal_the_others(spark):
+    rng = random.Random(5)
+    rows = [(min(a, b), max(a, b), min(c, d), max(c, d)) for a, b, c, d in ([rng.choice([0, 1, 2, 7, 50, 900]) for _ in range(4)] for _ in range(300))]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint")
+    for r in df.withColumn("x", sentences.ratio_column(df.a, df.b, df.c, df.d)).collect():
+        assert r.x == pytest.approx(sentences.ratio(r.a, r.b, r.c, r.d), abs=1e-6)
+
+
 def test_marks_of_many_scripts():
     assert cut("今天很好。明天呢？“好！”他说") == ["今天很好。", "明天呢？", "“好！”", "他说"]
     assert cut("「行く？」と聞いた。はい……そう。") == ["「行く？」と聞いた。", "はい……", "そう。"]
