@@ -32,12 +32,12 @@ from lemmaflow.runtime import arrow_batch, arrow_schema, staged
 #: Ratios beyond this count as evidence (chance in about one of two thousand words), and the least share of a language's
 #: periods that a word must stand before: so at most 1 / LEAST_SHARE words of a language enter the model.
 LEAST_RATIO, LEAST_SHARE, LEAST_COUNT = 12.1, 2e-6, 6
-#: Words longer than this are ordinary; they give the language's usual figures.
-LONGEST = 6
 #: A word ends a sentence before a capital if at least this share of its cases does; between the two
 #: shares the next word decides.
 SURELY_NOT, SURELY = 0.3, 0.7
 PROFILE = 100
+#: Distinct counts of a language that a task gathers before it hands them on.
+HELD = 200_000
 _COUNTED = ("ends", "upper", "caseless", "lower", "digits", "starts", "middles")
 
 # Marks and scripts.
@@ -56,7 +56,7 @@ _EDGE = _re.compile(
 _BEFORE = _re.compile(r"[\w.\-’'\u0300-\u036f]*[\w\u0300-\u036f]\Z")
 _WORD = _re.compile(r"[\w\u0300-\u036f’'\-]+")
 _INITIALS = _re.compile(r"(?:[^\W\d_]\.\s?)*[^\W\d_]\Z")
-_MIDDLE = _re.compile(r"(?<=\w )[^\W\d_]\w{0,5}(?=[ ,])")
+_MIDDLE = _re.compile(r"(?<=\w )[^\W\d_]\w*+(?=[ ,])")
 _BLANK = _re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)| ")
 _NUMBER = _re.compile(r"[\d.,\-:/]*\d\Z")
 _LINE_NUMBER = _re.compile(r"(?:\A|[\r\n])[^\S\r\n]*\(?(?:\d{1,4}|[^\W\d_])(?:\.\d{1,3})*\Z")
@@ -95,8 +95,6 @@ def period_key(text: str, at: int) -> tuple[str, str]:
     if _INITIALS.match(word) and word[0].isupper() and (len(word) == 1 or "." in word):
         return (word if len(word) == 1 else "&"), word
     key = word.lower()
-    if len(key) > LONGEST:
-        return "*", word
     start = m.end() - len(word)
     before = text[max(0, start - 2) : start].rstrip()
     return ("#" + key if before[-1:].isdigit() else key), word
@@ -116,13 +114,13 @@ def period_counts(text: str, out: Counter) -> None:
             continue
         kind = _after(text, at + 1)
         out["p", key, kind] += 1
-        if kind in "UCL":
+        if kind in "UC":
             follower = _next_word(text, at + 1).lower()
-            if follower and len(key) <= 3 and len(follower) <= 3:
+            if follower:
                 out["c", f"{key} {follower}", kind] += 1
     for m in _re.finditer(r"[!?]\s++(?=\w)|(?<!\s)[^\S\n]*+\n[^\S\n]*+\n\s*+(?=\w)", text):
         word = _next_word(text, m.end())
-        if word and word[0].isupper() and len(word) <= LONGEST:
+        if word and word[0].isupper():
             out["s", word.lower(), "S"] += 1
     out.update(_MIDDLE.findall(text))
 
@@ -149,7 +147,7 @@ class Model:
     def period(self, key: str, follows: str, follower: str) -> bool:
         """Whether a period behind a word ends the sentence, given what follows within the paragraph."""
         bare = key[1:] if key.startswith("#") and len(key) > 1 else key
-        if self.others and key not in self.known and key not in ("#", "&", "*"):
+        if self.others and key not in self.known and key not in ("#", "&"):
             other = self.others.get("~" + script(bare))
             if other is not None and (key in other.ends or bare in other.ends or bare in other.inside):
                 return other.period(key, follows, follower)
@@ -286,13 +284,19 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, Model]:
     ddl = "language string, kind string, word string, follows string, n bigint"
     arrow = arrow_schema(ddl)
 
+    def counted(counts: dict[str, Counter]) -> pa.RecordBatch:
+        rows = [(l, *(("s", k.lower(), "M") if isinstance(k, str) else k), n) for l, c in counts.items() for k, n in c.items()]
+        return arrow_batch(arrow, zip(*rows) if rows else [[] for _ in arrow])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                period_counts(t, counts.setdefault(language(l), Counter()))
-            rows = [(l, *(("s", k.lower(), "M") if isinstance(k, str) else k), n) for l, c in counts.items() for k, n in c.items()]
-            yield arrow_batch(arrow, zip(*rows) if rows else [[] for _ in arrow])
+                code = language(l)
+                period_counts(t, counts.setdefault(code, Counter()))
+                if len(counts[code]) > HELD:
+                    yield counted({code: counts.pop(code)})
+            yield counted(counts)
 
     source = df.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where("t is not null")
     each = source.mapInArrow(run, ddl).groupBy("language", "kind", "word").agg(*[F.sum(F.when(F.col("follows") == f, F.col("n")).otherwise(0)).alias(name) for f, name in zip("EUCLDSM", _COUNTED)])
@@ -303,7 +307,8 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, Model]:
     # as script() has it
     words = words.withColumn("script", F.when(F.col("letter") < "\u0250", "~latin").when(F.col("letter") < "\u0400", "~greek").when(F.col("letter") < "\u0530", "~cyrillic").otherwise("~other"))
     sums = [F.sum(c).alias(c) for c in _COUNTED]
-    totals = words.groupBy("language").agg(*sums).unionByName(words.groupBy(F.col("script").alias("language")).agg(*sums))
+    # every label has its totals, also one of a script that ends no sentence at a period
+    totals = each.groupBy("language").agg(*[F.sum(F.when(F.col("kind") == "p", F.col(c)).otherwise(0)).alias(c) for c in _COUNTED]).unionByName(words.groupBy(F.col("script").alias("language")).agg(*sums))
     base = totals.select("language", n.alias("total"), (F.col("ends") / F.greatest(F.col("ends") + capital, F.lit(1))).alias("usual"))
     frequent = words.join(base, "language").where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= F.col("total") * LEAST_SHARE))
     # only words that end paragraphs seldom, or go on often, can differ from ordinary ones; those are compared in every language
@@ -323,8 +328,11 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, Model]:
 
 
 def _pairs(each: DataFrame, before: DataFrame) -> DataFrame:
-    """The pairs that hold together over a period, of all pairs whose first word is in ``before``."""
-    pairs = each.where("kind = 'c'").withColumns({"a": F.split("word", " ")[0], "b": F.split("word", " ")[1], "n": F.col("upper") + F.col("caseless") + F.col("lower")})
+    """The pairs that hold together over a period and a capital, of all pairs whose first word is in ``before``.
+
+    What a small letter follows goes on in any case, and a word seen small begins a sentence where it has a capital.
+    """
+    pairs = each.where("kind = 'c'").withColumns({"a": F.split("word", " ")[0], "b": F.split("word", " ")[1], "n": F.col("upper") + F.col("caseless")}).where("n > 0")
     sums = [pairs.groupBy("language", *by).agg(F.sum("n").alias(name)).where(F.col(name) >= LEAST_COUNT) for by, name in ((["a"], "n_a"), (["b"], "n_b"), ([], "n_all"))]
     found = pairs.where(F.col("n") >= LEAST_COUNT).join(before.select("language", F.col("word").alias("a")), ["language", "a"], "left_semi")
     found = found.join(sums[0], ["language", "a"]).join(sums[1], ["language", "b"]).join(sums[2], "language")
@@ -380,7 +388,7 @@ def models(rows: list[dict]) -> dict[str, Model]:
     pooled: dict[tuple[str, str], dict] = {}
     for r in rows:
         by.setdefault(r["language"], []).append(r)
-        if r["kind"] == "p" and r["word"] not in ("#", "*", "&"):
+        if r["kind"] == "p" and r["word"] not in ("#", "&"):
             code = "~" + script(r["word"])
             held = pooled.setdefault((code, r["word"]), {"language": code, "kind": "p", "word": r["word"], **dict.fromkeys(_COUNTED, 0)})
             for name in _COUNTED:
@@ -410,8 +418,6 @@ def _model(own: list[dict]) -> Model:
         m.inside, m.ends = set(), {}
         for r in words:
             key, e, u, i = r["word"], r["ends"], capital(r), r["lower"] + r["digits"]
-            if key == "*":
-                continue
             share = min(1.0, ((e + 0.1) / usual) * (1 - usual) / (u + 1))
             if ratio(i, u + i, i0, u0 + i0) > LEAST_RATIO and i > 0.05 * (u + i):
                 m.inside.add(key)
@@ -432,8 +438,7 @@ def _model(own: list[dict]) -> Model:
     for r in own:
         if r["kind"] == "c":
             a = r["word"].split(" ", 1)[0]
-            n = capital(r) + r["lower"]
-            if a in m.inside and n > 0.5 * counts.get(a, n):
+            if a in m.inside:
                 m.pairs.add(r["word"])
     m.starters = {r["word"] for r in own if r["kind"] == "s"}
     m.profile = set(sorted((w for w in counts if len(w) > 1), key=lambda w: (-counts[w], w))[:PROFILE])

@@ -167,6 +167,21 @@ def test_starters_of_low_rank_are_kept(spark):
     assert got.starters == {"щука"}
 
 
+def test_pairs_and_words_of_any_length(spark):
+    rng = random.Random(9)
+    nouns = "стол дом лес река город школа книга окно дверь улица".split()
+    w = lambda: rng.choice(nouns)
+    rows = []
+    for n in range(900):
+        parts = [f"{w().title()} {w()} и {w()}.", f"{w().title()} и Dipl.-Ing. {w().title()} {w()}.", f"{w().title()} и деньгами. {w()}.", f"{w().title()} {w()} деньгами."]
+        parts += [f"{w().title()} у деньгами. Врыгола {w()}."] * (n % 3 == 0)
+        rng.shuffle(parts)
+        rows.append((" ".join(parts), "ru"))
+    model = sentences.learn(spark.createDataFrame(rows, "t string, l string"), "t", "l")["ru"]
+    assert "деньгами врыгола" in model.pairs and model.ends["dipl.-ing"] < sentences.SURELY_NOT
+    assert cut("Дом и Dipl.-Ing. Лес стол. Стол у деньгами. Врыгола дом. Стол и лес. Река.", model) == ["Дом и Dipl.-Ing. Лес стол.", "Стол у деньгами. Врыгола дом.", "Стол и лес.", "Река."]
+
+
 def test_ratios_of_columns_equal_the_others(spark):
     rng = random.Random(5)
     rows = [(min(a, b), max(a, b), min(c, d), max(c, d)) for a, b, c, d in ([rng.choice([0, 1, 2, 7, 50, 900]) for _ in range(4)] for _ in range(300))]
