@@ -446,8 +446,8 @@ def _model(own: list[dict]) -> Model:
 
 
 def guess(text: str, held: dict[str, Model]) -> str:
-    """The language whose frequent last words and first words the text shares most."""
-    words = Counter(w.lower() for w in _WORD.findall(text[:2000]))
+    """The language whose frequent last words and first words the whole text shares most."""
+    words = Counter(w.lower() for w in _WORD.findall(text))
     score = {code: sum(n for w, n in words.items() if w in m.profile) for code, m in held.items() if code and code[0] != "~"}
     if not score:
         return ""

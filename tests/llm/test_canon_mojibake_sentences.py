@@ -167,6 +167,13 @@ def test_starters_of_low_rank_are_kept(spark):
     assert got.starters == {"щука"}
 
 
+def test_languages_are_guessed_from_whole_texts():
+    german, russian = sentences.Model(), sentences.Model()
+    german.profile, russian.profile = {"und", "der"}, {"и", "дом"}
+    text = "1 2 3 4 5\n" * 190 + "und der " * 12 + "\n\n" + "дом и дом " * 300
+    assert sentences.guess(text, {"de": german, "ru": russian}) == "ru"
+
+
 def test_pairs_and_words_of_any_length(spark):
     rng = random.Random(9)
     nouns = "стол дом лес река город школа книга окно дверь улица".split()
