@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.functions.lookalikes import invisible, skeleton_table
-from lemmaflow.runtime import arrow_batch, arrow_schema
+from lemmaflow.runtime import arrow_batch, arrow_schema, map_rows
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of test items in one automaton; more items take further automata and passes.
@@ -179,10 +179,10 @@ def _automaton(block, least: int) -> Automaton:
 
 
 def _each_block(df: DataFrame, items: DataFrame, item_key: str, item_text: str, ddl: str, rows, least: int) -> DataFrame:
-    """Union over the blocks of items of ``rows(automaton, key, text)`` for every document."""
+    """Union over the blocks of items of ``rows(automaton, key, text)`` for every document, and the block's number."""
     spark, arrow = df.sparkSession, arrow_schema(ddl)
     out = None
-    for block in item_blocks(items, item_key, item_text):
+    for number, block in enumerate(item_blocks(items, item_key, item_text)):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def _each_block(df: DataFrame, items: DataFrame, item_key: str, item_text: str,
                 found = [r for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for r in rows(automaton, k, t)]
                 yield arrow_batch(arrow, zip(*found) if found else [[] for _ in arrow])
 
-        part = df.mapInArrow(run, ddl)
+        part = df.mapInArrow(run, ddl).withColumn("block", F.lit(number))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -213,31 +213,42 @@ def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def remove_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", least: int = 12, drop_above: float = 0.5) -> DataFrame:
     """(key, clean_text, removed_words): leaked runs cut out of the documents that have any.
 
-    A document more than ``drop_above`` of whose words leaked has a null clean_text. With several
-    blocks of items a document may have a row for each; the parameters then bound each block.
+    A document more than ``drop_above`` of whose words leaked, to whichever items, has a null clean_text.
+    Each block of items gives the leaked runs of a row; they are joined before anything is cut.
     """
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
 
     def rows(automaton: Automaton, k: int, t: str):
         spans = automaton.spans(words(t))
-        if not spans:
-            return
-        at = word_spans(t)
-        gone = sorted({n for runs in spans.values() for a, b in runs for n in range(a, b)})
-        if len(gone) > drop_above * len(at):
-            yield k, None, len(gone)
-            return
-        kept, pos, n = [], 0, 0
-        while n < len(gone):
-            m = n
-            while m + 1 < len(gone) and gone[m + 1] == gone[m] + 1:
-                m += 1
-            kept.append(t[pos : at[gone[n]][0]])
-            pos = at[gone[m]][1]
-            n = m + 1
-        yield k, "".join(kept) + t[pos:], len(gone)
-
-    return _each_block(docs, items, item_key, item_text, "k bigint, clean_text string, removed_words bigint", rows, least).withColumnRenamed("k", key)
+        if spans:
+            gone = sorted({n for runs in spans.values() for a, b in runs for n in range(a, b)})
+            starts = [n for i, n in enumerate(gone) if not i or gone[i - 1] != n - 1]
+            ends = [n + 1 for i, n in enumerate(gone) if i + 1 == len(gone) or gone[i + 1] != n + 1]
+            yield k, t, starts, ends
+
+    each = _each_block(docs, items, item_key, item_text, "k bigint, t string, starts array<bigint>, ends array<bigint>", rows, least)
+    # a row leaks in the same blocks as its copies, so a key and text has as many rows in each block as it came in
+    found = each.groupBy("k", "t").agg(F.collect_set(F.struct("starts", "ends")).alias("runs"), (F.count("*") / F.countDistinct("block")).cast("bigint").alias("copies"))
+
+    def cut(x: dict):
+        at = word_spans(x["t"])
+        gone = sorted({n for r in x["runs"] for a, b in zip(r["starts"], r["ends"]) for n in range(a, b)})
+        yield from [(x["k"], None if len(gone) > drop_above * len(at) else _without(x["t"], at, gone), len(gone))] * x["copies"]
+
+    return map_rows(found, "k bigint, clean_text string, removed_words bigint", cut).withColumnRenamed("k", key)
+
+
+def _without(t: str, at: list[tuple[int, int]], gone: list[int]) -> str:
+    """``t`` less the words of the numbers ``gone``, in order, and what lies between words that adjoin."""
+    kept, pos, n = [], 0, 0
+    while n < len(gone):
+        m = n
+        while m + 1 < len(gone) and gone[m + 1] == gone[m] + 1:
+            m += 1
+        kept.append(t[pos : at[gone[n]][0]])
+        pos = at[gone[m]][1]
+        n = m + 1
+    return "".join(kept) + t[pos:]
 
 
 @cache

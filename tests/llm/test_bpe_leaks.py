@@ -108,3 +108,15 @@ def test_leaked_runs_are_cut_out(spark):
     items = spark.createDataFrame([(1, "a b c d")], "item_id bigint, item_text string")
     got = {r["doc_id"]: (r["clean_text"], r["removed_words"]) for r in leaks.remove_leaks(docs, items, least=4).collect()}
     assert got == {1: ("Keep this. ! And this here too.", 4), 2: (None, 4)}
+
+
+def test_runs_of_all_blocks_are_cut_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Keep a b c d this e f g h too, and much more of it."), (2, "a b c d x y e f g h"), (3, "a b c d e f g h i am here still, so it goes on and on."), (1, "Keep a b c d this e f g h too, and much more of it."), (4, "no")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (3, "c d e f g")], "item_id bigint, item_text string")
+    want = None
+    for size in (500_000, 3):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", size)
+        got = sorted((r["doc_id"], r["clean_text"], r["removed_words"]) for r in leaks.remove_leaks(docs, items, least=4).collect())
+        assert got == (want := want or got)
+    one = (1, "Keep  this  too, and much more of it.", 8)
+    assert want == [one, one, (2, None, 8), (3, " i am here still, so it goes on and on.", 8)]
