@@ -208,3 +208,14 @@ def test_sql_functions(spark):
     got = spark.sql("SELECT prepare_text('a\\u0001b') AS p, prepare_json_line('a\\nb') AS j, utf16_length('\U0001f600') AS n, normalize_term('Мам*') AS t").first()
     assert tuple(got) == ("a b", "a b", 2, "мам*")
     assert [r["token"] for r in spark.sql("SELECT token FROM search_tokens('Мама 5') ORDER BY ord").collect()] == ["Мама", " ", "5"]
+
+
+def test_the_newest_usable_record_counts(spark, tmp_path):
+    from lemmaflow.plans.text import precomputed_terms
+
+    body = lambda *w: '{"mdoc_id": 1, "tokens": [' + ", ".join(f'{{"text": "{x}", "start": 0, "end": 1, "analyses": [{{"lemma": "{x.lower()}{n}", "weight": 0.5}}]}}' for x, n in w) + "]}"
+    records = [(1, 1, body(("Дом", "a"))), (2, 1, body(("Дом", "b"))), (3, 1, None), (4, 2, body(("Лес", "a"))), (5, 2, '{"tokens": ['), (6, 3, body(("Сад", "a"))), (7, 3, '{"tokens": []}'), (8, 4, body(("Пол", "a"))), (9, 4, body(("Пол", "b"))), (10, 5, None)]
+    spark.createDataFrame(records, "rec_id bigint, mdoc_id bigint, body string").write.parquet(f"{tmp_path}/model_records.parquet")
+    spark.createDataFrame([(1, "Дом"), (2, "Лес"), (3, "Сад"), (4, "Пол"), (5, "Дом")], "mdoc_id bigint, original_text string").write.parquet(f"{tmp_path}/mystem_documents.parquet")
+    got = {(r["mdoc_id"], r["term"]) for r in precomputed_terms(spark, str(tmp_path)).where("keyword").collect()}
+    assert got == {(1, "домb"), (2, "лесa"), (3, "садa"), (4, "полb")}
