@@ -99,6 +99,18 @@ def test_texts_of_one_case_leave_no_trace_and_are_restored(spark):
     assert got == want
 
 
+def test_a_chain_may_gain_at_its_second_step_only():
+    first, second = ("cp1251", "koi8_r"), ("cp1251", "cp866")
+    costs = {garble("Вечер", first, second): 20.0, garble("Вечер", first): 16.0, "Вечер": 5.0}
+    assert len(costs) == 3 and mojibake.restore(garble("Вечер", first, second), None, lambda t: costs.get(t, 30.0)) == "Вечер"
+
+
+def test_samples_are_whole_texts(spark):
+    text = "Мама мыла раму. " * 200 + "Конец."
+    df = spark.createDataFrame([(1, text), (2, text)], "k bigint, t string")
+    assert mojibake.sample_texts(df, "k", "t") == {"ru": f"\n{text}\n{text}"}
+
+
 def test_lost():
     assert mojibake.is_lost("Ве�ер") and mojibake.is_lost("??? ????? ??") and mojibake.is_lost("sch?n")
     assert not mojibake.is_lost("Что?! Да??? Нет? http://a.b/?q=1 ok") and not mojibake.is_lost("")
