@@ -21,15 +21,15 @@ WORD, LEMMA, NUMBER, CURRENCY, AT, SCHEME, SEPARATOR, SHARP, PLUSES, PLUS, URL,
 
 # Names of currencies, in the order they are emitted.
 CURRENCY_FORMS = {
-    "$": "доллар dollar dólar 美元 usd",
-    "€": "евро euro 欧元 eur",
-    "£": "фунт pound pfund libra livre 英镑 gbp",
-    "₽": "рубль ruble rubel rublo rouble 卢布 rub",
-    "₣": "франк franc franken franco 法郎 chf",
-    "₩": "вон won 韩元 krw",
-    "₹": "рупия rupee rupie rupia roupie 卢比 inr",
-    "¥": "иена юань yen yuan 日元 元 jpy",
-    "元": "юань yuan cny",
+    "$": ["доллар", "dollar", "dólar", "美元", "usd"],
+    "€": ["евро", "euro", "欧元", "eur"],
+    "£": ["фунт", "pound", "pfund", "libra", "livre", "英镑", "gbp"],
+    "₽": ["рубль", "ruble", "rubel", "rublo", "rouble", "卢布", "rub"],
+    "₣": ["франк", "franc", "franken", "franco", "法郎", "chf"],
+    "₩": ["вон", "won", "韩元", "krw"],
+    "₹": ["рупия", "rupee", "rupie", "rupia", "roupie", "卢比", "inr"],
+    "¥": ["иена", "юань", "yen", "yuan", "日元", "元", "jpy"],
+    "元": ["юань", "yuan", "cny"],
 }
 # Stress marks that forms are freed of.
 STRESS = re.compile("[\u0301\u0341]")
@@ -37,6 +37,11 @@ STRESS = re.compile("[\u0301\u0341]")
 # The shape of e-mail addresses, and the marks inside them.
 _EMAIL = regex.compile(r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)+")
 _EMAIL_MARKS = re.compile(r"[._%+\-]+")
+# Addresses in a string of token classes: Separator, Url mark, At, word, mark of e-mails, other.
+_ADDRESS = re.compile(
+    r"(?<![^S])(?:(?=[^SA]*U[^SA]*(?:S|\Z))[^Sw]*(?P<url>w(?:[^S]*w)?)"
+    r"|(?=[^SU]*A[^SU]*(?:S|\Z))[^S]*?(?<![wm])m*+(?P<mail>w[wm]*+A[wm]*w))"
+)
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _HOST = rf"(?:{_LABEL}\.)*[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.?|\d{{1,3}}(?:\.\d{{1,3}}){{3}}|\[[0-9A-Fa-f:.]+\]"
 _URI = regex.compile(
@@ -45,6 +50,14 @@ _URI = regex.compile(
 )
 
 
+def _domain(address: str, kind: int) -> str:
+    """The host of a URL or what follows the @ of an e-mail address; empty if it isn't one."""
+    if kind == URL:
+        m = _URI.fullmatch(address)
+        return m["host"] if m else ""
+    return address.rpartition("@")[2] if _EMAIL.fullmatch(address) else ""
+
+
 @lru_cache
 def _classes() -> tuple[re.Pattern, ...]:
     return tuple(re.compile(f"[{python_class(n)}]+") for n in "SNW")
@@ -102,7 +115,7 @@ def make_forms(text: str, flags: int, lemmas: list[str], extra: list[str], optio
     else:
         keyword, values = True, dict.fromkeys([text, *extra])
         if kind == "CURRENCY" and options.expand_currency_forms:
-            values |= dict.fromkeys(CURRENCY_FORMS.get(text, "").split())
+            values |= dict.fromkeys(CURRENCY_FORMS.get(text, ()))
     return [(v.lower(), keyword) for v in values if v]
 
 
@@ -179,66 +192,32 @@ class Tokenizer:
             token.flags |= {"sharp": SHARP, "pluses": PLUSES, "plus": PLUS}.get(m.lastgroup or "", 0)
 
     def merged(self, text: str, tokens: list[Token]) -> list[Token]:
-        """With addresses merged, one in each group of tokens that no separator parts."""
-        if not (self.options.merge_urls or self.options.merge_emails):
-            return tokens
-        out: list[Token] = []
-        group: list[Token] = []
-        marks = 0
-        for t in tokens:
-            marks |= t.flags & (SCHEME | AT)
-            if t.flags & SEPARATOR:
-                out += self._merge_group(text, group, marks)
-                out.append(t)
-                group, marks = [], 0
-            else:
-                group.append(t)
-        return out + self._merge_group(text, group, marks)
-
-    def _merge_group(self, text: str, group: list[Token], marks: int) -> list[Token]:
-        if marks == SCHEME:
-            span, kind = self._url_span(group), URL
-        elif marks == AT:
-            span, kind = self._email_span(group), EMAIL
-        else:
-            return group
-        if span is None:
-            return group
-        a, b = span
-        start, end = group[a].start, group[b].end
-        whole = text[start:end]
-        if kind == URL:
-            m = _URI.fullmatch(whole)
-            extra = m["host"] if m else None
-        else:
-            extra = whole.rpartition("@")[2] if _EMAIL.fullmatch(whole) else None
-        if not extra:
-            return group
-        return [*group[:a], Token(whole, start, end, kind, extra=[extra]), *group[b + 1 :]]
+        """``tokens`` with addresses made one token each.
 
-    @staticmethod
-    def _url_span(group: list[Token]) -> tuple[int, int] | None:
-        words = [n for n, t in enumerate(group) if t.flags & (WORD | NUMBER)]
-        return (words[0], words[-1]) if words else None
+        Each token is written as a letter of its class, so that an address is a match in a string of
+        classes: it lies between separators, holds one kind of address mark only, and reaches from word
+        to word.
+        """
+        classes = "".join(map(self._class_of, tokens))
+        out: list[Token] = []
+        done = 0
+        for m in _ADDRESS.finditer(classes):
+            kind = URL if m["url"] else EMAIL
+            a, b = m.span("url" if m["url"] else "mail")
+            start, end = tokens[a].start, tokens[b - 1].end
+            domain = _domain(text[start:end], kind)
+            if domain:
+                out += tokens[done:a]
+                out.append(Token(text[start:end], start, end, kind, extra=[domain]))
+                done = b
+        return out + tokens[done:]
 
     @staticmethod
-    def _email_span(group: list[Token]) -> tuple[int, int] | None:
-        mark = lambda n: bool(_EMAIL_MARKS.fullmatch(group[n].text))
-        atom = lambda n: bool(group[n].flags & (WORD | NUMBER)) or mark(n)
-        for n, t in enumerate(group):
-            if t.flags & AT:
-                a = b = n
-                while a > 0 and atom(a - 1):
-                    a -= 1
-                while b + 1 < len(group) and atom(b + 1):
-                    b += 1
-                while a < n and mark(a):
-                    a += 1
-                while b > n and mark(b):
-                    b -= 1
-                if a < n < b:
-                    return a, b
-        return None
+    def _class_of(t: Token) -> str:
+        for flags, letter in ((SEPARATOR, "S"), (SCHEME, "U"), (AT, "A"), (WORD | NUMBER, "w")):
+            if t.flags & flags:
+                return letter
+        return "m" if _EMAIL_MARKS.fullmatch(t.text) else "x"
 
     def tokenize(self, text: str, analyzed: list[tuple] | None = None) -> list[tuple]:
         """(text, start, end, type, [(form, keyword)]) in code points; together the tokens are the text."""
@@ -250,7 +229,8 @@ class Tokenizer:
                 out.append((piece, at, at := at + len(piece), kind, forms))
             return out
         out = []
-        for t in self.merged(text, self.prepared(text, analyzed or [])):
+        found = self.prepared(text, analyzed or [])
+        for t in self.merged(text, found) if merging else found:
             source = text[t.start : t.end]
             forms = make_forms(source, t.flags, t.lemmas, t.extra, self.options)
             if not forms:

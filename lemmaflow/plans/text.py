@@ -307,7 +307,7 @@ x AS (SELECT rec_id, token_pos, n, json_extract_string(an, '$.lemma') AS lemma,
 """
 _LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"
 _AN = _AN.format(tokens=_LIST.format("json_extract(j, '$.tokens')"), analyses=_LIST.format("json_extract(tok, '$.analyses')"))
-_FORM_VALUES = ", ".join(f"('{c}', '{f}')" for c, names in CURRENCY_FORMS.items() for f in [c, *names.split()])
+_FORM_VALUES = ", ".join(f"('{c}', '{f}')" for c, names in CURRENCY_FORMS.items() for f in [c, *names])
 _HOSTS = "(?:(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\\.)*[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])?)"
 _DOMAIN = "[\\p{L}\\p{N}](?:[\\p{L}\\p{N}-]*[\\p{L}\\p{N}])?(?:\\.[\\p{L}\\p{N}](?:[\\p{L}\\p{N}-]*[\\p{L}\\p{N}])?)+"
 _WORDISH = "\\p{L}\\p{Nd}"
