@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lemmaflow.errors import InvalidOptions
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -17,14 +20,16 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine), a temporary folder becomes the
-    session's checkpoint folder.
+    Where a session on one machine names none, as in tests, a temporary folder becomes its checkpoint
+    folder; on a cluster that would be no shared folder, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidOptions("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"lemmaflow-{os.getpid()}")
         os.makedirs(found[7:], exist_ok=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -59,6 +64,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def first_deliveries(df: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of a table read from files, of each key only the first by file and place.
+
+    Keys and places alone are shuffled. The places of the later rows are broadcast if they are no more
+    than ``most``, so that the rows themselves stay where they are; else Spark joins by size.
+    """
+    at = ["_file", "_row"]
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    places = placed.select(F.col(key).alias("_key"), F.struct(*at).alias("at"))
+    several = places.groupBy("_key").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = staged(places.join(several, "_key").where("at <> first").select("at.*"), "later-rows")
+    return placed.join(F.broadcast(later) if later.count() <= most else later, at, "left_anti").drop(*at)
+
+
 def arrow_schema(ddl: str):
     """The Arrow schema of a DDL string; to be called on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
