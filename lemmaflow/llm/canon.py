@@ -1,11 +1,15 @@
 """One consistent form for texts that look alike but differ in their characters.
 
 Composition, widths, blanks and invisible characters are unified first. Then scripts are repaired token
-by token: the dominant script of a token is that of its letters that have no double in another script
-(or, if it has none, of such letters in the whole text), and its look-alike letters are replaced by
-their doubles in that script if the result is a word of the corpus. A token whose repair no word
-confirms keeps its letters in the canonical text and counts by its skeleton, where every look-alike is
-one letter, when texts are compared.
+by token, in tokens that mix scripts only: the dominant script of a token is that of its letters that
+have no double in another script (or, if it has none, of such letters in the whole text), and its
+look-alike letters are replaced by their doubles in that script if the result is a word of the corpus.
+
+For comparing texts a token counts by its skeleton, where every look-alike is one letter, if nothing
+tells its script: a token made of look-alikes only, in whatever script, or one whose repair no word of
+the corpus confirms. In the canonical text such tokens keep their letters.
+
+Texts that look alike form classes (alike_classes); pairs of them are made from the classes.
 
 Rules: letter case, marks, digits, superscripts and punctuation stay as they are; line ends are LF;
 blanks at either end are dropped; null and blank texts have no canonical form; redelivered keys count
@@ -121,29 +125,41 @@ def skeleton(token: str) -> str:
     return "\u0001" + "".join(latin.get(c, c) for c in unicodedata.normalize("NFD", token))
 
 
+@cache
+def _undecided() -> re.Pattern:
+    """A token all of whose letters have doubles in another script."""
+    letters = _doubt().pattern
+    return re.compile(rf"(?<![^\W\d_])(?<![\u0300-\u036f\u0483-\u0487]){letters}(?:{letters}|[\u0300-\u036f\u0483-\u0487])*(?![^\W\d_])")
+
+
 def repairs(text: str) -> dict[str, str]:
-    """Token -> its candidate repair, for the tokens of a plain text whose script is in doubt."""
+    """Token -> its candidate repair, for the tokens of a plain text that mix scripts."""
     if sum(bool(x.search(text)) for x in _HAS) < 2:
         return {}
     main = None
     out: dict[str, str] = {}
     for token in set(_TOKEN.findall(text)):
-        if not _doubt().search(token):
+        if sum(bool(x.search(token)) for x in _HAS) < 2 or not _doubt().search(token):
             continue
         target = _own_script(token)
-        if not target:
+        if not target and not _certain(token):
             if main is None:
                 main = _foremost(_certain(text)) or _foremost(Counter(s for c in text if (s := _script(c))))
             target = main
-        if target:
-            fixed = repair(token, target)
-            if fixed != token:
-                out[token] = fixed
+        fixed = repair(token, target) if target else token
+        # a token that stays mixed is no word; it is listed for its skeleton
+        out[token] = fixed if sum(bool(x.search(fixed)) for x in _HAS) < 2 else token
     return out
 
 
+def look_of(text: str, found: dict[str, str], sure: dict[str, str]) -> str:
+    """What a plain text is compared by: sure repairs made, and skeletons where nothing tells the script."""
+    changed = rewritten(text, {a: sure.get(a) or skeleton(a) for a in found if not _undecided().fullmatch(a)})
+    return _undecided().sub(lambda m: skeleton(m.group()), changed)
+
+
 def clean_words(text: str, doubtful: dict[str, str]) -> set[str]:
-    """Tokens of a plain text that need no repair and could be the result of one."""
+    """Tokens of a plain text that are of one script and could be the result of a repair."""
     return {t for t in set(_TOKEN.findall(text)) if t not in doubtful and _doubt().search(t)}
 
 
@@ -189,7 +205,7 @@ def canonical(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None =
             if found:
                 yield k, list(found.values()), None, p, None, _digest(t)
             else:
-                yield k, None, None, p if with_text else None, _digest(p), _digest(t)
+                yield k, None, None, p if with_text else None, _digest(look_of(p, {}, {})), _digest(t)
         yield from ((None, None, w, None, None, None) for w in words)
 
     first = staged(_over(docs, f"k {kind}, candidates array<string>, word string, p string, look binary, exact binary", first_rows), "canon-first")
@@ -207,19 +223,32 @@ def canonical(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None =
             found = repairs(p)
             words = set(known or ())
             sure = {a: b for a, b in found.items() if b in words}
-            look = rewritten(p, sure | {a: skeleton(a) for a in found if a not in sure})
-            yield k, rewritten(p, sure) if with_text else None, _digest(look), exact
+            yield k, rewritten(p, sure) if with_text else None, _digest(look_of(p, found, sure)), exact
 
     marked = doubtful.select("k", "p", "exact").join(known, "k", "left")
     repaired = _over(marked, f"k {kind}, canonical_text string, look binary, exact binary", final_rows)
     return sound.dropDuplicates(["k"]).unionByName(repaired).withColumnRenamed("k", key)
 
 
+def alike_classes(forms: DataFrame, key: str) -> DataFrame:
+    """(key, class_id, n_looks, n_alike): one row per text of a class of texts that look the same but aren't all equal.
+
+    class_id is the hexadecimal digest of the common look, n_looks the number of different texts in the
+    class and n_alike that of the keys the text looks like without being equal. Copies are counted
+    before they meet, so no class gathers in one task.
+    """
+    members = forms.select(key, "look", "exact").distinct()
+    copies = members.groupBy("look", "exact").agg(F.count("*").alias("n"))
+    classes = copies.groupBy("look").agg(F.count("*").alias("n_looks"), F.sum("n").alias("n_members")).where("n_looks > 1")
+    found = copies.join(classes, "look").select("look", "exact", "n_looks", (F.col("n_members") - F.col("n")).alias("n_alike"))
+    return members.join(found, ["look", "exact"]).select(key, F.lower(F.hex("look")).alias("class_id"), "n_looks", "n_alike")
+
+
 def alike_pairs(forms: DataFrame, key: str) -> DataFrame:
     """(key_a, key_b), smaller first: different keys whose texts look the same but aren't equal.
 
-    Exact copies are one class; only classes of one look are paired, so copies of one text meet no
-    copy of the same text, however many there are.
+    For reports that must name every pair; alike_classes() says the same in one row per text. Only
+    texts of one look are paired, and copies of one text meet no copy of the same text.
     """
     members = forms.select(F.col(key).alias("k"), "look", "exact").distinct()
     classes = members.select("look", "exact").distinct()

@@ -35,6 +35,11 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return forms.select("mdoc_id", "canonical_text", F.hex("look").alias("look"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text", with_text=False)
+    return canon.alike_classes(staged(forms.select("mdoc_id", "look", "exact"), "p4-forms"), "mdoc_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text", with_text=False)
     texts = staged(forms.select("mdoc_id", "look", "exact"), "p4-forms")
@@ -46,7 +51,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     spelled = issues.select(F.col("issue_type").alias("k"), "issue_type").distinct()
     forms = canon.canonical(spelled, "k", "issue_type", vocabulary=types.select(names))
     alike = forms.join(types, (F.col("canonical_text") == F.col("type_name")) & (F.col("k") != F.col("type_name"))).select(F.col("k").alias("issue_type"), "type_no")
-    odd = issues.join(F.broadcast(types), F.col("issue_type") == F.col("type_name"), "left_anti")
+    odd = issues.join(types, F.col("issue_type") == F.col("type_name"), "left_anti")
     wrong = odd.join(alike, "issue_type").select(F.lit("issue_type").alias("field_name"), F.col("issue_id").alias("key_a"), F.col("type_no").alias("key_b"))
     return pairs.unionByName(wrong)
 
@@ -94,6 +99,7 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p6_found": p6_found,
