@@ -8,14 +8,20 @@ Words are maximal runs of letters and digits; case, punctuation, white space, in
 widths and look-alike letters make no difference.
 
 Rules: null, empty and wordless documents and items never match; an item of fewer than ``least`` words
-matches as a whole only; equal items are all reported; a pair is reported once; extra columns are
-ignored; documents are read whole, in one pass for each block of items.
+matches as a whole only; equal items are all reported; a pair is reported once for each row of a
+document; extra columns are ignored; documents are read whole, and once, however many items there are.
+
+Items go to blocks by the hash of their key. Tasks build the automaton of each block and write it to
+the shared folder; the tasks of the documents hold a few million characters of texts at a time and lead
+them through the automata one after another, so that one automaton is in memory at once.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.functions.lookalikes import invisible, skeleton_table
-from lemmaflow.runtime import arrow_batch, arrow_schema, map_rows
+from lemmaflow.runtime import arrow_batch, arrow_schema, scratch
 
 WORD = re.compile(r"[^\W_]+")
-#: Words of test items in one automaton; more items take further automata and passes.
-BLOCK_WORDS = 500_000
+#: Words of test items in one automaton, about, and characters of documents that are led through all automata together.
+BLOCK_WORDS, BATCH_CHARS = 500_000, 4_000_000
 
 
 def normalised(text: str) -> str:
@@ -56,9 +62,9 @@ class Automaton:
                 ends.append((last, number))
         self.next, self.link, self.length = nxt, link, length
         # items of each state: those of every state whose suffix chain passes through it
-        holds: list[set[int]] = [set() for _ in nxt]
+        holds: dict[int, set[int]] = {}
         for s, number in ends:
-            while s > 0 and number not in holds[s]:
+            while length[s] >= least and number not in holds.setdefault(s, set()):
                 holds[s].add(number)
                 s = link[s]
         key = [k for k, _ in items]
@@ -66,6 +72,7 @@ class Automaton:
         self.long: list[tuple[int, ...]] = [()] * len(nxt)
         #: Whole short items that end a state's runs: (words, item).
         self.short: list[tuple[tuple[int, int], ...]] = [()] * len(nxt)
+        same: dict[tuple[int, ...], tuple[int, ...]] = {}  # states of one passage share one tuple
         whole: dict[int, list[tuple[int, int]]] = {}
         for number, (k, sequence) in enumerate(items):
             if 0 < len(sequence) < least:
@@ -76,8 +83,9 @@ class Automaton:
         for s in sorted(range(1, len(nxt)), key=length.__getitem__):
             up = link[s]
             if length[s] >= least:
-                self.long[s] = self.long[up] if length[up] >= least else tuple(key[n] for n in holds[s])
-            self.short[s] = self.short[up] + tuple(whole.get(s, ()))
+                found = self.long[up] if length[up] >= least else tuple(key[n] for n in sorted(holds[s]))
+                self.long[s] = same.setdefault(found, found)
+            self.short[s] = self.short[up] + tuple(whole[s]) if s in whole else self.short[up]
 
     @staticmethod
     def _extend(nxt, link, length, last: int, w: int) -> int:
@@ -152,61 +160,99 @@ class Automaton:
         return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items as word lists, in blocks of at most BLOCK_WORDS words (a longer item alone)."""
-    block, size = [], 0
-    for row in items.select(F.col(key), F.col(text).cast("string")).toLocalIterator():
-        found = words(row[1])
-        if row[0] is None or not found:
-            continue
-        if block and size + len(found) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row[0], found))
-        size += len(found)
-    yield block
-
-
-_AUTOMATA: dict[tuple, Automaton] = {}
-
-
-def _automaton(block, least: int) -> Automaton:
-    held = (hash(tuple((k, tuple(w)) for k, w in block)), least)
-    if held not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[held] = Automaton(block, least)
-    return _AUTOMATA[held]
-
-
-def _each_block(df: DataFrame, items: DataFrame, item_key: str, item_text: str, ddl: str, rows, least: int) -> DataFrame:
-    """Union over the blocks of items of ``rows(automaton, key, text)`` for every document, and the block's number."""
-    spark, arrow = df.sparkSession, arrow_schema(ddl)
-    out = None
-    for number, block in enumerate(item_blocks(items, item_key, item_text)):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sent.value, least)
-            for batch in batches:
-                found = [r for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for r in rows(automaton, k, t)]
-                yield arrow_batch(arrow, zip(*found) if found else [[] for _ in arrow])
-
-        part = df.mapInArrow(run, ddl).withColumn("block", F.lit(number))
-        out = part if out is None else out.unionByName(part)
-    return out
+def write_automata(items: DataFrame, key: str, text: str, least: int) -> list[str]:
+    """URIs of the automata of all items, about BLOCK_WORDS words each, built and written by tasks."""
+    place = scratch(items.sparkSession, "automata")
+    listed = items.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
+    # letters and digits with what parts them are at least two characters a word
+    size = listed.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
+    ddl = "uri string"
+    arrow = arrow_schema(ddl)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        held: dict[int, list[tuple[int, list[str]]]] = {}
+        for batch in batches:
+            for b, k, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = words(t)
+                if found:
+                    held.setdefault(b, []).append((k, found))
+        out = []
+        for b, found in held.items():
+            # a repeated attempt writes another file, and only the rows of the one that counts are seen
+            uri = f"{place}/{b}-{uuid.uuid4().hex}"
+            system, path = fs.FileSystem.from_uri(uri)
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(pickle.dumps(Automaton(sorted(found), least)))
+            out.append((uri,))
+        yield arrow_batch(arrow, zip(*out) if out else [[]])
+
+    blocked = listed.distinct().select(F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("b"), "k", "t").repartition(blocks, "b")
+    return sorted(r["uri"] for r in blocked.mapInArrow(build, ddl).collect())
+
+
+_HELD: dict[str, Automaton] = {}
+
+
+def _automaton(uri: str) -> Automaton:
+    """The automaton of a file; a task keeps the last one."""
+    if uri not in _HELD:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_stream(path) as f:
+            read = pickle.loads(f.read())
+        _HELD.clear()
+        _HELD[uri] = read
+    return _HELD[uri]
+
+
+def _through_all(docs: DataFrame, uris: list[str], ddl: str, rows) -> DataFrame:
+    """``rows(key, text, words, spans by item)`` of every document (k, t) with leaks, in one narrow pass."""
+    arrow = arrow_schema(ddl)
+
+    def judged(held: list[tuple[int, str, list[str]]]) -> pa.RecordBatch:
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for uri in uris:
+            automaton = _automaton(uri)
+            for n, (_, _, w) in enumerate(held):
+                spans = automaton.spans(w)
+                if spans:
+                    found.setdefault(n, {}).update(spans)
+        out = [r for n, spans in sorted(found.items()) for r in rows(*held[n], spans)]
+        return arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((k, t, words(t)))
+                size += len(t)
+                if size >= BATCH_CHARS:
+                    yield judged(held)
+                    held, size = [], 0
+        if held:
+            yield judged(held)
+
+    return docs.mapInArrow(run, ddl)
+
+
+def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t <> ''")
 
 
 def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", least: int = 12) -> DataFrame:
     """(key, item, n_words, coverage): leaked words of the item's runs, and their share of the document's words."""
-    docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
 
-    def rows(automaton: Automaton, k: int, t: str):
-        found = words(t)
-        for item, runs in automaton.spans(found).items():
+    def rows(k: int, t: str, found: list[str], spans: dict):
+        for item, runs in sorted(spans.items()):
             n = sum(b - a for a, b in runs)
             yield k, item, n, n / len(found)
 
-    out = _each_block(docs, items, item_key, item_text, "k bigint, item bigint, n_words bigint, coverage double", rows, least)
+    out = _through_all(_documents(df, key, text), write_automata(items, item_key, item_text, least), "k bigint, item bigint, n_words bigint, coverage double", rows)
     return out.select(F.col("k").alias(key), F.col("item").alias(item_key), "n_words", "coverage")
 
 
@@ -214,28 +260,13 @@ def remove_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """(key, clean_text, removed_words): leaked runs cut out of the documents that have any.
 
     A document more than ``drop_above`` of whose words leaked, to whichever items, has a null clean_text.
-    Each block of items gives the leaked runs of a row; they are joined before anything is cut.
     """
-    docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
-
-    def rows(automaton: Automaton, k: int, t: str):
-        spans = automaton.spans(words(t))
-        if spans:
-            gone = sorted({n for runs in spans.values() for a, b in runs for n in range(a, b)})
-            starts = [n for i, n in enumerate(gone) if not i or gone[i - 1] != n - 1]
-            ends = [n + 1 for i, n in enumerate(gone) if i + 1 == len(gone) or gone[i + 1] != n + 1]
-            yield k, t, starts, ends
-
-    each = _each_block(docs, items, item_key, item_text, "k bigint, t string, starts array<bigint>, ends array<bigint>", rows, least)
-    # a row leaks in the same blocks as its copies, so a key and text has as many rows in each block as it came in
-    found = each.groupBy("k", "t").agg(F.collect_set(F.struct("starts", "ends")).alias("runs"), (F.count("*") / F.countDistinct("block")).cast("bigint").alias("copies"))
-
-    def cut(x: dict):
-        at = word_spans(x["t"])
-        gone = sorted({n for r in x["runs"] for a, b in zip(r["starts"], r["ends"]) for n in range(a, b)})
-        yield from [(x["k"], None if len(gone) > drop_above * len(at) else _without(x["t"], at, gone), len(gone))] * x["copies"]
-
-    return map_rows(found, "k bigint, clean_text string, removed_words bigint", cut).withColumnRenamed("k", key)
+
+    def rows(k: int, t: str, found: list[str], spans: dict):
+        gone = sorted({n for runs in spans.values() for a, b in runs for n in range(a, b)})
+        yield k, None if len(gone) > drop_above * len(found) else _without(t, word_spans(t), gone), len(gone)
+
+    return _through_all(_documents(df, key, text), write_automata(items, item_key, item_text, least), "k bigint, clean_text string, removed_words bigint", rows).withColumnRenamed("k", key)
 
 
 def _without(t: str, at: list[tuple[int, int]], gone: list[int]) -> str:
