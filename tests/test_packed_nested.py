@@ -4,7 +4,7 @@ import json
 import random
 
 from lemmaflow.operators.nested import Index, flatten, flatten_batch
-from lemmaflow.operators.packed import best_path, expected, segments, split_packed
+from lemmaflow.operators.packed import best_path, expected, segments, split_packed, weight
 
 
 def values(spark, rows, **more):
@@ -37,21 +37,37 @@ def test_empty_table(spark):
     assert values(spark, []) == []
 
 
-def test_words_that_never_part_stay_together_at_a_low_price(spark):
-    rows = [(n, "S;часть речи;муж", "", 0) for n in range(40)] + [(100 + n, f"S;{w};муж", "", 0) for n, w in enumerate(["ед"] * 40)]
-    kept = {v for _, _, v in values(spark, rows, join_nats=0.1)}
-    assert "часть речи" in kept
-    assert {v for _, _, v in values(spark, rows)} >= {"часть", "речи"}
+def column(*groups):
+    """Rows of a column: each of the texts as often as is said."""
+    return [(n, raw, "", 0) for n, raw in enumerate(raw for raw, times in groups for _ in range(times))]
+
+
+def test_the_column_tells_which_words_stay_together(spark):
+    rows = column(("S;часть речи;муж", 40), ("S;ед муж", 40), ("S;ед;муж", 40), ("S;вид глагола", 9), ("S;один раз", 1), ("V;собств имя нарицат сущ", 20))
+    got = {v for _, _, v in values(spark, rows)}
+    assert got == {"S", "V", "часть речи", "муж", "ед", "вид глагола", "один", "раз", "собств имя нарицат сущ"}
+
+
+def test_rounds_of_learning_change_the_split(spark):
+    rows = column(("S;ед что", 100), ("S;ед", 60))
+    assert "ед что" in {v for _, _, v in values(spark, rows, rounds=0)}
+    assert {v for _, _, v in values(spark, rows)} == {"S", "ед", "что"}
+
+
+def test_words_with_many_partners_part_without_any_certain_value(spark):
+    rows = column(*((f"{a} {b}", 3) for a in ("S", "V", "A", "ADV", "NUM") for b in ("ед", "мн", "муж", "жен", "сред")))
+    assert {v for _, _, v in values(spark, rows)} == {"S", "V", "A", "ADV", "NUM", "ед", "мн", "муж", "жен", "сред"}
 
 
 def test_lattice():
-    edges = [dict(i=0, j=1, value="a", p=0.5), dict(i=1, j=2, value="b", p=0.5), dict(i=0, j=2, value="a b", p=0.2)]
-    assert best_path(edges, 0.0) == ["a", "b"]
-    counts = dict(expected(edges, 0.0))
+    edges = [dict(i=0, j=1, value="a", w=-0.7), dict(i=1, j=2, value="b", w=-0.7), dict(i=0, j=2, value="a b", w=-1.6)]
+    assert best_path(edges) == ["a", "b"]
+    counts = {v: c for v, _, c in expected(edges)}
     assert abs(counts["a"] + counts["a b"] - 1) < 1e-9 and counts["a"] == counts["b"]
-    long = [dict(i=n, j=m, value=f"v{n} {m}", p=1e-6) for n in range(3000) for m in (n + 1, n + 2) if m <= 3000]
-    assert len(best_path(long, 20.0)) == 3000 and abs(sum(c for _, c in expected(long, 20.0)) - 3000) < 60
+    long = [dict(i=n, j=m, value=f"v{n} {m}", w=-14.0 * (m - n)) for n in range(3000) for m in (n + 1, n + 2) if m <= 3000]
+    assert len(best_path(long)) == 3000 and abs(sum(c * k for _, k, c in expected(long)) - 3000) < 1e-6
     assert segments("«a, b» c") == [("a, b", True), ("c", True)]
+    assert weight(2, 9.5, 10, 0.0) > weight(2, 9.5, 10, 3.0) > weight(2, 9.5, 2, 3.0)
 
 
 def as_list(x):
