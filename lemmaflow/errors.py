@@ -51,3 +51,11 @@ class EngineProtocol(EngineError):
 
 class EngineClosed(EngineError):
     """Used after it was closed or had failed for good."""
+
+
+class EnginePoolExhausted(EngineError):
+    """No free session in time."""
+
+
+class AnswerError(LemmaflowError):
+    """A request that failed where its document was analyzed; the message names the error."""

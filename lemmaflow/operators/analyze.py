@@ -1,16 +1,19 @@
 """Documents to search tokens and positional postings: limits, chunks, analysis, alignment, tokens.
 
 Every step up to the postings is narrow: one pass over the documents inside Arrow batches, no shuffle.
-An analyzer's answer arrives as a column (see lemmaflow.sources.engines); a document without an answer
-is tokenized from its text alone.
-
-Rules: a null text has no tokens; an empty one has none and ends at 0. Rows that can't be analyzed stop
-the query, or with mode PERMISSIVE give an error and no tokens; messages never hold text. Other columns
-named in ``keep`` are carried along; the rest is dropped, so clashing names do no harm.
+Analyses come from an ``engine``, or arrive as a column of ``answers`` that one has attached (see
+lemmaflow.sources.engines); a document without an answer is tokenized from its text alone.
+
+Rules: a null text has no tokens; an empty one has none and ends at 0. Rows that can't be analyzed, or
+whose request failed, stop the query; with mode PERMISSIVE each result has a column ``error``, and such a
+document one row with the error and nulls. Messages never hold text. Other columns named in ``keep`` are
+carried along; the rest is dropped, so clashing names do no harm. ``deltas`` names a column of
+ARRAY<STRUCT<at, add>>, in order of ``at``, that leads offsets of a filtered text back to the unfiltered one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,14 +22,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.errors import InvalidOptions, LemmaflowError
+from lemmaflow.errors import AnswerError, InvalidOptions, LemmaflowError
 from lemmaflow.functions.text import CONTROL_MESSAGE, LINE_MESSAGE, NONCHARACTER_MESSAGE
 from lemmaflow.operators.parse import align, parse_tokens
 from lemmaflow.operators.tokens import Tokenizer, to_utf16
 from lemmaflow.options import AnalysisOptions, OversizedPolicy, PositionPolicy, TokenizerOptions
 from lemmaflow.runtime import arrow_batch, arrow_schema
 
-ANSWERS = "array<struct<at:int,n:int,json:string>>"
+STATS = "struct<elapsed_ms:double,mode:string,in_chars:int,in_bytes:int,out_chars:int,out_bytes:int>"
+#: Answers of an engine: for code points ``at`` to ``at + n`` the output, or the error, and the request's figures if there are any.
+ANSWERS = f"array<struct<at:int,n:int,json:string,error:string,stats:{STATS}>>"
+DELTAS = "array<struct<at:int,add:int>>"
 TOKENS = "array<struct<text:string,start:int,end:int,type:string,forms:array<struct<text:string,keyword:boolean>>>>"
 ISSUES = "array<struct<type:string,message:string,offset:int,length:int>>"
 #: Token types that the term stream leaves out.
@@ -91,20 +97,27 @@ class Analysis:
         self.tokens, self.issues, self.final = tokens, issues, final
 
 
-def analyze_text(text: str, answers: list[dict] | None, tokenizer: Tokenizer, options: AnalysisOptions) -> Analysis:
-    """Tokens of one document. ``answers``: analyzer output for pieces of it, by code-point start and length."""
+def analyze_text(text: str, answers: list[dict] | None, tokenizer: Tokenizer, options: AnalysisOptions, look_up=None) -> Analysis:
+    """Tokens of one document.
+
+    ``answers``: analyzer output for pieces of it, by code-point start and length. ``look_up`` gives the
+    analyzed tokens of a piece at once: (text, start, end, [(lemma, weight)]).
+    """
     whole = units(text)
     used = text
     if whole > options.max_input_chars:
         if options.oversized == OversizedPolicy.FAIL:
             raise InvalidOptions(f"the input has more than {options.max_input_chars} characters")
         used = prefix(text, options.max_input_chars)
+    failed = next((a["error"] for a in answers or () if a["error"]), None)
+    if failed:
+        raise AnswerError(failed)
     spans = [(a["at"], min(len(used), a["at"] + a["n"]), a["json"]) for a in answers] if answers else [(a, b, None) for a, b in reader_chunks(used, options.max_chunk_chars)]
     at = to_utf16(used)
     tokens, issues = [], []
     for a, b, output in spans:
         piece = used[a:b]
-        analyzed = None
+        analyzed = look_up(piece) if look_up else None
         if output is not None:
             safe, found = preparation_issues(piece)
             issues += [(kind, message, at(a + o), at(a + o + 1) - at(a + o)) for kind, message, o in found]
@@ -129,86 +142,124 @@ def postings_of(tokens: list[tuple], positions: PositionPolicy) -> tuple[list[tu
     return out, pending - 1
 
 
-def _run(df: DataFrame, key: str, text: str, answers: str | None, keep: tuple[str, ...], ddl: str, rows, tokenizer_options: TokenizerOptions, options: AnalysisOptions, mode: str) -> DataFrame:
-    types = dict(df.dtypes)
-    head = ", ".join(f"`{c}` {types[c]}" for c in (key, *keep))
-    arrow = arrow_schema(f"{head}, {ddl}")
-    chosen = [F.col(c) for c in (key, *keep)] + [F.col(text).cast("string").alias("_text"), (F.col(answers) if answers else F.lit(None)).cast(ANSWERS).alias("_answers")]
-    fixed = 1 + len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(tokenizer_options)
-        for batch in batches:
-            index: list[int] = []
-            out: list[tuple] = []
-            asked = batch.column(fixed + 1).to_pylist()
-            for n, t in enumerate(batch.column(fixed).to_pylist()):
-                try:
-                    found, error = (analyze_text(t, asked[n], tokenizer, options) if t is not None else None), None
-                except LemmaflowError as e:
-                    if mode != "PERMISSIVE":
-                        raise
-                    found, error = None, f"{type(e).__name__}: {e}"
-                made = rows(found, error)
-                out += made
-                index += [n] * len(made)
-            for a in range(0, max(len(out), 1), 50_000):
-                part = out[a : a + 50_000]
-                picked = pa.array(index[a : a + 50_000], pa.int64())
-                columns = [batch.column(i).take(picked) for i in range(fixed)]
-                yield arrow_batch(arrow, [*columns, *(zip(*part) if part else [[] for _ in range(len(arrow) - fixed)])])
-
-    return df.select(*chosen).mapInArrow(run, f"{head}, {ddl}")
-
-
-def analyze(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
-    """One row per document: tokens, issues, final_offset, end_increment and error."""
-
-    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
-        if found is None:
-            return [([], [], 0, 0, error)]
+def _describe(e: LemmaflowError) -> str:
+    return str(e) if isinstance(e, AnswerError) else f"{type(e).__name__}: {e}"
+
+
+def _moved(found: Analysis, deltas: list[dict] | None) -> Analysis:
+    """``found`` with its offsets in the unfiltered text."""
+    if not deltas:
+        return found
+    places = [d["at"] for d in deltas]
+
+    def at(o: int) -> int:
+        n = bisect_right(places, o)
+        return o + deltas[n - 1]["add"] if n else o
+
+    tokens = [(t, at(s), at(e), kind, forms) for t, s, e, kind, forms in found.tokens]
+    issues = [(kind, message, at(o), at(o + n) - at(o)) for kind, message, o, n in found.issues]
+    return Analysis(tokens, issues, at(found.final))
+
+
+class _Source:
+    """What all operators below share: documents, where analyses come from, and what becomes of failures."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, answers: str | None, tokenizer: TokenizerOptions, options: AnalysisOptions, keep: tuple[str, ...], mode: str, engine, deltas: str | None):
+        self.look_up = None
+        if engine is not None:
+            from lemmaflow.sources.engines import check_policy
+
+            check_policy(engine, options)
+            self.look_up = engine.look_up() if hasattr(engine, "look_up") else None
+            if self.look_up is None:
+                df, answers = engine.attach(df, key, text, options), "answers"
+        self.df, self.kept = df, (key, *keep)
+        self.extra = [F.col(text).cast("string"), (F.col(answers) if answers else F.lit(None)).cast(ANSWERS), (F.col(deltas) if deltas else F.lit(None)).cast(DELTAS)]
+        self.tokenizer, self.options, self.mode = tokenizer, options, mode
+
+    def rows(self, ddl: str, made, nothing: tuple | None = None) -> DataFrame:
+        """``made(found)`` gives the rows of an analyzed document; ``nothing`` is the row of a null text, if it has any."""
+        types, lenient = dict(self.df.dtypes), self.mode == "PERMISSIVE"
+        head = ", ".join(f"`{c}` {types[c]}" for c in self.kept)
+        whole = f"{head}, {ddl}" + (", error string" if lenient else "")
+        arrow, width = arrow_schema(whole), len(arrow_schema(ddl))
+        fixed, tokenizer_options, options, look_up = len(self.kept), self.tokenizer, self.options, self.look_up
+
+        def of(t: str | None, asked, deltas, tokenizer: Tokenizer) -> list[tuple]:
+            if t is None:
+                return [(*nothing, None) if lenient else nothing] if nothing else []
+            try:
+                found = made(_moved(analyze_text(t, asked, tokenizer, options, look_up), deltas))
+            except LemmaflowError as e:
+                if not lenient:
+                    raise
+                return [(*(nothing or [None] * width), _describe(e))]
+            return [(*r, None) for r in found] if lenient else found
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokenizer = Tokenizer(tokenizer_options)
+            for batch in batches:
+                index: list[int] = []
+                out: list[tuple] = []
+                for n, x in enumerate(zip(*(batch.column(fixed + i).to_pylist() for i in range(3)))):
+                    got = of(*x, tokenizer)
+                    out += got
+                    index += [n] * len(got)
+                for a in range(0, max(len(out), 1), 50_000):
+                    part = out[a : a + 50_000]
+                    picked = pa.array(index[a : a + 50_000], pa.int64())
+                    columns = [batch.column(i).take(picked) for i in range(fixed)]
+                    yield arrow_batch(arrow, [*columns, *(zip(*part) if part else [[] for _ in range(len(arrow) - fixed)])])
+
+        return self.df.select(*self.kept, *[c.alias(f"_x{n}") for n, c in enumerate(self.extra)]).mapInArrow(run, whole)
+
+
+def analyze(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:
+    """One row per document: tokens, issues, final_offset and end_increment; a null or failed text has none of them."""
+
+    def rows(found: Analysis) -> list[tuple]:
         tokens = [{"text": t, "start": s, "end": e, "type": k, "forms": [{"text": f, "keyword": w} for f, w in forms]} for t, s, e, k, forms in found.tokens]
         issues = [{"type": k, "message": m, "offset": o, "length": n} for k, m, o, n in found.issues]
-        return [(tokens, issues, found.final, postings_of(found.tokens, options.positions)[1], None)]
+        return [(tokens, issues, found.final, postings_of(found.tokens, options.positions)[1])]
 
-    return _run(df, key, text, answers, keep, f"tokens {TOKENS}, issues {ISSUES}, final_offset int, end_increment int, error string", rows, tokenizer, options, mode)
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows(f"tokens {TOKENS}, issues {ISSUES}, final_offset int, end_increment int", rows, ([], [], 0, 0))
 
 
-def search_tokens(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
+def search_tokens(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:
     """One row per token: ord, token, start, end, type."""
 
-    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
-        return [(n, t, s, e, k) for n, (t, s, e, k, _) in enumerate(found.tokens)] if found else []
+    def rows(found: Analysis) -> list[tuple]:
+        return [(n, t, s, e, k) for n, (t, s, e, k, _) in enumerate(found.tokens)]
 
-    return _run(df, key, text, answers, keep, "ord int, token string, start int, end int, type string", rows, tokenizer, options, mode)
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows("ord int, token string, start int, end int, type string", rows)
 
 
-def term_stream(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
+def term_stream(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:
     """One row per term: term, start, end, type, keyword, pos_inc, position."""
 
-    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
-        return postings_of(found.tokens, options.positions)[0] if found else []
+    def rows(found: Analysis) -> list[tuple]:
+        return postings_of(found.tokens, options.positions)[0]
 
-    return _run(df, key, text, answers, keep, "term string, start int, end int, type string, keyword boolean, pos_inc int, position int", rows, tokenizer, options, mode)
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows("term string, start int, end int, type string, keyword boolean, pos_inc int, position int", rows)
 
 
-def document_terms(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
+def document_terms(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:
     """One row per document and distinct term: term, n. Counted where the document is, without a shuffle."""
 
-    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
-        return list(Counter(r[0] for r in postings_of(found.tokens, options.positions)[0]).items()) if found else []
+    def rows(found: Analysis) -> list[tuple]:
+        return list(Counter(r[0] for r in postings_of(found.tokens, options.positions)[0]).items())
 
-    return _run(df, key, text, answers, keep, "term string, n bigint", rows, tokenizer, options, mode)
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows("term string, n bigint", rows)
 
 
-def document_stats(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST") -> DataFrame:
+def document_stats(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:
     """One row per document that has terms: n_terms, n_positions, n_distinct; without a shuffle."""
 
-    def rows(found: Analysis | None, error: str | None) -> list[tuple]:
-        posted = postings_of(found.tokens, options.positions)[0] if found else []
+    def rows(found: Analysis) -> list[tuple]:
+        posted = postings_of(found.tokens, options.positions)[0]
         return [(len(posted), posted[-1][6] + 1, len({r[0] for r in posted}))] if posted else []
 
-    return _run(df, key, text, answers, keep, "n_terms bigint, n_positions bigint, n_distinct bigint", rows, tokenizer, options, mode)
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows("n_terms bigint, n_positions bigint, n_distinct bigint", rows)
 
 
 def corrected(offset: Column, deltas: Column) -> Column:

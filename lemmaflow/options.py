@@ -162,9 +162,13 @@ class AnalyzerOptions:
 
 @dataclass(frozen=True)
 class PoolOptions:
-    """Recycling of the processes that answer requests; one lives in each running task."""
+    """The sessions that answer the requests of one running task, and when they are renewed.
 
-    max_size: int = os.cpu_count() or 1
+    Up to ``max_size`` are asked at once. With several cores to a task more may be set; with one, more
+    sessions only compete for it.
+    """
+
+    max_size: int = 1
     max_requests_per_worker: int = 2**31 - 1
     max_worker_age_s: float = 0.0
     acquire_timeout_s: float = 2.0

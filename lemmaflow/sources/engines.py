@@ -10,14 +10,14 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions, LemmaflowError
 from lemmaflow.functions.charclass import java_class, python_class
-from lemmaflow.operators.analyze import ANSWERS, preparation_issues, reader_chunks
-from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, ExecutionProfile, Limits, OutputFormat, PoolOptions
-from lemmaflow.runtime import arrow_batch
+from lemmaflow.operators.analyze import ANSWERS, STATS, prefix, preparation_issues, reader_chunks, units
+from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, ExecutionProfile, Limits, OutputFormat, OversizedPolicy, PoolOptions
+from lemmaflow.runtime import arrow_batch, staged
 
 
 class Engine(Protocol):
@@ -50,6 +50,11 @@ class NoEngine:
         return df.withColumn("answers", F.lit(None).cast(ANSWERS))
 
 
+def _answer(n: Column, json: Column) -> Column:
+    """One answer for a whole text of ``n`` code points."""
+    return F.array(F.struct(F.lit(0).alias("at"), n.alias("n"), json.alias("json"), F.lit(None).cast("string").alias("error"), F.lit(None).cast(STATS).alias("stats"))).cast(ANSWERS)
+
+
 class PrecomputedEngine:
     """Analyzer output that is already a column, one answer for the whole text."""
 
@@ -59,29 +64,47 @@ class PrecomputedEngine:
         self.column = column
 
     def attach(self, df: DataFrame, key: str, text: str, options: AnalysisOptions) -> DataFrame:
-        answer = F.struct(F.lit(0).alias("at"), F.length(text).alias("n"), F.col(self.column).alias("json"))
-        return df.withColumn("answers", F.when(F.col(self.column).isNotNull() & F.col(text).isNotNull(), F.array(answer)).cast(ANSWERS))
+        known = F.col(self.column).isNotNull() & F.col(text).isNotNull()
+        return df.withColumn("answers", F.when(known, _answer(F.length(text), F.col(self.column))))
 
 
 class DictionaryEngine:
     """Lemmas of a table of (word, lemma): words are looked up in small letters.
 
-    The words of all documents meet the dictionary in a join on the word, which Spark carries out by
-    size; each distinct word of a document is joined once. Homonyms give several analyses, in the order
-    of their lemmas. Words that the dictionary lacks are answered without an analysis, so that every
-    answer aligns with its own place.
+    A dictionary of at most ``local_words`` entries and ``local_chars`` characters, which is checked, is
+    sent to the tasks, and texts are analyzed where they lie. A larger one meets the words of the documents in
+    a join; each distinct word of a document is joined once, and the words are spread over 16 keys
+    each. Homonyms give several analyses, in the order of their lemmas. Words that the dictionary lacks
+    are answered without an analysis, so that every answer aligns with its own place.
     """
 
     profile, format = ExecutionProfile.UNKNOWN, OutputFormat.JSON
 
-    def __init__(self, dictionary: DataFrame, word: str = "word", lemma: str = "lemma"):
+    def __init__(self, dictionary: DataFrame, word: str = "word", lemma: str = "lemma", local_words: int = 1_000_000, local_chars: int = 32_000_000):
         self.dictionary = dictionary.select(F.lower(word).alias("w"), F.col(lemma).alias("lemma")).where("w <> '' and lemma <> ''").distinct()
+        self.local_words, self.local_chars = local_words, local_chars
+
+    def look_up(self):
+        """A function from a piece of text to its analyzed tokens, or None if the dictionary is too large to be sent."""
+        spark = self.dictionary.sparkSession
+        held = staged(self.dictionary, "dictionary")
+        n, chars = held.agg(F.count("*"), F.coalesce(F.sum(F.length("w") + F.length("lemma")), F.lit(0))).first()
+        if n > self.local_words or chars > self.local_chars:
+            return None
+        lemmas: dict[str, list[str]] = {}
+        for w, lemma in held.collect():
+            lemmas.setdefault(w, []).append(lemma)
+        sent = spark.sparkContext.broadcast({w: [(x, None) for x in sorted(found)] for w, found in lemmas.items()})
+        return _LookUp(sent, f"[{python_class('W')}]+")
 
     def attach(self, df: DataFrame, key: str, text: str, options: AnalysisOptions) -> DataFrame:
+        """``df`` with answers by a join, for dictionaries of any size."""
         run = f"[{java_class('W')}]+"
         words = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)))).alias("word"))
         entries = self.dictionary.groupBy("w").agg(F.array_sort(F.collect_list("lemma")).alias("lemmas"))
-        known = words.join(entries, F.lower("word") == F.col("w")).groupBy("k").agg(F.collect_list(F.struct("word", "lemmas")).alias("_known"))
+        salted = words.withColumns({"w": F.lower("word"), "salt": F.pmod(F.xxhash64("k"), F.lit(16)).cast("int")})
+        entries = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        known = salted.join(entries, ["w", "salt"]).groupBy("k").agg(F.collect_list(F.struct("word", "lemmas")).alias("_known"))
         joined = df.join(known.withColumnRenamed("k", "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
         names = [c for c in df.columns if c != "answers"]
         out_schema = _with_answers(df.select(*names))
@@ -107,6 +130,19 @@ class DictionaryEngine:
         return joined.select(*names, "_known").mapInArrow(run_batches, out_schema)
 
 
+class _LookUp:
+    """Words of a piece of text with the lemmas of a dictionary that was sent to the task."""
+
+    def __init__(self, sent, pattern: str):
+        self.sent, self.pattern = sent, pattern
+
+    def __call__(self, piece: str) -> list[tuple[str, int, int, list[tuple[str, None]]]]:
+        import re
+
+        held = self.sent.value
+        return [(w := m.group(), *m.span(), held.get(w.lower(), [])) for m in re.finditer(self.pattern, piece)]
+
+
 def _with_answers(df: DataFrame):
     from pyspark.sql.types import StructType
 
@@ -120,10 +156,12 @@ def _to_arrow(schema):
 
 
 class ProcessEngine:
-    """An external analyzer: one process per running task, which answers chunk by chunk.
+    """An external analyzer: a pool of processes per running task, which answer chunk by chunk.
 
-    Concurrency is the number of tasks; repartition the documents to set it. A document whose request
-    fails stops the query, or with mode PERMISSIVE has no answer; the process is renewed either way.
+    A task asks for as many documents at once as its pool has sessions, and keeps their order. Each
+    answer carries the figures of its request. A document whose request fails stops the query, or with mode
+    PERMISSIVE its answer is the error, which the analysis reports. Of a text over the limit the policy
+    of ``options`` tells what is sent: the prefix that is analyzed, or nothing, as the analysis refuses it.
     """
 
     format = OutputFormat.JSON
@@ -140,23 +178,42 @@ class ProcessEngine:
         at = names.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from lemmaflow.sources.process import Worker
+            from concurrent.futures import ThreadPoolExecutor
+            from dataclasses import asdict
+
+            from lemmaflow.sources.process import Pool
+
+            sessions = Pool(command, request, limits, pool)
+
+            def asked(t: str, a: int, b: int) -> dict:
+                out, stats = sessions.ask(preparation_issues(t[a:b])[0])
+                return {"at": a, "n": b - a, "json": out, "stats": asdict(stats)}
+
+            def answers(t: str | None) -> list[dict] | None:
+                if t is None:
+                    return None
+                if units(t) > options.max_input_chars:
+                    if options.oversized == OversizedPolicy.FAIL:
+                        return None
+                    t = prefix(t, options.max_input_chars)
+                try:
+                    return [asked(t, a, b) for a, b in reader_chunks(t, options.max_chunk_chars)]
+                except LemmaflowError as e:
+                    if mode != "PERMISSIVE":
+                        raise
+                    return [{"at": 0, "n": len(t), "error": f"{type(e).__name__}: {e}"}]
 
-            worker = Worker(command, request, limits, pool)
             try:
-                for batch in batches:
-                    answers = []
-                    for t in batch.column(at).to_pylist():
-                        try:
-                            # an input over the limit isn't sent; the analysis deals with it by its policy
-                            skip = t is None or len(t) > options.max_input_chars
-                            answers.append(None if skip else [{"at": a, "n": b - a, "json": worker.ask(preparation_issues(t[a:b])[0])[0]} for a, b in reader_chunks(t, options.max_chunk_chars)])
-                        except LemmaflowError:
-                            if mode != "PERMISSIVE":
-                                raise
-                            answers.append(None)
-                    yield arrow_batch(arrow, [*batch.columns, answers])
+                with ThreadPoolExecutor(pool.max_size) as threads:
+                    for batch in batches:
+                        yield arrow_batch(arrow, [*batch.columns, list(threads.map(answers, batch.column(at).to_pylist()))])
             finally:
-                worker.close()
+                sessions.close()
 
         return df.select(*names).mapInArrow(run, out_schema)
+
+
+def request_stats(answered: DataFrame, key: str) -> DataFrame:
+    """One row per request of a column ``answers``: at, elapsed_ms, mode, in_chars, in_bytes, out_chars, out_bytes and error."""
+    each = answered.select(key, F.explode("answers").alias("a"))
+    return each.select(key, "a.at", "a.stats.*", "a.error")

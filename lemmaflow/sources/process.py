@@ -9,9 +9,9 @@ import subprocess
 import threading
 import time
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from lemmaflow.errors import EngineClosed, EngineNotFound, EngineOutputLimit, EngineProcess, EngineProtocol, EngineStartup, EngineTimeout, InvalidOptions
+from lemmaflow.errors import EngineClosed, EngineNotFound, EngineOutputLimit, EnginePoolExhausted, EngineProcess, EngineProtocol, EngineStartup, EngineTimeout, InvalidOptions
 from lemmaflow.options import AnalyzerOptions, Encoding, ExecutionMode, Limits, OutputFormat, PoolOptions
 
 #: Session setting and environment variable that name the executable.
@@ -194,27 +194,85 @@ class Session:
         self.process.wait()
 
 
-class Worker:
-    """The session of one task: started when needed, renewed when spent, idle too long or broken."""
+class Pool:
+    """Sessions for the requests of one task, lent to one request at a time.
+
+    ``warmup`` sessions start at once; after each request enough are started to have ``min_idle`` free.
+    A session that is spent, too old, idle too long or broken is replaced. A request that finds all
+    ``max_size`` sessions lent waits ``acquire_timeout_s`` at most.
+    """
 
     def __init__(self, command: list[str], options: AnalyzerOptions, limits: Limits, pool: PoolOptions):
         self._new = lambda: Session(command, options, limits)
-        self.pool, self.limits, self.session = pool, limits, None
-        self.started = 0
+        self.pool, self.limits = pool, limits
+        self._free: deque[Session] = deque()
+        self._changed = threading.Condition()
+        self._lent = self.started = 0
+        self._closed = False
+        self._fill(max(pool.warmup, pool.min_idle))
+
+    def _fill(self, least: int) -> None:
+        while not self._closed and len(self._free) < least and self._lent + len(self._free) < self.pool.max_size:
+            self._free.append(self._new())
+            self.started += 1
 
-    def ask(self, text: str) -> tuple[str, Stats]:
-        s, now = self.session, time.monotonic()
-        spent = s is not None and (s.broken or s.served >= self.pool.max_requests_per_worker or (0 < self.pool.max_worker_age_s < now - s.born) or (0 < self.limits.idle_timeout_s < now - s.used))
-        if spent:
-            s.close()
-        if s is None or spent:
-            self.session = self._new()
+    def _usable(self, s: Session) -> bool:
+        now = time.monotonic()
+        old, idle = self.pool.max_worker_age_s, self.limits.idle_timeout_s
+        return not (s.broken or s.served >= self.pool.max_requests_per_worker or 0 < old < now - s.born or 0 < idle < now - s.used)
+
+    def _acquire(self) -> Session:
+        until = time.monotonic() + self.pool.acquire_timeout_s
+        with self._changed:
+            while True:
+                if self._closed:
+                    raise EngineClosed("the pool has ended")
+                while self._free:
+                    s = self._free.popleft()
+                    if self._usable(s):
+                        self._lent += 1
+                        return s
+                    s.close()
+                if self._lent < self.pool.max_size:
+                    self._lent += 1
+                    break
+                if not self._changed.wait(max(0.0, until - time.monotonic())) and time.monotonic() >= until:
+                    raise EnginePoolExhausted(f"no free session within {self.pool.acquire_timeout_s} s")
+        try:
+            s = self._new()
+        except BaseException:
+            self._give_back(None)
+            raise
+        with self._changed:
             self.started += 1
-        return self.session.ask(text)
+        return s
+
+    def _give_back(self, s: Session | None) -> None:
+        with self._changed:
+            self._lent -= 1
+            if s is not None:
+                if self._closed or not self._usable(s):
+                    s.close()
+                else:
+                    self._free.append(s)
+                self._fill(self.pool.min_idle)
+            self._changed.notify()
+
+    def ask(self, text: str) -> tuple[str, Stats]:
+        s = self._acquire()
+        try:
+            out, stats = s.ask(text)
+        finally:
+            self._give_back(s)
+        return out, replace(stats, mode=str(ExecutionMode.POOL))
 
     def close(self) -> None:
-        if self.session is not None:
-            self.session.close()
+        """Ends the free sessions now and lent ones when they come back."""
+        with self._changed:
+            self._closed = True
+            while self._free:
+                self._free.popleft().close()
+            self._changed.notify_all()
 
 
 def probe(executable: str, timeout_s: float = 5.0) -> tuple[str, Stats]:

@@ -12,9 +12,9 @@ from lemmaflow import errors
 from lemmaflow.functions.sql import register
 from lemmaflow.operators import search
 from lemmaflow.operators.analyze import analyze, corrected, term_stream
-from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, Encoding, ExecutionProfile, Limits, OutputFormat, PoolOptions, PositionPolicy, TokenizerOptions
+from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, Encoding, ExecutionProfile, Limits, OutputFormat, OversizedPolicy, PoolOptions, PositionPolicy, TokenizerOptions
 from lemmaflow.sources import archive, files, process
-from lemmaflow.sources.engines import DictionaryEngine, NoEngine, PrecomputedEngine, ProcessEngine, check_policy
+from lemmaflow.sources.engines import DictionaryEngine, NoEngine, PrecomputedEngine, ProcessEngine, check_policy, request_stats
 from lemmaflow.streaming.postings import stream_postings, term_counts, write_stream
 
 FAKE = [sys.executable, os.path.join(os.path.dirname(__file__), "fake_analyzer.py")]
@@ -69,9 +69,43 @@ def test_sessions():
         with pytest.raises(error):
             process.Session([*FAKE, mode], limits=Limits(timeout_s=0.5 if mode == "slow" else 10, output_bytes=5000)).ask("x")
     assert process.Session([*FAKE, "noisy"]).ask("x")[0]
-    worker = process.Worker([*FAKE, "pid"], AnalyzerOptions(), Limits(), PoolOptions(max_requests_per_worker=2))
-    assert len({worker.ask("x")[0] for _ in range(6)}) == 3 == worker.started
-    worker.close()
+
+
+def pool(mode="pid", limits=Limits(), **options):
+    return process.Pool([*FAKE, mode], AnalyzerOptions(), limits, PoolOptions(**options))
+
+
+def test_pools():
+    p = pool(max_requests_per_worker=2)
+    assert len({p.ask("x")[0] for _ in range(6)}) == 3 == p.started and p.ask("x")[1].mode == "POOL"
+    p.close()
+    with pytest.raises(errors.EngineClosed):
+        p.ask("x")
+    warm = pool(max_size=3, warmup=2, min_idle=1)
+    assert warm.started == 2
+    lent = [warm._acquire() for _ in range(3)]
+    assert warm.started == 3
+    waiting = pool(max_size=1, acquire_timeout_s=0.1)
+    waiting._acquire()
+    with pytest.raises(errors.EnginePoolExhausted):
+        waiting.ask("x")
+    lent[0].close()  # a broken session isn't lent again, and is replaced
+    for s in lent:
+        warm._give_back(s)
+    assert warm.ask("x")[0] and warm.started >= 3
+    for q in (warm, waiting):
+        q.close()
+    old = pool(max_worker_age_s=0.01)
+    old.ask("x"), __import__("time").sleep(0.05), old.ask("x")
+    assert old.started == 2
+    old.close()
+    from concurrent.futures import ThreadPoolExecutor
+
+    wide = pool("slow", max_size=4, acquire_timeout_s=10.0, limits=Limits(timeout_s=10.0))
+    with ThreadPoolExecutor(4) as threads:
+        assert all(threads.map(lambda n: wide.ask(str(n))[0] == f'[{{"text": "{n}", "analysis": [{{"lex": "{n}"}}]}}]', range(4)))
+    assert wide.started == 4
+    wide.close()
 
 
 def test_resolution_and_probe(tmp_path, monkeypatch):
@@ -114,18 +148,45 @@ def test_process_engine(spark):
     got = term_stream(engine.attach(df, "doc_id", "text", OPTIONS), "doc_id", "text", "answers").select("doc_id", "term", "start", "end", "keyword", "position", "pos_inc")
     assert terms(got) == [(1, "мама", 0, 4, True, 0, 1), (1, "папа", 5, 9, True, 1, 1), (2, "a", 0, 1, True, 0, 1), (2, "b", 2, 3, True, 1, 1)]
     lenient = ProcessEngine([*FAKE, "text"], mode="PERMISSIVE").attach(df, "doc_id", "text", OPTIONS)
-    assert term_stream(lenient, "doc_id", "text", "answers").count() == 4
+    failed = term_stream(lenient, "doc_id", "text", "answers", mode="PERMISSIVE").collect()
+    assert {r["doc_id"] for r in failed} == {1, 2} and all(r["term"] is None and "EngineProtocol" in r["error"] for r in failed)
+    figures = request_stats(engine.attach(df, "doc_id", "text", OPTIONS), "doc_id").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["at"], r["in_chars"], r["in_bytes"], r["mode"], r["error"]) for r in figures] == [(1, 0, 9, 17, "POOL", None), (2, 0, 3, 3, "POOL", None)]
+    assert all(r["elapsed_ms"] > 0 and r["out_chars"] > 0 for r in figures)
+    wide = ProcessEngine(FAKE, pool=PoolOptions(max_size=3))
+    many = docs(spark, [(n, f"A{n} B") for n in range(50)])
+    assert term_stream(many, "doc_id", "text", engine=wide).where("keyword").count() == 100
     slow = NoEngine()
     slow.profile = ExecutionProfile.PROCESS_PER_REQUEST
     with pytest.raises(errors.InvalidOptions):
         check_policy(slow, AnalysisOptions(client=ClientPolicy.REQUIRE_POOLED))
     with pytest.warns(UserWarning):
         check_policy(slow, AnalysisOptions(client=ClientPolicy.WARN))
+    with pytest.raises(errors.InvalidOptions):
+        term_stream(df, "doc_id", "text", engine=slow, options=AnalysisOptions(client=ClientPolicy.REQUIRE_POOLED))
     slow.format = OutputFormat.XML
     with pytest.raises(errors.InvalidOptions):
         check_policy(slow, OPTIONS)
 
 
+def test_a_truncated_text_is_analyzed_up_to_its_limit(spark):
+    df = docs(spark, [(1, "Alpha Beta Gamma"), (2, "Alpha Beta"), (3, "A\U0001f600B")])
+    short = AnalysisOptions(max_input_chars=11, max_chunk_chars=11, oversized=OversizedPolicy.TRUNCATE)
+    got = term_stream(df, "doc_id", "text", engine=ProcessEngine(FAKE), options=short)
+    assert [(r["doc_id"], r["term"], r["keyword"]) for r in got.where("doc_id < 3").orderBy("doc_id", "position").collect()] == [(1, "alpha", True), (1, "beta", True), (2, "alpha", True), (2, "beta", True)]
+    two = AnalysisOptions(max_input_chars=2, max_chunk_chars=2, oversized=OversizedPolicy.TRUNCATE)
+    assert [r["term"] for r in term_stream(df.where("doc_id = 3"), "doc_id", "text", engine=ProcessEngine(FAKE), options=two).collect()] == ["a"]
+    with pytest.raises(Exception, match="InvalidOptions"):
+        term_stream(df, "doc_id", "text", engine=ProcessEngine([*FAKE, "exit"]), options=AnalysisOptions(max_input_chars=2, max_chunk_chars=2)).collect()
+
+
+def test_a_filter_in_front_keeps_its_offsets(spark):
+    df = spark.createDataFrame([(1, "Мама & папа", [(6, 4)])], "doc_id bigint, text string, moved array<struct<at:int,add:int>>")
+    got = term_stream(df, "doc_id", "text", deltas="moved").orderBy("position").collect()
+    assert [(r["term"], r["start"], r["end"]) for r in got] == [("мама", 0, 4), ("папа", 11, 15)]
+    assert analyze(df, "doc_id", "text", deltas="moved").first()["final_offset"] == 15
+
+
 def test_dictionary_and_search(spark):
     df = docs(spark, [(1, "Мамы мыли раму"), (2, "Мама и папа, мама"), (3, "Папа"), (4, None)])
     words = spark.createDataFrame([("Мамы", "мама"), ("мама", "мама"), ("мыли", "мыть"), ("мыли", "мыло"), ("", "x"), (None, None)], "word string, lemma string")
@@ -141,6 +202,9 @@ def test_dictionary_and_search(spark):
     stats = {r["term"]: (r["tf"], r["df"]) for r in search.term_stats(p).collect()}
     assert stats["мама"] == (3, 2) and stats["раму"] == (1, 1)
     assert {r["doc_id"]: r["n_positions"] for r in search.doc_stats(p).collect()} == {1: 3, 2: 4, 3: 1}
+    ways = [term_stream(df, "doc_id", "text", engine=DictionaryEngine(words, local_words=n)) for n in (3, 2)]
+    assert DictionaryEngine(words, local_words=2).look_up() is None and DictionaryEngine(words, local_words=4).look_up() is not None
+    assert all(sorted(map(tuple, w.collect())) == sorted(map(tuple, p.collect())) for w in ways)
     asked = term_stream(DictionaryEngine(words).attach(spark.createDataFrame([(7, "МАМА, раму")], "query_id bigint, text string"), "query_id", "text", OPTIONS), "query_id", "text", "answers")
     assert sorted(tuple(r) for r in search.analyzed_query(p, asked).collect()) == [(7, 1, 2), (7, 2, 1)]
 
