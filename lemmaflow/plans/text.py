@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import text as T
-from lemmaflow.functions.charclass import gap_pattern, hex_class
+from lemmaflow.functions.sql import register
 from lemmaflow.operators import lemmas, nested, search
 from lemmaflow.operators.analyze import analyze, document_stats, document_terms, reader_chunks, search_tokens, term_stream
 from lemmaflow.operators.parse import align
-from lemmaflow.operators.tokens import CURRENCY_FORMS, to_utf16
+from lemmaflow.operators.tokens import to_utf16
 from lemmaflow.options import AnalysisOptions, PositionPolicy, TokenizerOptions
-from lemmaflow.runtime import map_rows, scratch, spread, table
+from lemmaflow.runtime import first_deliveries, map_rows, scratch, spread, table
 from lemmaflow.sources.engines import DictionaryEngine, NoEngine, PrecomputedEngine
-from lemmaflow.streaming.postings import stream_postings, write_stream
+from lemmaflow.streaming.postings import read_term_stats, stream_postings, stream_term_stats, term_counts, write_batches, write_stream
 
 SEARCH, ENTITIES = TokenizerOptions.search(), TokenizerOptions.entity_aware()
 PRESERVE = AnalysisOptions(positions=PositionPolicy.PRESERVE)
@@ -30,7 +30,7 @@ def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The analyzer's documents, a redelivered one once."""
-    return table(spark, d, "mystem_documents").select("mdoc_id", "original_text").dropDuplicates(["mdoc_id"])
+    return spread(first_deliveries(table(spark, d, "mystem_documents"), "mdoc_id").select("mdoc_id", "original_text"))
 
 
 def _postings(spark: SparkSession, d: str, tokenizer: TokenizerOptions = SEARCH, options: AnalysisOptions = AnalysisOptions()) -> DataFrame:
@@ -141,14 +141,12 @@ def _dictionary(spark: SparkSession, d: str) -> DictionaryEngine:
 
 
 def dictionary_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = _dictionary(spark, d).attach(_texts(spark, d), "mdoc_id", "original_text", AnalysisOptions())
-    p = term_stream(docs, "mdoc_id", "original_text", "answers", tokenizer=SEARCH)
+    p = term_stream(_texts(spark, d), "mdoc_id", "original_text", tokenizer=SEARCH, engine=_dictionary(spark, d))
     return p.where("keyword and type = 'word'").groupBy("mdoc_id", "term").agg(F.count("*").alias("n"))
 
 
 def lemma_phrase(spark: SparkSession, d: str) -> DataFrame:
-    docs = _dictionary(spark, d).attach(_texts(spark, d), "mdoc_id", "original_text", AnalysisOptions())
-    p = term_stream(docs, "mdoc_id", "original_text", "answers", tokenizer=SEARCH)
+    p = term_stream(_texts(spark, d), "mdoc_id", "original_text", tokenizer=SEARCH, engine=_dictionary(spark, d))
     return search.phrase_query(p, ["очень", "врыгола"], [0, 2], key="mdoc_id")
 
 
@@ -181,8 +179,7 @@ def precomputed_terms(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "model_records").select("rec_id", "mdoc_id").distinct()
     last = items.select("rec_id", F.to_json("items").alias("json")).join(ids, "rec_id").groupBy("mdoc_id").agg(F.max_by("json", "rec_id").alias("json"))
     docs = _texts(spark, d).join(last, "mdoc_id")
-    docs = PrecomputedEngine("json").attach(docs, "mdoc_id", "original_text", AnalysisOptions())
-    p = term_stream(docs, "mdoc_id", "original_text", "answers", tokenizer=ENTITIES)
+    p = term_stream(docs, "mdoc_id", "original_text", tokenizer=ENTITIES, engine=PrecomputedEngine("json"))
     return p.select("mdoc_id", "term", F.col("start").cast("bigint").alias("start_offset"), F.col("end").cast("bigint").alias("end_offset"), "type", "keyword", F.col("position").cast("bigint").alias("position"))
 
 
@@ -201,17 +198,50 @@ def normalized_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def echo_tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = NoEngine().attach(_docs(spark, d), "doc_id", "text", AnalysisOptions())
-    return term_stream(docs, "doc_id", "text", "answers").groupBy("type").agg(F.count("*").alias("n"))
+    return term_stream(_docs(spark, d), "doc_id", "text", engine=NoEngine()).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
     """Term counts of the documents read as a stream; the stream's files lie in the shared folder."""
-    schema = table(spark, d, "documents").schema
+    schema = table(spark, d, "documents").select("doc_id", "text").schema
     source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
     place = scratch(spark, "stream")
-    write_stream(stream_postings(source, "doc_id", "text", tokenizer=SEARCH), f"{place}/out", f"{place}/state").awaitTermination()
-    return spark.read.parquet(f"{place}/out").groupBy("term").agg(F.count("*").alias("n"))
+    stream_term_stats(source, "doc_id", "text", f"{place}/out", f"{place}/state", tokenizer=SEARCH, partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+    return read_term_stats(spark, f"{place}/out").select("term", F.col("tf").alias("n"))
+
+
+def stream_postings_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of the documents read as a stream, appended to Parquet exactly once, and counted there by type."""
+    schema = table(spark, d, "documents").select("doc_id", "text").schema
+    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
+    place = scratch(spark, "stream")
+    write_stream(stream_postings(source, "doc_id", "text", tokenizer=SEARCH, partitions=spark.sparkContext.defaultParallelism), f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out").groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("position").cast("bigint")).alias("positions"))
+
+
+def stream_hourly_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the documents by the hour they were written, counted in the stream."""
+    schema = table(spark, d, "documents").select("doc_id", "text", "written_at").schema
+    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]").where("written_at is not null").withColumn("written_at", F.col("written_at").cast("timestamp"))
+    place = scratch(spark, "stream")
+    postings = stream_postings(source.withWatermark("written_at", "3650 days"), "doc_id", "text", tokenizer=SEARCH, keep=("written_at",), partitions=spark.sparkContext.defaultParallelism)
+    counts = term_counts(postings, "written_at")
+    write_batches(counts, f"{place}/out", f"{place}/state", "complete").awaitTermination()
+    return spark.read.parquet(f"{place}/out").groupBy(F.date_format("window_start", "yyyy-MM").alias("month")).agg(F.sum("n").alias("n"), F.countDistinct("term").alias("n_terms"))
+
+
+def written_postings(spark: SparkSession, d: str) -> DataFrame:
+    """One term's postings, written as Parquet by the hash of the term and read from its part."""
+    place = scratch(spark, "postings")
+    search.write_postings(_postings(spark, d), place)
+    return search.read_term(spark, place, "weistim").select("doc_id", F.col("start").cast("bigint").alias("start_offset"), F.col("position").cast("bigint").alias("position"))
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in SQL: tokens by type, with the lengths of their texts in UTF-16 units."""
+    register(spark)
+    _docs(spark, d).where("text is not null").createOrReplaceTempView("lemmaflow_documents")
+    return spark.sql("SELECT s.type AS type, count(*) AS n, sum(CAST(utf16_length(s.token) AS BIGINT)) AS units FROM lemmaflow_documents, LATERAL search_tokens(text) s GROUP BY s.type")
 
 
 QUERIES = {
@@ -251,9 +281,24 @@ QUERIES = {
     "normalized_terms": normalized_terms,
     "echo_tokens": echo_tokens,
     "stream_term_counts": stream_term_counts,
+    "stream_postings_sink": stream_postings_sink,
+    "stream_hourly_terms": stream_hourly_terms,
+    "written_postings": written_postings,
+    "sql_functions": sql_functions,
 }
 
-_S, _N, _W, _C = (hex_class(n) for n in "SNWC")
+# The SQL says classes, messages and forms anew, in its own terms, so that a wrong table can't agree with itself.
+_S = '"\\p{Cc}\\p{Cf}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\\p{Zl}\\p{Zp} \\x{1680}\\x{2000}-\\x{2006}\\x{2008}-\\x{200A}\\x{205F}\\x{3000}'
+_PARTS = "\\p{Nd}\\p{M}\\p{Nl}\\p{No}\\x{AD}\\x{55B}\\x{55C}\\x{55E}\\x{6DE}"
+_W = "\\p{L}" + _PARTS
+_N = _PARTS + "+#.;·։؟۔܁܂।॥።፧᙮។៕᠁᠃᠉᥄᥅…‼‽⁇⁈⁉﹒﹖﹗" + "\\x{37E}\\x{387}"
+_C = "\\p{Sc}元"
+_CUT = "://|@|%s[" + _S + "]+|[" + _N + "]+|[" + _W + "]+|(?s:.)"
+_CONTROLS = "\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}-\\x{9F}"
+_UNSAFE = _CONTROLS + "\\x{FDD0}-\\x{FDEF}" + "".join(f"\\x{{{p}FFFE}}\\x{{{p}FFFF}}" for p in ["", *"123456789ABCDEF", "10"])
+_MONEY = """$ доллар, $ dollar, $ dólar, $ 美元, $ usd, € евро, € euro, € 欧元, € eur, £ фунт, £ pound, £ pfund, £ libra, £ livre, £ 英镑, £ gbp,
+₽ рубль, ₽ ruble, ₽ rubel, ₽ rublo, ₽ rouble, ₽ 卢布, ₽ rub, ₣ франк, ₣ franc, ₣ franken, ₣ franco, ₣ 法郎, ₣ chf, ₩ вон, ₩ won, ₩ 韩元, ₩ krw,
+₹ рупия, ₹ rupee, ₹ rupie, ₹ rupia, ₹ roupie, ₹ 卢比, ₹ inr, ¥ иена, ¥ юань, ¥ yen, ¥ yuan, ¥ 日元, ¥ 元, ¥ jpy, 元 юань, 元 yuan, 元 cny"""
 _LEN16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 
 
@@ -265,7 +310,7 @@ def _tokens(currencies: bool, numbers: bool, source: str = "SELECT doc_id, text,
     money = f"WHEN regexp_full_match(token, '[{_C}]') THEN 'CURRENCY' " if currencies else ""
     return f"""
 src AS ({source}),
-cut AS (SELECT *, regexp_extract_all(text, '{_q(gap_pattern(currencies, hex_class))}') AS l FROM src WHERE text IS NOT NULL),
+cut AS (SELECT *, regexp_extract_all(text, '{_q(_CUT % (f'[{_C}]|' if currencies else ''))}') AS l FROM src WHERE text IS NOT NULL),
 raw AS (SELECT * EXCLUDE (l, text), unnest(l) AS token, generate_subscripts(l, 1) - 1 AS ord FROM cut),
 placed AS (SELECT *, sum({_LEN16.format("token")}) OVER (PARTITION BY {key} ORDER BY ord) AS end_offset FROM raw),
 tok AS (SELECT *, end_offset - {_LEN16.format("token")} AS start_offset, CASE {money}
@@ -284,7 +329,6 @@ post AS (SELECT * EXCLUDE fl, lower(unnest(fl)) AS term, generate_subscripts(fl,
 
 _POST = "WITH " + _tokens(True, True) + "," + _FORMS
 _TEXTS = "SELECT DISTINCT mdoc_id, original_text AS text FROM mystem_documents WHERE original_text IS NOT NULL"
-_UNSAFE = T.UNSAFE_CONTROLS + T.NONCHARACTERS
 _ASKED = " UNION ALL ".join(f"SELECT {i} AS doc_id, '{t}' AS text, '' AS lang" for i, t in ASKED)
 _asked = _POST.replace("SELECT doc_id, text, lang FROM documents", _ASKED).replace("WITH ", "", 1)
 for _name in ("src", "cut", "raw", "placed", "tok", "f0", "bearing", "post"):
@@ -307,7 +351,7 @@ x AS (SELECT rec_id, token_pos, n, json_extract_string(an, '$.lemma') AS lemma,
 """
 _LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"
 _AN = _AN.format(tokens=_LIST.format("json_extract(j, '$.tokens')"), analyses=_LIST.format("json_extract(tok, '$.analyses')"))
-_FORM_VALUES = ", ".join(f"('{c}', '{f}')" for c, names in CURRENCY_FORMS.items() for f in [c, *names])
+_FORM_VALUES = ", ".join(f"('{c}', '{f}')" for c, f in [*(x.split() for x in _MONEY.split(",")), *((c, c) for c in "$€£₽₣₩₹¥元")])
 _HOSTS = "(?:(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\\.)*[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])?)"
 _DOMAIN = "[\\p{L}\\p{N}](?:[\\p{L}\\p{N}-]*[\\p{L}\\p{N}])?(?:\\.[\\p{L}\\p{N}](?:[\\p{L}\\p{N}-]*[\\p{L}\\p{N}])?)+"
 _WORDISH = "\\p{L}\\p{Nd}"
@@ -337,8 +381,8 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE {_LEN16.format("text")} END AS
     "prepare_json_line": f"WITH d AS ({_TEXTS}) SELECT mdoc_id, regexp_replace(text, '[{_UNSAFE}\\r\\n]', ' ', 'g') AS prepared, length(text) - length(regexp_replace(text, '[{_UNSAFE}\\r\\n]', '', 'g')) AS n_issues FROM d",
     "preparation_issues": f"""WITH d AS ({_TEXTS}), c AS (SELECT mdoc_id, regexp_extract_all(text, '[{_UNSAFE}\\r\\n]|[^{_UNSAFE}\\r\\n]+') AS l FROM d),
 e AS (SELECT mdoc_id, unnest(l) AS p, generate_subscripts(l, 1) AS n FROM c), o AS (SELECT *, sum({_LEN16.format("p")}) OVER (PARTITION BY mdoc_id ORDER BY n) - {_LEN16.format("p")} AS place FROM e)
-SELECT mdoc_id, CASE WHEN regexp_matches(p, '[{T.UNSAFE_CONTROLS}\\r\\n]') THEN 'CONTROL_CHARACTER' ELSE 'NONCHARACTER' END AS type,
-  CASE WHEN regexp_matches(p, '[\\r\\n]') THEN '{T.LINE_MESSAGE}' WHEN regexp_matches(p, '[{T.UNSAFE_CONTROLS}]') THEN '{T.CONTROL_MESSAGE}' ELSE '{T.NONCHARACTER_MESSAGE}' END AS message,
+SELECT mdoc_id, CASE WHEN regexp_matches(p, '[{_CONTROLS}\\r\\n]') THEN 'CONTROL_CHARACTER' ELSE 'NONCHARACTER' END AS type,
+  CASE WHEN regexp_matches(p, '[\\r\\n]') THEN 'Line separator replaced with space for JSON-line protocol' WHEN regexp_matches(p, '[{_CONTROLS}]') THEN 'Control character replaced with space' ELSE 'Unicode noncharacter replaced with space' END AS message,
   CAST(place AS BIGINT) AS issue_offset, CAST({_LEN16.format("p")} AS BIGINT) AS issue_length FROM o WHERE regexp_full_match(p, '[{_UNSAFE}\\r\\n]')""",
     "grammar_parse": _GRAMMAR + "SELECT gr_id, pos, array_to_string(common, ',') AS common, len(variants) AS n_variants, array_to_string(list_transform(variants, lambda v: array_to_string(v, ',')), '|') AS variants FROM g",
     "all_grammemes": _GRAMMAR + "SELECT gr_id, array_to_string(list_sort(list_distinct(list_concat(common, flatten(variants)))), ',') AS grammemes FROM g",
@@ -359,5 +403,32 @@ v AS (SELECT DISTINCT lower(token_text) AS w, lemma FROM token_forms WHERE token
 SELECT mdoc_id, lower(regexp_replace(lemma, '[\\x{{301}}\\x{{341}}]', '', 'g')) AS term, count(*) AS n FROM w JOIN v ON lower(word) = w GROUP BY ALL""",
     "normalized_terms": "SELECT lower(token_text) AS term, count(*) AS n FROM token_forms WHERE token_text IS NOT NULL GROUP BY 1",
     "echo_tokens": "WITH " + _tokens(False, False) + ", c AS (SELECT lower(type) AS type FROM tok WHERE type NOT IN ('SEPARATOR', 'OTHER')), x AS (SELECT token FROM tok WHERE type = 'WORD' AND regexp_full_match(token, '[" + _q(_N) + "]+') AND regexp_matches(token, '\\p{Nd}') AND regexp_matches(token, '(#|\\+)$') AND NOT regexp_matches(token, '[\\x{301}\\x{341}]')) SELECT 'word' AS type, (SELECT count(*) FROM c) + (SELECT count(*) FROM x) AS n",
+    "stream_postings_sink": _POST + " SELECT lower(type) AS type, count(*) AS n, CAST(sum(compact) AS BIGINT) AS positions FROM post GROUP BY 1",
+    "stream_hourly_terms": _POST.replace("SELECT doc_id, text, lang FROM documents", "SELECT doc_id, text, written_at FROM documents WHERE written_at IS NOT NULL") + " SELECT strftime(written_at, '%Y-%m') AS month, count(*) AS n, count(DISTINCT term) AS n_terms FROM post GROUP BY 1",
+    "written_postings": _POST + " SELECT doc_id, CAST(start_offset AS BIGINT) AS start_offset, compact AS position FROM post WHERE term = 'weistim'",
+    "sql_functions": "WITH " + _tokens(True, True) + f" SELECT type, count(*) AS n, CAST(sum({_LEN16.format('token')}) AS BIGINT) AS units FROM tok GROUP BY type",
+    "lemma_phrase": "WITH " + _tokens(True, True, _TEXTS, "mdoc_id").replace("regexp_extract_all(text, '", f"regexp_extract_all(text, '[{_W}]+|") + f""",
+v AS (SELECT DISTINCT lower(token_text) AS w, lemma FROM token_forms WHERE token_text <> '' AND lemma <> ''),
+kinds AS (SELECT * FROM tok WHERE type NOT IN ('SEPARATOR', 'OTHER') OR lower(token) IN (SELECT w FROM v)),
+p AS (SELECT mdoc_id, token, row_number() OVER (PARTITION BY mdoc_id ORDER BY ord) AS position FROM kinds),
+m AS (SELECT mdoc_id, position, lower(regexp_replace(coalesce(lemma, token), '[\\x{{301}}\\x{{341}}]', '', 'g')) AS term FROM p LEFT JOIN v ON lower(token) = w)
+SELECT DISTINCT a.mdoc_id FROM m a JOIN m b ON a.mdoc_id = b.mdoc_id AND b.position = a.position + 2 WHERE a.term = 'очень' AND b.term = 'врыгола'""",
+    "chunk_bounds": f"""WITH RECURSIVE d AS ({_TEXTS}),
+u AS (SELECT mdoc_id, regexp_replace(text, '[\\x{{10000}}-\\x{{10FFFF}}]', chr(57344) || chr(57345), 'g') AS u FROM d WHERE text <> ''),
+c AS (SELECT mdoc_id, u, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM u
+  UNION ALL SELECT mdoc_id, u, n + 1, b, b + CASE WHEN length(u) - b <= 200 THEN length(u) - b ELSE
+    CASE WHEN regexp_matches(w, '[\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\pZ]') THEN length(regexp_extract(w, '^(?s:.*)[\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\pZ]')) ELSE length(w) END END
+  FROM (SELECT *, regexp_replace(substring(u, b + 1, 200), chr(57344) || '$', '') AS w FROM c WHERE b < length(u)))
+SELECT mdoc_id, n AS chunk_no, a AS start_offset, b AS end_offset FROM c WHERE n >= 0""",
+    "align_records": f"""WITH RECURSIVE d AS ({_TEXTS}),
+{_AN.strip().removeprefix("WITH ").rsplit("a0 AS", 1)[0].rstrip().rstrip(",")},
+k AS (SELECT DISTINCT rec_id, mdoc_id FROM model_records),
+y AS (SELECT t.rec_id, token_pos, coalesce(json_extract_string(tok, '$.text'), '') AS w, TRY_CAST(json_extract(tok, '$.start') AS BIGINT) AS recorded_start FROM t),
+s AS (SELECT rec_id, text, CAST(-1 AS BIGINT) AS token_pos, CAST(0 AS BIGINT) AS cursor, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS recorded_start FROM (SELECT DISTINCT rec_id FROM y) JOIN k USING (rec_id) JOIN d USING (mdoc_id)
+  UNION ALL SELECT rec_id, text, token_pos, CASE WHEN found IS NULL THEN cursor ELSE cursor + hit - 1 + length(found) END, CASE WHEN found IS NULL THEN -1 ELSE cursor + hit - 1 END, CASE WHEN found IS NULL THEN -1 ELSE cursor + hit - 1 + length(found) END, recorded_start
+  FROM (SELECT *, CASE WHEN found = '' THEN 1 ELSE instr(rest, found) END AS hit FROM
+   (SELECT *, CASE WHEN w = '' OR contains(rest, w) THEN w WHEN contains(text, chr(173)) AND NOT contains(w, chr(173)) THEN nullif(regexp_extract(rest, soft), '') END AS found FROM
+    (SELECT s.rec_id, text, y.token_pos, cursor, y.recorded_start, w, substring(text, cursor + 1) AS rest, chr(173) || '*' || array_to_string(list_transform(string_split(w, ''), lambda c: regexp_escape(c)), chr(173) || '*') AS soft FROM s JOIN y ON s.rec_id = y.rec_id AND y.token_pos = s.token_pos + 1))))
+SELECT rec_id, token_pos, CASE WHEN a < 0 THEN -1 ELSE {_LEN16.format("substring(text, 1, a)")} END AS start_offset, CASE WHEN b < 0 THEN -1 ELSE {_LEN16.format("substring(text, 1, b)")} END AS end_offset, recorded_start FROM s WHERE token_pos >= 0""",
     "stream_term_counts": _POST + " SELECT term, count(*) AS n FROM post GROUP BY term",
 }
