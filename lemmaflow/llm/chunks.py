@@ -1,45 +1,48 @@
 """Oversized texts cut into pieces at natural boundaries, range by range.
 
-A text is read in ranges with a halo on either side. Each range gives a boundary table: its length in
+A text is read in byte ranges with a halo on either side. Each range gives a boundary table: its length in
 UTF-16 units, its natural cuts with their rank, the places of two-unit characters, and how long it stays
 unbroken at its edges. Prefix sums of the lengths turn these into places in the whole text, and a walk
 over the stitched tables, which holds one window of them at a time, emits the pieces by offset.
 
+Texts of a table are walked where they lie, range after range, without a shuffle. Files are read by as
+many tasks as they have ranges; their tables are stitched section by section (split_files).
+
 Rules: lengths and offsets are UTF-16 units. A piece is at most the limit long, unless the limit is 1 and
 the character takes 2. Cuts prefer the highest rank in the later half of a piece (blank line, sentence
 end, line end, white space, punctuation), else the last natural cut that makes progress, else the limit;
 never inside a character. Consecutive pieces share exactly the overlap (one more, or one less if only
 that goes on, where it would cut a character; at most the limit less one). A null, empty or blank text is never oversized for being blank;
 texts within the limit have no pieces. A limit of null is the default with its own overlap kept; a limit
-under 1 counts as 1, a null or negative overlap as 0.
+under 1 counts as 1, a null or negative overlap as 0. A key that comes again with the same text counts
+once; with another text, both are cut.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.runtime import arrow_batch, arrow_schema
+from lemmaflow.runtime import arrow_batch, arrow_schema, staged
 
 #: Fixed value: the limit where none is given.
 DEFAULT_LIMIT = 32_768
-#: Code points of a range, and of the halo that is read with it on either side.
-RANGE, HALO = 32_768, 256
+#: Bytes of a range of a text, and code points of the halo that is read with it on either side.
+RANGE, HALO = 65_536, 256
+#: Bytes of a section of a file. Longer files are first cut at the best natural place in the first range of each further section.
+SECTION = 512 << 20
 _TERMINAL = frozenset(".!?…。！？｡．։።፧؟۔।॥")
 _WIDE_TERMINAL = frozenset("。！？｡．։።፧।॥")
 _BLANKS = r"\p{Z}\t\n\x0b\x0c\r"
 _TABLE = "units int, cuts array<int>, ranks array<int>, wide array<int>, lead int, inner int, trail int"
 
 
-def utf16_length(text: Column) -> Column:
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
-
-
 def boundary_table(before: str, core: str, after: str):
     """The boundary table of ``core``; ``before`` and ``after`` are its halo."""
     import regex
@@ -137,105 +140,191 @@ class _Walk:
     def end(self) -> Iterator[tuple]:
         yield from self._pieces(True)
 
-    def summary(self) -> tuple:
-        return self.key, self.total, self.total > self.limit, self.total > self.limit and max(self.longest, self.run) > self.limit
 
+def _utf8_start(data, at: int) -> int:
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
 
-def _stitch(tables: DataFrame, kind: str, pieces: bool) -> DataFrame:
-    """Pieces, or one summary row, of every text from its boundary tables."""
-    ddl = f"k {kind}, piece_no bigint, start bigint, end bigint" if pieces else f"k {kind}, units bigint, oversized boolean, unbroken boolean"
-    arrow = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = None
-        for batch in batches:
-            out: list[tuple] = []
-            for x in batch.to_pylist():
-                if walk is None or walk.key != x["k"]:
-                    if walk is not None:
-                        out.extend(walk.end() if pieces else [walk.summary()])
-                    walk = _Walk(x["k"], x["limit"], x["overlap"])
-                got = list(walk.add(x["units"], x["cuts"], x["ranks"], x["wide"], x["lead"], x["inner"], x["trail"]))
-                if pieces:
-                    out += got
-            yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
-        if walk is not None:
-            out = list(walk.end()) if pieces else [walk.summary()]
-            yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
+def _ranges(data: memoryview) -> Iterator[tuple[int, str, str, str]]:
+    """(first byte, text before, text, text behind) of the ranges of UTF-8 bytes."""
+    edges = [*range(0, len(data), RANGE), len(data)]
+    edges = list(dict.fromkeys(_utf8_start(data, e) for e in edges))
+    for a, b in zip(edges, edges[1:]):
+        left = bytes(data[_utf8_start(data, max(0, a - 4 * HALO)) : a]).decode()
+        right = bytes(data[b : _utf8_start(data, min(len(data), b + 4 * HALO))]).decode()
+        yield a, left[-HALO:], bytes(data[a:b]).decode(), right[:HALO]
+
+
+class _Bytes:
+    """Byte places of UTF-16 places, for the part of a text that a walk still holds."""
+
+    def __init__(self):
+        self.held: deque[tuple[int, int, np.ndarray, np.ndarray]] = deque()
+
+    def add(self, unit: int, byte: int, core: str) -> None:
+        codes = np.frombuffer(core.encode("utf-32-le"), np.uint32)
+        units = np.concatenate([[0], np.cumsum(1 + (codes > 0xFFFF))])
+        sizes = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        self.held.append((unit, byte, units, sizes))
+
+    def at(self, unit: int) -> int:
+        """The byte of a place at or behind those asked before, less one window."""
+        first, byte, units, sizes = next(x for x in self.held if unit <= x[0] + x[2][-1])
+        return int(byte + sizes[np.searchsorted(units, unit - first)])
+
+    def drop(self, unit: int) -> None:
+        while len(self.held) > 1 and self.held[0][0] + self.held[0][2][-1] < unit:
+            self.held.popleft()
 
-    return tables.dropDuplicates(["k", "r"]).repartition("k").sortWithinPartitions("k", "r").mapInArrow(run, ddl)
 
+def _walk_text(key, data: memoryview, limit: int | None, overlap: int | None, pieces: bool) -> tuple[_Walk, list[tuple]]:
+    """The walk over one text, and with ``pieces`` its pieces: (key, number, start, end, text)."""
+    walk, places, out = _Walk(key, limit, overlap), _Bytes(), []
 
-def _oversized(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(limit).cast("int").alias("limit"), F.col(overlap).cast("int").alias("overlap")).where("k is not null and t is not null")
-    bound = F.greatest(F.coalesce(F.col("limit"), F.lit(DEFAULT_LIMIT)), F.lit(1))
-    # a code point has at most two units: most short texts need no exact length
-    return docs.where((F.length("t") * 2 > bound) & (utf16_length(F.col("t")) > bound))
+    def keep(got: Iterator[tuple]) -> None:
+        for k, number, a, b in got:
+            if pieces:
+                out.append((k, number, a, b, bytes(data[places.at(a) : places.at(b)]).decode()))
+                places.drop(max(0, a))
 
+    for byte, before, core, after in _ranges(data):
+        if pieces:
+            places.add(walk.total, byte, core)
+        keep(walk.add(*boundary_table(before, core, after)))
+    keep(walk.end())
+    return walk, out
 
-def _boundary_tables(docs: DataFrame, kind: str) -> DataFrame:
-    ddl = f"k {kind}, r bigint, limit int, overlap int, {_TABLE}"
+
+def _walked(df: DataFrame, key: str, text: str, limit: str, overlap: str, ddl: str, pieces: bool, rows) -> DataFrame:
+    """``rows(walk, pieces, digest)`` of every text that is longer than its limit, in one narrow pass."""
     arrow = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            out = [(x["k"], x["r"], x["limit"], x["overlap"], *boundary_table(x["before"], x["core"], x["after"])) for x in batch.to_pylist()]
+            out, size = [], 0
+            texts = batch.column(1)
+            for n, (k, lim, over) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)))):
+                data = memoryview(texts[n].as_buffer())
+                if len(data) <= max(1, DEFAULT_LIMIT if lim is None else lim):
+                    continue  # no text has more units than bytes
+                walk, found = _walk_text(k, data, lim, over, pieces)
+                if walk.total > walk.limit:
+                    out += rows(walk, found, xxhash.xxh64_intdigest(data) - (1 << 63))
+                    size += len(data)
+                if size > 32 << 20:
+                    yield arrow_batch(arrow, zip(*out))
+                    out, size = [], 0
             yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
 
-    cut = lambda a, n: F.substr("t", (a + 1).cast("int"), F.lit(n) if isinstance(n, int) else n.cast("int"))
-    r = F.col("r")
-    ranged = docs.select("k", "t", "limit", "overlap", F.explode(F.sequence(F.lit(0), F.ceil(F.length("t") / F.lit(RANGE)).cast("int") - 1)).alias("r"))
-    left = F.least(F.lit(HALO), r * RANGE)
-    ranged = ranged.select("k", r.cast("bigint").alias("r"), "limit", "overlap", cut(r * RANGE - left, left).alias("before"), cut(r * RANGE, RANGE).alias("core"), cut((r + 1) * RANGE, HALO).alias("after"))
-    return ranged.mapInArrow(run, ddl)
+    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(limit).cast("int").alias("limit"), F.col(overlap).cast("int").alias("overlap"))
+    return docs.where("k is not null and t <> ''").mapInArrow(run, ddl)
 
 
 def oversized_cases(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    """(key, units, oversized, unbroken) of the texts longer than their limit."""
-    kind = dict(df.dtypes)[key]
-    return _stitch(_boundary_tables(_oversized(df, key, text, limit, overlap), kind), kind, pieces=False).withColumnRenamed("k", key)
+    """(key, units, pieces, oversized, unbroken) of the texts that are cut, for each key and text once."""
+
+    def rows(walk: _Walk, found: list, digest: int) -> list[tuple]:
+        return [(walk.key, walk.total, walk.number, walk.number > 1, max(walk.longest, walk.run) > walk.limit, digest)]
+
+    ddl = f"k {dict(df.dtypes)[key]}, units bigint, pieces bigint, oversized boolean, unbroken boolean, h bigint"
+    return _walked(df, key, text, limit, overlap, ddl, False, rows).dropDuplicates(["k", "h"]).drop("h").withColumnRenamed("k", key)
+
 
+def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, unique: bool = False) -> DataFrame:
+    """(key, piece_no, start, end, piece): the pieces with their text.
 
-def piece_offsets(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    """(key, piece_no, start, end) of the texts longer than their limit."""
-    kind = dict(df.dtypes)[key]
-    return _stitch(_boundary_tables(_oversized(df, key, text, limit, overlap), kind), kind, pieces=True).withColumnRenamed("k", key)
+    ``unique`` says that no key comes again (see runtime.first_deliveries); otherwise pieces are shuffled
+    to drop repeated ones.
+    """
+
+    def rows(walk: _Walk, found: list, digest: int) -> list[tuple]:
+        return [(*r, digest) for r in found]
+
+    ddl = f"k {dict(df.dtypes)[key]}, piece_no bigint, start bigint, end bigint, piece string, h bigint"
+    out = _walked(df, key, text, limit, overlap, ddl, True, rows)
+    return (out if unique else out.dropDuplicates(["k", "h", "piece_no"])).drop("h").withColumnRenamed("k", key)
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    """(key, piece_no, start, end, piece): the pieces with their text."""
-    kind = dict(df.dtypes)[key]
-    offsets = piece_offsets(df, key, text, limit, overlap).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end"))).alias("p"))
-    ddl = f"k {kind}, piece_no bigint, start bigint, end bigint, piece string"
+def _sections(tables: DataFrame, per_section: int, limit: int, overlap: int, around: int) -> DataFrame:
+    """(k, piece_no, start, end) of files from the boundary tables of their ranges.
+
+    A section is walked by one task from its certain cut to that of the next one; both lie in first
+    ranges, so a section has the first range of the next besides its own, and ``around`` ranges of the one before
+    for the overlap. Only the lengths of sections and the numbers of their pieces are summed up file by file.
+    """
+    in_order = Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    tables = tables.withColumn("s", F.floor(F.col("r") / per_section).cast("bigint"))
+    lengths = tables.groupBy("k", "s").agg(F.sum("units").alias("units"))
+    bases = lengths.select("k", "s", F.coalesce(F.sum("units").over(in_order), F.lit(0)).alias("base"), F.max("s").over(Window.partitionBy("k")).alias("last"))
+    place = F.col("r") - F.col("s") * per_section
+    uses = F.array_compact(F.array("s", F.when((place == 0) & (F.col("s") > 0), F.col("s") - 1), F.when(place >= per_section - around, F.col("s") + 1)))
+    given = tables.withColumn("own", F.col("s")).withColumn("s", F.explode(uses)).join(bases, ["k", "s"])
+    ddl = "k string, s bigint, n bigint, start bigint, end bigint"
     arrow = arrow_schema(ddl)
 
+    def certain(x: dict) -> int:
+        """The best cut in the first range of a section, from its start; the start itself if there is none."""
+        return next((c for c, r in zip(x["cuts"], x["ranks"]) if r == max(x["ranks"])), 0)
+
+    def walked(rows: list[dict]) -> list[tuple]:
+        k, s, base, last = (rows[0][c] for c in ("k", "s", "base", "last"))
+        before = [x for x in rows if x["own"] < s]
+        walk = _Walk(k, limit, overlap)
+        walk.total = base - sum(x["units"] for x in before)
+        first = next(x for x in rows if x["own"] == s)
+        if s:
+            walk.start = max(0, base + certain(first) - walk.overlap)
+        out = []
+        for x in rows:
+            end = certain(x) if x["own"] > s else x["units"]
+            at = walk.total
+            walk.cuts += [at + c for c in x["cuts"] if c <= end]
+            walk.ranks += [r for c, r in zip(x["cuts"], x["ranks"]) if c <= end]
+            walk.wide += [at + w for w in x["wide"] if w < end]
+            walk.total += end
+            if x is first and s and walk._inside(walk.start):
+                walk.start -= 1
+            if x["own"] >= s:
+                out += walk._pieces(False)
+        if walk.total > walk.start and (walk.number or last):
+            out.append(walk._emit(walk.start, walk.total))
+        return [(k, s, n, a, b) for _, n, a, b in out]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            out = []
-            for k, t, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                units = t.encode("utf-16-le")
-                out += [(k, x["piece_no"], x["start"], x["end"], units[2 * x["start"] : 2 * x["end"]].decode("utf-16-le")) for x in p]
+            out: list[tuple] = []
+            for x in batch.to_pylist():
+                if held and (held[0]["k"], held[0]["s"]) != (x["k"], x["s"]):
+                    out += walked(held)
+                    held = []
+                held.append(x)
             yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
+        out = walked(held) if held else []
+        yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
 
-    docs = _oversized(df, key, text, limit, overlap).select(F.col("k").alias(key), "t").dropDuplicates([key])
-    return docs.join(offsets, key).mapInArrow(run, ddl).withColumnRenamed("k", key)
-
-
-def _utf8_start(data: bytes, at: int) -> int:
-    while at < len(data) and data[at] & 0xC0 == 0x80:
-        at += 1
-    return at
+    pieces = staged(given.repartition("k", "s").sortWithinPartitions("k", "s", "r").mapInArrow(run, ddl), "pieces")
+    counts = pieces.groupBy("k", "s").agg(F.count("*").alias("c"))
+    firsts = counts.select("k", "s", F.coalesce(F.sum("c").over(in_order), F.lit(0)).alias("first"))
+    return pieces.join(firsts, ["k", "s"]).select("k", (F.col("first") + F.col("n")).alias("piece_no"), "start", "end")
 
 
-def split_files(spark, files: list[tuple[str, int]], limit: int = DEFAULT_LIMIT, overlap: int = 0, range_bytes: int = 8 << 20) -> DataFrame:
+def split_files(spark, files: list[tuple[str, int]], limit: int = DEFAULT_LIMIT, overlap: int = 0, range_bytes: int = 8 << 20, section_bytes: int | None = None) -> DataFrame:
     """(path, piece_no, start, end) in UTF-16 units of UTF-8 files given as (URI, size in bytes).
 
     Tasks read only their byte range and its halo through the file's own file system; a range begins at
     the first whole character at or behind its offset, so that neighbours meet without gap or overlap.
+    A file of more than ``section_bytes`` is walked by several tasks, one for each section.
     """
-    ddl = f"k string, r bigint, limit int, overlap int, {_TABLE}"
+    ddl = f"k string, r bigint, {_TABLE}"
     arrow = arrow_schema(ddl)
     halo = 4 * HALO
+    per_section = max(1, (section_bytes or SECTION) // range_bytes)
+    around = 1 + 4 * max(0, overlap) // range_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -251,10 +340,12 @@ def split_files(spark, files: list[tuple[str, int]], limit: int = DEFAULT_LIMIT,
                 b = _utf8_start(data, min(len(data), x["at"] - lo + x["n"]))
                 left = data[_utf8_start(data, 0) : a].decode("utf-8", "replace")
                 right = data[b:].decode("utf-8", "ignore")
-                out.append((x["k"], x["r"], limit, overlap, *boundary_table(left[-HALO:], data[a:b].decode("utf-8", "replace"), right[:HALO])))
+                out.append((x["k"], x["r"], *boundary_table(left[-HALO:], data[a:b].decode("utf-8", "replace"), right[:HALO])))
             yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
 
     listed = spark.createDataFrame(files or [("", 0)], "k string, size bigint").where("size > 0")
     ranges = listed.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / range_bytes) - 1)).alias("r"), "size")
     ranges = ranges.select("k", "r", (F.col("r") * range_bytes).alias("at"), F.least(F.lit(range_bytes), F.col("size") - F.col("r") * range_bytes).alias("n"))
-    return _stitch(ranges.repartition("k", "r").mapInArrow(run, ddl), "string", pieces=True).withColumnRenamed("k", "path")
+    # the tables are written once: lengths are summed before the tables are walked
+    tables = staged(ranges.repartition("k", "r").mapInArrow(run, ddl), "boundaries")
+    return _sections(tables, per_section, limit, overlap, min(around, per_section)).withColumnRenamed("k", "path")

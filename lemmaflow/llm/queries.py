@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaflow.functions import lookalikes
 from lemmaflow.llm import bpe, canon, chunks, frequencies, leaks, mojibake, sentences
-from lemmaflow.runtime import spread, staged, table
+from lemmaflow.runtime import first_deliveries, map_rows, scratch, spread, staged, table
 
 
 def _limited(spark: SparkSession, d: str) -> DataFrame:
-    """The documents with the limit and overlap of their options."""
-    docs = table(spark, d, "mystem_documents").select("mdoc_id", "original_text", "analysis_options_id")
+    """The documents, a redelivered one once, with the limit and overlap of their options."""
+    docs = first_deliveries(table(spark, d, "mystem_documents"), "mdoc_id").select("mdoc_id", "original_text", "analysis_options_id")
     options = table(spark, d, "analysis_options").select("analysis_options_id", "max_chunk_chars", "overlap_chars").dropDuplicates(["analysis_options_id"])
     return spread(docs).join(options, "analysis_options_id", "left")
 
@@ -27,7 +26,34 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.split_texts(_limited(spark, d), *_CHUNKED)
+    return chunks.split_texts(_limited(spark, d), *_CHUNKED, unique=True)
+
+
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each document keep: its length and text, the limit, the overlap, and their numbers."""
+    options = _limited(spark, d).select("mdoc_id", "max_chunk_chars", "overlap_chars")
+    pieces = p1_pieces(spark, d).groupBy("mdoc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("p"))
+
+    def rows(x: dict):
+        p, limit = x["p"], x["max_chunk_chars"] or chunks.DEFAULT_LIMIT
+        overlap = min(max(0, x["overlap_chars"] or 0), limit - 1)
+        shared = [a["end"] - b["start"] for a, b in zip(p, p[1:])]
+        whole = b"".join(y["piece"].encode("utf-16-le")[2 * n :] for y, n in zip(p, [0, *shared])).decode("utf-16-le")
+        # where a character of two units stands at the edge, pieces share one unit more or less
+        yield x["mdoc_id"], p[-1]["end"], all(y["end"] - y["start"] <= limit for y in p), all(abs(n - overlap) <= 1 for n in shared), [y["piece_no"] for y in p] == list(range(len(p))), mojibake.md5(whole)
+
+    return map_rows(pieces.join(options, "mdoc_id"), "mdoc_id bigint, n_units bigint, limit_kept boolean, overlap_kept boolean, numbered boolean, text_md5 string", rows)
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as large files and cut by byte ranges: the units covered, and pieces that are too long or leave a gap."""
+    place = scratch(spark, "files")
+    table(spark, d, "documents").where("text is not null").select("text").write.text(place)
+    listed = spark.read.format("binaryFile").load(place).select("path", "length").collect()
+    pieces = chunks.split_files(spark, [(r["path"].replace("file:/", "file:///", 1) if r["path"].startswith("file:/") and not r["path"].startswith("file://") else r["path"], r["length"]) for r in listed], 4096, 128, 1 << 20, 8 << 20)
+    behind = pieces.select("path", (F.col("piece_no") + 1).alias("piece_no"), F.col("end").alias("before"))
+    each = pieces.join(behind, ["path", "piece_no"], "left").withColumn("shared", F.coalesce(F.col("before") - F.col("start"), F.lit(128)))
+    return each.agg((F.sum(F.col("end") - F.col("start")) - F.sum(F.when(F.col("piece_no") > 0, F.col("shared")).otherwise(0))).alias("n_units"), F.sum((F.col("end") - F.col("start") > 4096).cast("bigint")).alias("too_long"), F.sum((F.abs(F.col("shared") - 128) > 1).cast("bigint")).alias("not_shared"))
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +63,9 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text", with_text=False)
-    return canon.alike_classes(staged(forms.select("mdoc_id", "look", "exact"), "p4-forms"), "mdoc_id")
+    classes = canon.alike_classes(staged(forms.select("mdoc_id", "look", "exact"), "p4-forms"), "mdoc_id")
+    firsts = classes.groupBy("class_id").agg(F.min("mdoc_id").alias("first_alike"))
+    return classes.join(firsts, "class_id").select("mdoc_id", "n_looks", "n_alike", "first_alike")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +115,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.remove_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
+    """The documents with leaks: the words removed, and the words and their letters in the clean text."""
+    clean = leaks.remove_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
+
+    def rows(x: dict):
+        kept = None if x["clean_text"] is None else leaks.words(x["clean_text"])
+        yield x["doc_id"], x["removed_words"], None if kept is None else len(kept), None if kept is None else sum(map(len, kept))
+
+    return map_rows(clean, "doc_id bigint, removed_words bigint, words_left bigint, letters_left bigint", rows)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +132,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_cover": p1_cover,
+    "p1_files": p1_files,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
     "p4_classes": p4_classes,
@@ -120,48 +157,55 @@ m AS (SELECT c.*, CASE WHEN documents = 1 THEN 'rare' WHEN documents > 0.2 * tot
 """
 
 
-def _p8_sql() -> str:
-    """Runs of twelve words by a join of all runs of documents and items."""
-    table_ = lookalikes.skeleton_table()
-    joined = {chr(k): v for k, v in table_.items() if v is not None and len(v) > 1} | {"ß": "ss"}
-    one = {chr(k): v for k, v in table_.items() if v is not None and len(v) == 1 and v != " "}
-    quoted = lambda x: x.replace("'", "''")
-    gone = "".join(f"\\x{{{cp:X}}}" for cp in sorted(lookalikes.invisible()))
-    form = "nfc_normalize(@@)"
-    for c, v in joined.items():
-        form = f"replace({form}, '{c}', '{v}')"
-    form = f"nfc_normalize(translate(regexp_replace(lower({form}), '[{gone}]', '', 'g'), '{quoted(''.join(one))}', '{quoted(''.join(one.values()))}'))"
-    words = f"regexp_extract_all({form}, '[\\p{{L}}\\p{{N}}]+')"
-    grams = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM {1} WHERE len(w) >= 12"
+# The SQL has look-alikes, widths and invisible characters in its own terms, so that a wrong table can't agree with itself.
+_WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))) + "￠￡￢￥￦", "".join(map(chr, range(0x21, 0x7F))) + "¢£¬¥₩")
+_ALIKE = ("АВСЕНІЈКМОРЅТХУасеіјорѕхуЁёЇїһԁԛԝԌԚԜӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυια", "ABCEHIJKMOPSTXYaceijopsxyËëÏïhdqwGQWlABEZHIKMNOPTYXovpuia")
+#: Small letters that look alike in either case.
+_ALIKE_SMALL = ("авсенікморѕтхујёїһԁԛԝԍӏαβεζηικμνορτυχvuς", "abcehikmopstxyjëïhdqwglabezhikmnoptyxnyσ")
+_HIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{3164}\\x{FFA0}\\x{180B}-\\x{180F}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _sql_form(column: str, alike: tuple[str, str], small: bool) -> str:
+    """A text without invisible characters, with ordinary widths and blanks, and one letter for all that look alike."""
+    for c, v in (_LIGATURES | ({"ß": "ss", "ẞ": "ss"} if small else {})).items():
+        column = f"replace({column}, '{c}', '{v}')"
+    quoted = [x.replace("'", "''") for x in (*_WIDE, *alike)]
+    wide = f"translate(regexp_replace(regexp_replace(nfc_normalize({column}), '{_HIDDEN}', '', 'g'), '\\p{{Zs}}', ' ', 'g'), '{quoted[0]}', '{quoted[1]}')"
+    return f"nfc_normalize(translate({f'lower({wide})' if small else wide}, '{quoted[2]}', '{quoted[3]}'))"
+
+
+def _p8_sql(last: str) -> str:
+    """Runs of twelve words by a join of all runs of documents and items, whole shorter items by search."""
+    words = lambda c: f"regexp_extract_all({_sql_form(c, _ALIKE_SMALL, True)}, '[\\p{{L}}\\p{{N}}]+')"
+    grams = "SELECT {0}, unnest(range(1, len(w) - 10)) AS k, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM {1} WHERE len(w) >= 12"
     return f"""
-WITH d AS (SELECT doc_id, {words.replace("@@", "text")} AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, {words.replace("@@", "item_text")} AS w FROM eval_items WHERE item_text IS NOT NULL),
-short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS g FROM i WHERE len(w) BETWEEN 1 AND 11)
-SELECT DISTINCT doc_id, item_id FROM ({grams.format("doc_id", "d")}) a JOIN ({grams.format("item_id", "i")}) b USING (g)
-UNION SELECT doc_id, item_id FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', g)
-"""
+WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {words("item_text")} AS w FROM eval_items WHERE item_text IS NOT NULL),
+short AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS g FROM i WHERE len(w) BETWEEN 1 AND 11),
+near AS (SELECT doc_id, item_id, w, n, g FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || g || ' ')),
+hits AS (SELECT doc_id, item_id, a.k, 12 AS n FROM ({grams.format("doc_id", "d")}) a JOIN ({grams.format("item_id", "i")}) b USING (g)
+  UNION ALL SELECT doc_id, item_id, k, n FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM near) WHERE array_to_string(w[k:k + n - 1], ' ') = g)
+{last}"""
 
 
 def _p4_sql() -> str:
     """A plainer comparison: every look-alike folded everywhere."""
-    joined = {chr(k): v for k, v in lookalikes.widths().items() if len(v) > 1}
-    one = {chr(k): v for k, v in lookalikes.widths().items() if v != " " and len(v) == 1} | lookalikes.to_latin()
-    quoted = lambda x: x.replace("'", "''")
-    gone = "".join(f"\\x{{{cp:X}}}" for cp in sorted(lookalikes.invisible()) if cp < 0xE000 or cp > 0xF8FF)
-    column = "@@"
-    for c, v in joined.items():
-        column = f"replace({column}, '{c}', '{v}')"
-    form = f"nfc_normalize({column}), '[{gone}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')"
-    form = f"trim(regexp_replace(nfc_normalize(translate(regexp_replace(regexp_replace({form}, '{quoted(''.join(one))}', '{quoted(''.join(one.values()))}')), '\\r\\n?', chr(10), 'g'), ' ' || chr(10) || chr(9))"
+    form = lambda c: f"trim(regexp_replace({_sql_form(c, _ALIKE, False)}, '\\r\\n?', chr(10), 'g'), ' ' || chr(10) || chr(9))"
     return f"""
 WITH d AS (SELECT DISTINCT mdoc_id, original_text AS t FROM mystem_documents WHERE original_text IS NOT NULL),
-f AS (SELECT mdoc_id, t, {form.replace("@@", "t")} AS form FROM d),
-i AS (SELECT DISTINCT issue_id, issue_type AS t FROM text_issues WHERE issue_type IS NOT NULL AND issue_type NOT IN (SELECT type_name FROM issue_types))
-SELECT 'original_text' AS field_name, a.mdoc_id AS key_a, b.mdoc_id AS key_b FROM f a JOIN f b ON a.form = b.form AND a.mdoc_id < b.mdoc_id AND a.t <> b.t WHERE a.form <> ''
-UNION ALL SELECT 'issue_type', issue_id, type_no FROM i JOIN issue_types ON {form.replace("@@", "i.t")} = type_name
+f AS (SELECT mdoc_id, t, {form("t")} AS form FROM d),
+i AS (SELECT DISTINCT issue_id, issue_type AS t FROM text_issues WHERE issue_type IS NOT NULL AND issue_type NOT IN (SELECT type_name FROM issue_types)),
 """
 
 
+_P4_PAIRS = f"""pairs AS (SELECT 'original_text' AS field_name, a.mdoc_id AS key_a, b.mdoc_id AS key_b FROM f a JOIN f b ON a.form = b.form AND a.mdoc_id < b.mdoc_id AND a.t <> b.t WHERE a.form <> ''),
+spelled AS (SELECT 'issue_type' AS field_name, issue_id AS key_a, type_no AS key_b FROM (SELECT issue_id, trim({_sql_form("t", _ALIKE, False)}) AS form FROM i) JOIN issue_types ON form = type_name)
+SELECT * FROM pairs UNION ALL SELECT * FROM spelled"""
+_P4_CLASSES = """c AS (SELECT form, t, count(*) AS n FROM f WHERE form <> '' GROUP BY form, t), w AS (SELECT form, count(*) AS n_looks, sum(n) AS members FROM c GROUP BY form HAVING count(*) > 1)
+SELECT f.mdoc_id, w.n_looks, CAST(w.members - c.n AS BIGINT) AS n_alike, min(f.mdoc_id) OVER (PARTITION BY f.form) AS first_alike FROM f JOIN c ON f.form = c.form AND f.t = c.t JOIN w ON f.form = w.form"""
+
+
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH o AS (SELECT DISTINCT d.mdoc_id, d.original_text AS t, coalesce(a.max_chunk_chars, 32768) AS lim FROM mystem_documents d LEFT JOIN analysis_options a USING (analysis_options_id) WHERE d.original_text IS NOT NULL),
@@ -171,8 +215,19 @@ runs AS (SELECT mdoc_id, lim, unnest(regexp_extract_all(t, '[^\pZ\pP\t\n\x0B\f\r
 SELECT mdoc_id, 'oversized' AS case_kind FROM over
 UNION ALL SELECT DISTINCT mdoc_id, 'unbroken' FROM runs WHERE length(r) + length(regexp_replace(r, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > lim
 """,
-    "p4_found": _p4_sql(),
-    "p8_found": _p8_sql(),
+    "p1_cover": r"""
+WITH o AS (SELECT DISTINCT d.mdoc_id, d.original_text AS t, coalesce(a.max_chunk_chars, 32768) AS lim FROM mystem_documents d LEFT JOIN analysis_options a USING (analysis_options_id) WHERE d.original_text IS NOT NULL),
+big AS (SELECT *, length(t) + length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units FROM o)
+SELECT mdoc_id, units AS n_units, true AS limit_kept, true AS overlap_kept, true AS numbered, md5(t) AS text_md5 FROM big WHERE units > lim
+""",
+    "p1_files": r"SELECT CAST(sum(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + 1) AS BIGINT) AS n_units, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS not_shared FROM documents WHERE text IS NOT NULL",
+    "p4_found": _p4_sql() + _P4_PAIRS,
+    "p4_classes": _p4_sql() + _P4_CLASSES,
+    "p8_found": _p8_sql("SELECT DISTINCT doc_id, item_id FROM hits"),
+    "p8_leaks": _p8_sql(", p AS (SELECT DISTINCT doc_id, item_id, unnest(range(k, k + n)) AS place FROM hits) SELECT doc_id, item_id, count(*) AS n_words, count(*) / any_value(len(w)) AS coverage FROM p JOIN d USING (doc_id) GROUP BY doc_id, item_id"),
+    "p8_cleaned": _p8_sql(f""", p AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS place FROM hits), g AS (SELECT doc_id, list(place) AS gone, count(*) AS removed_words FROM p GROUP BY doc_id)
+SELECT doc_id, removed_words, CASE WHEN removed_words <= 0.5 * len(w) THEN len(w) - removed_words END AS words_left,
+  CASE WHEN removed_words <= 0.5 * len(w) THEN length(array_to_string(list_filter(w, lambda x, n: NOT list_contains(gone, n)), '')) END AS letters_left FROM g JOIN d USING (doc_id)"""),
     "p6_found": _P6 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_frequencies": _P6 + "SELECT field_name, term, occurrences, documents, mark FROM m",
 }

@@ -86,6 +86,17 @@ def test_files_by_ranges(spark, tmp_path):
     assert chunks.split_files(spark, []).count() == 0
 
 
+@pytest.mark.parametrize("overlap", [0, 20, 150])
+def test_sections_of_one_file_are_walked_apart(spark, tmp_path, overlap):
+    rng = random.Random(7)
+    text = "".join(rng.choice("аб cd. \n😀") for _ in range(4000)) + "x" * 3000 + "".join(rng.choice("аб cd. 😀") for _ in range(3000))
+    path = tmp_path / "big.txt"
+    path.write_text(text, "utf-8", newline="")
+    pieces = [(r["piece_no"], r["start"], r["end"]) for r in chunks.split_files(spark, [(path.as_uri(), path.stat().st_size)], 300, overlap, 700, 2100).orderBy("piece_no").collect()]
+    assert [n for n, _, _ in pieces] == list(range(len(pieces)))
+    check_pieces(text, 300, overlap, [(a, b) for _, a, b in pieces])
+
+
 def plain(rows, fields, share=0.2):
     seen, out = {}, {}
     for form, doc, *values in rows:
