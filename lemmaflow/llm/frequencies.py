@@ -1,10 +1,10 @@
 """Occurrences and document counts of every distinct term, by recursive radix spilling with DuckDB.
 
 Rows are spread over tasks by the hash of term and document, so that no term, however frequent, gathers
-in one task. A task partitions its rows by hash bits of the term; while they exceed its memory bound
-they go to files in the shared folder, and a file that is still too large is split by further bits (of
-term and document once the term's own are used up). DuckDB aggregates each partition alone; the small
-partial counts are then added up.
+in one task. A task partitions its rows by hash bits of the term; while they exceed its memory bound,
+its largest partitions go to files in the shared folder, and a file that is still too large is split by
+further bits (of term and document once the term's own are used up). DuckDB aggregates each partition
+alone; the small partial counts are then added up.
 
 Rules: null and empty terms don't count; terms compare character for character; a redelivered row (same
 row key) counts once; rows without a document or row key don't count; a term of one document is rare, one
@@ -26,8 +26,8 @@ from lemmaflow.runtime import arrow_batch, arrow_schema, scratch
 #: Bytes of rows that a task aggregates at once.
 PARTITION_BYTES = 96 << 20
 #: Hash bits of one level of partitioning.
-BITS = 4
-_LEVELS = 128 // BITS
+BITS = 3
+_LEVELS = 2 * (64 // BITS)
 
 
 def _counting(fields: int) -> str:
@@ -54,19 +54,15 @@ class _Spill:
         self.fs, path = fs.FileSystem.from_uri(uri)
         self.dir = f"{path}/spill-{uuid.uuid4().hex}"
         self.fs.create_dir(self.dir, recursive=True)
-        self.level, self.schema, self.sizes = level, schema, {}
+        self.level, self.schema = level, schema
         self.writers: dict[int, pa.RecordBatchStreamWriter] = {}
         self.outs: dict[int, pa.NativeFile] = {}
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        bucket = _bucket(batch, self.level)
-        for b in sorted(set(bucket.tolist())):
-            if b not in self.writers:
-                self.outs[b] = self.fs.open_output_stream(f"{self.dir}/{b}")
-                self.writers[b] = pa.ipc.new_stream(self.outs[b], self.schema)
-            part = batch.filter(pa.array(bucket == b))
-            self.writers[b].write_batch(part)
-            self.sizes[b] = self.sizes.get(b, 0) + part.nbytes
+    def add(self, b: int, part: pa.RecordBatch) -> None:
+        if b not in self.writers:
+            self.outs[b] = self.fs.open_output_stream(f"{self.dir}/{b}")
+            self.writers[b] = pa.ipc.new_stream(self.outs[b], self.schema)
+        self.writers[b].write_batch(part)
 
     def read(self, b: int) -> Iterator[pa.RecordBatch]:
         with self.fs.open_input_stream(f"{self.dir}/{b}") as f, pa.ipc.open_stream(f) as reader:
@@ -81,38 +77,49 @@ class _Spill:
         self.fs.delete_dir(self.dir)
 
 
-def partial_counts(batches: Iterator[pa.RecordBatch], fields: int, uri: str, bound: int, level: int = 0) -> Iterator[pa.Table]:
-    """Partial counts of a stream of rows, spilling while it holds more than ``bound`` bytes."""
+def _connection(uri: str):
+    """A database for one partition after another; what it must spill itself goes to the shared folder, or is refused."""
     import duckdb
 
-    held, size, spill = [], 0, None
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+    own = f"{uri[7:]}/duckdb-{uuid.uuid4().hex}" if uri.startswith("file://") else ""
+    con.execute(f"SET temp_directory = '{own.replace(chr(39), chr(39) * 2)}'")
+    return con
+
+
+def partial_counts(batches: Iterator[pa.RecordBatch], fields: int, uri: str, bound: int, level: int = 0, con=None) -> Iterator[pa.Table]:
+    """Partial counts of a stream of rows, which holds at most ``bound`` bytes: the largest partitions are spilled beyond."""
+    con = con or _connection(uri)
+    held: dict[int, list[pa.RecordBatch]] = {}
+    sizes: dict[int, int] = {}
+    spill = None
     for batch in batches:
-        if spill is None:
-            held.append(batch)
-            size += batch.nbytes
-            if size > bound and level < _LEVELS:
-                spill = _Spill(uri, batch.schema, level)
-                for b in held:
-                    spill.add(b)
-                held = []
-        else:
-            spill.add(batch)
-    if spill is None:
-        if held:
-            rows = pa.Table.from_batches(held)
-            con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
-            if uri.startswith("file://"):  # what DuckDB itself must spill goes to the shared folder, too
-                con.execute(f"SET temp_directory = '{uri[7:].replace(chr(39), chr(39) * 2)}/duckdb-{uuid.uuid4().hex}'")
-            con.register("rows", rows)
-            yield con.sql(_counting(fields)).to_arrow_table()
-            con.close()
-        return
-    spill.close()
-    try:
-        for b in sorted(spill.sizes):
-            yield from partial_counts(spill.read(b), fields, uri, bound, level + 1)
-    finally:
-        spill.remove()
+        bucket = _bucket(batch, level) if level < _LEVELS else None
+        for b in [0] if bucket is None else sorted(set(bucket.tolist())):
+            part = batch if bucket is None else batch.filter(pa.array(bucket == b))
+            if spill is not None and b in spill.writers:
+                spill.add(b, part)
+                continue
+            held.setdefault(b, []).append(part)
+            sizes[b] = sizes.get(b, 0) + part.nbytes
+        while sum(sizes.values()) > bound and level < _LEVELS:
+            spill = spill or _Spill(uri, batch.schema, level)
+            largest = max(sizes, key=sizes.get)
+            for part in held.pop(largest):
+                spill.add(largest, part)
+            del sizes[largest]
+    for b in sorted(held):
+        con.register("rows", pa.Table.from_batches(held[b]))
+        yield con.sql(_counting(fields)).to_arrow_table()
+        con.unregister("rows")
+        held[b] = []
+    if spill is not None:
+        spill.close()
+        try:
+            for b in sorted(spill.writers):
+                yield from partial_counts(spill.read(b), fields, uri, bound, level + 1, con)
+        finally:
+            spill.remove()
 
 
 def frequencies(df: DataFrame, fields: list[str], doc: str = "mdoc_id", row_key: str = "form_id", common_share: float = 0.2, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
