@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unsafe controls (all but tab, LF and CR) and noncharacters, as a Java class.
@@ -72,6 +72,15 @@ def prepare_utf16(data: bytes) -> tuple[str, list[tuple[str, str, int, int]]]:
     return "".join(out), issues
 
 
+def prepared_utf16(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, text, issues) of raw UTF-16-BE bytes, which may hold lone surrogates; null bytes give null."""
+    from lemmaflow.runtime import map_rows
+
+    ddl = f"k {dict(df.dtypes)[key]}, text string, issues array<struct<type:string,message:string,offset:int,length:int>>"
+    rows = map_rows(df.select(F.col(key).alias("k"), F.col(data).alias("d")), ddl, lambda x: [(x["k"], *((None, None) if x["d"] is None else prepare_utf16(bytes(x["d"]))))])
+    return rows.withColumnRenamed("k", key)
+
+
 def _grammemes(part: Column) -> Column:
     trim = lambda x: F.regexp_replace(x, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
     return F.filter(F.transform(F.split(part, ","), trim), lambda x: x != "")

@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from lemmaflow.errors import AnswerError, InvalidOptions, LemmaflowError
 from lemmaflow.functions.text import CONTROL_MESSAGE, LINE_MESSAGE, NONCHARACTER_MESSAGE
 from lemmaflow.operators.parse import align, parse_tokens
-from lemmaflow.operators.tokens import Tokenizer, to_utf16
+from lemmaflow.operators.tokens import Tokenizer, from_utf16, to_utf16
 from lemmaflow.options import AnalysisOptions, OversizedPolicy, PositionPolicy, TokenizerOptions
 from lemmaflow.runtime import arrow_batch, arrow_schema
 
 STATS = "struct<elapsed_ms:double,mode:string,in_chars:int,in_bytes:int,out_chars:int,out_bytes:int>"
-#: Answers of an engine: for code points ``at`` to ``at + n`` the output, or the error, and the request's figures if there are any.
-ANSWERS = f"array<struct<at:int,n:int,json:string,error:string,stats:{STATS}>>"
+#: Tokens that are analyzed already; offsets in UTF-16 units, -1 where unknown.
+MODEL = "array<struct<text:string,start:int,end:int,analyses:array<struct<lemma:string,weight:double>>>>"
+#: Answers of an engine: for code points ``at`` to ``at + n`` the output, or analyzed tokens, or the error, and the request's figures if there are any.
+ANSWERS = f"array<struct<at:int,n:int,json:string,error:string,stats:{STATS},tokens:{MODEL}>>"
 DELTAS = "array<struct<at:int,add:int>>"
 TOKENS = "array<struct<text:string,start:int,end:int,type:string,forms:array<struct<text:string,keyword:boolean>>>>"
 ISSUES = "array<struct<type:string,message:string,offset:int,length:int>>"
@@ -112,12 +114,15 @@ def analyze_text(text: str, answers: list[dict] | None, tokenizer: Tokenizer, op
     failed = next((a["error"] for a in answers or () if a["error"]), None)
     if failed:
         raise AnswerError(failed)
-    spans = [(a["at"], min(len(used), a["at"] + a["n"]), a["json"]) for a in answers] if answers else [(a, b, None) for a, b in reader_chunks(used, options.max_chunk_chars)]
+    spans = [(a["at"], min(len(used), a["at"] + a["n"]), a["json"], a["tokens"]) for a in answers] if answers else [(a, b, None, None) for a, b in reader_chunks(used, options.max_chunk_chars)]
     at = to_utf16(used)
     tokens, issues = [], []
-    for a, b, output in spans:
+    for a, b, output, given in spans:
         piece = used[a:b]
         analyzed = look_up(piece) if look_up else None
+        if given is not None:
+            points = from_utf16(text)
+            analyzed = [(x["text"] or "", points(x["start"]), points(x["end"]), [(y["lemma"], y["weight"]) for y in x["analyses"] or ()]) for x in given]
         if output is not None:
             safe, found = preparation_issues(piece)
             issues += [(kind, message, at(a + o), at(a + o + 1) - at(a + o)) for kind, message, o in found]

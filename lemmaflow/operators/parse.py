@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lemmaflow.errors import ParseError
 from lemmaflow.functions.text import UNMATCHED_MESSAGE
+from lemmaflow.runtime import map_rows
 
 _SOFT_HYPHEN = "­"
 _BLANK = re.compile(r"[ \t\r\n]*")
@@ -103,3 +107,34 @@ def align(text: str, tokens: list[tuple[str, list[dict]]]) -> tuple[list[tuple[s
             span = (-1, -1)
         out.append((token, *span, analyses))
     return out, issues
+
+
+DOCUMENT = "tokens array<struct<text:string,start:int,end:int,analyses:array<struct<lemma:string,gr:string,weight:double>>>>, issues array<struct<type:string,message:string,offset:int,length:int>>, error string"
+
+
+def model_documents(df: DataFrame, key: str, text: str, output: str) -> DataFrame:
+    """(key, tokens, issues, error) of texts and their analyzer output: every token at its place, or at -1 with an issue.
+
+    Offsets are UTF-16 units of the text as it stands. Output that isn't what it should be gives an error
+    and no tokens; a null text or output gives nulls.
+    """
+    from lemmaflow.operators.analyze import preparation_issues
+    from lemmaflow.operators.tokens import to_utf16
+
+    def rows(x: dict):
+        t, out = x["t"], x["o"]
+        if t is None or out is None:
+            return [(x["k"], None, None, None)]
+        at = to_utf16(t)
+        safe, found = preparation_issues(t)
+        issues = [(kind, message, at(o), at(o + 1) - at(o)) for kind, message, o in found]
+        try:
+            aligned, missed = align(safe, parse_tokens(out))
+        except ParseError as e:
+            return [(x["k"], None, None, f"ParseError: {e}")]
+        issues += [(kind, message, at(o), n) for kind, message, o, n in missed]
+        place = lambda o: at(o) if o >= 0 else -1
+        return [(x["k"], [(w, place(s), place(e), [(a["lemma"], a["gr"], a["weight"]) for a in analyses]) for w, s, e, analyses in aligned], issues, None)]
+
+    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(output).cast("string").alias("o"))
+    return map_rows(docs, f"k {dict(df.dtypes)[key]}, {DOCUMENT}", rows).withColumnRenamed("k", key)

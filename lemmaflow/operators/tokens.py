@@ -248,3 +248,14 @@ def to_utf16(text: str):
     wide = np.frombuffer(text.encode("utf-32-le"), np.uint32) > 0xFFFF
     at = np.concatenate([[0], np.cumsum(1 + wide)]).tolist()
     return at.__getitem__
+
+
+def from_utf16(text: str):
+    """A function from UTF-16 to code-point offsets of ``text``; what is unknown or lies behind the text stays so."""
+    if text.isascii() or max(text, default="") <= "￿":
+        return lambda n: n
+    from bisect import bisect_left
+
+    at = to_utf16(text)
+    places = [at(n) for n in range(len(text) + 1)]
+    return lambda n: n if n < 0 or n > places[-1] else bisect_left(places, n)

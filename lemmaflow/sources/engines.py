@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions, LemmaflowError
 from lemmaflow.functions.charclass import java_class, python_class
-from lemmaflow.operators.analyze import ANSWERS, STATS, prefix, preparation_issues, reader_chunks, units
+from lemmaflow.operators.analyze import ANSWERS, MODEL, STATS, prefix, preparation_issues, reader_chunks, units
 from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, ExecutionProfile, Limits, OutputFormat, OversizedPolicy, PoolOptions
 from lemmaflow.runtime import arrow_batch, staged
 
@@ -50,9 +50,11 @@ class NoEngine:
         return df.withColumn("answers", F.lit(None).cast(ANSWERS))
 
 
-def _answer(n: Column, json: Column) -> Column:
+def _answer(n: Column, json: Column | None = None, tokens: Column | None = None) -> Column:
     """One answer for a whole text of ``n`` code points."""
-    return F.array(F.struct(F.lit(0).alias("at"), n.alias("n"), json.alias("json"), F.lit(None).cast("string").alias("error"), F.lit(None).cast(STATS).alias("stats"))).cast(ANSWERS)
+    none = F.lit(None)
+    parts = {"at": F.lit(0), "n": n, "json": none if json is None else json, "error": none, "stats": none.cast(STATS), "tokens": none.cast(MODEL) if tokens is None else tokens.cast(MODEL)}
+    return F.array(F.struct(*[c.alias(name) for name, c in parts.items()])).cast(ANSWERS)
 
 
 class PrecomputedEngine:
@@ -68,6 +70,19 @@ class PrecomputedEngine:
         return df.withColumn("answers", F.when(known, _answer(F.length(text), F.col(self.column))))
 
 
+class ModelEngine:
+    """Tokens that are a column already, with their places in the text (see lemmaflow.operators.analyze.MODEL)."""
+
+    profile, format = ExecutionProfile.UNKNOWN, OutputFormat.JSON
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def attach(self, df: DataFrame, key: str, text: str, options: AnalysisOptions) -> DataFrame:
+        known = F.col(self.column).isNotNull() & F.col(text).isNotNull()
+        return df.withColumn("answers", F.when(known, _answer(F.length(text), tokens=F.col(self.column))))
+
+
 class DictionaryEngine:
     """Lemmas of a table of (word, lemma): words are looked up in small letters.
 

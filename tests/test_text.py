@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions, ParseError, TokenizationError
@@ -11,7 +13,7 @@ from lemmaflow.functions import text as T
 from lemmaflow.operators import lemmas
 from lemmaflow.operators.analyze import analyze_text, postings_of, preparation_issues, prefix, reader_chunks, units
 from lemmaflow.operators.parse import align, parse_tokens
-from lemmaflow.operators.tokens import Tokenizer, to_utf16
+from lemmaflow.operators.tokens import Tokenizer, select_lemmas, to_utf16
 from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ExecutionMode, LemmaPolicy, OversizedPolicy, PoolOptions, PositionPolicy, TokenizerOptions, UnmatchedPolicy
 
 PLAIN, SEARCH, ENTITIES = TokenizerOptions.conservative(), TokenizerOptions.search(), TokenizerOptions.entity_aware()
@@ -202,3 +204,22 @@ def test_jvm_class_has_the_same_members(spark):
         assigned = {cp for cp in points if __import__("unicodedata").category(chr(cp)) != "Cn"}
         odd = (got ^ {cp for cp in points if cp in members}) & assigned
         assert len(odd) < 60, sorted(map(hex, odd))[:20]  # characters that one side's Unicode tables lack
+
+
+@given(st.lists(st.tuples(st.sampled_from(["", "a", "b", "c"]), st.sampled_from([None, 0.1, 0.5, 0.9])), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_lemma_policies_by_definition(analyses):
+    filled = [x for x in analyses if x[0]]
+    assert select_lemmas(analyses, LemmaPolicy.ALL) == [x for n, x in enumerate(f[0] for f in filled) if x not in [f[0] for f in filled[:n]]]
+    top = max((w for _, w in filled if w is not None), default=None)
+    assert select_lemmas(analyses, LemmaPolicy.BEST_WEIGHT) == ([] if not filled else [next(t for t, w in filled if w == top)])
+
+
+def test_native_and_tokenizer_lemmas_agree(spark):
+    import itertools
+
+    cases = [list(c) for n in range(4) for c in itertools.product([("", 0.9), ("a", None), ("b", 0.5), ("a", 0.5), ("c", 0.1)], repeat=n)]
+    df = spark.createDataFrame([(n, c) for n, c in enumerate(cases)], "k int, a array<struct<lemma:string,weight:double>>")
+    for r in df.select("k", lemmas.all_lemmas(F.col("a")).alias("all"), lemmas.best_lemma(F.col("a")).alias("best")).collect():
+        assert list(r["all"]) == select_lemmas(cases[r["k"]], LemmaPolicy.ALL)
+        assert ([r["best"]] if r["best"] is not None else []) == select_lemmas(cases[r["k"]], LemmaPolicy.BEST_WEIGHT)
