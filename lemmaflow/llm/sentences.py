@@ -53,7 +53,8 @@ _EDGE = _re.compile(
     rf"|(?P<mark>[.!?…;;{OWN_MARKS}{WIDE_MARKS}]+)(?P<close>[{_re.escape(CLOSERS)}]*)(?P<space>\s*)"
     rf"|(?<=[{NO_MARK}])(?P<gap>\s+)|(?<!\s)(?P<gap2>\s++)(?=[{NO_MARK}])"
 )
-_BEFORE = _re.compile(r"[\w.\-’'\u0300-\u036f]*[\w\u0300-\u036f]\Z")
+# Read backwards from a period: the word before it.
+_BEFORE = _re.compile(r"[\w\u0300-\u036f][\w.\-’'\u0300-\u036f]*")
 _WORD = _re.compile(r"[\w\u0300-\u036f’'\-]+")
 _INITIALS = _re.compile(r"(?:[^\W\d_]\.\s?)*[^\W\d_]\Z")
 _MIDDLE = _re.compile(r"(?<=\w )[^\W\d_]\w*+(?=[ ,])")
@@ -84,10 +85,10 @@ def _after(text: str, at: int) -> str:
 
 def period_key(text: str, at: int) -> tuple[str, str]:
     """(key of the word before the period at ``at``, the word); keys keep what statistics tell apart."""
-    m = _BEFORE.search(text, max(0, at - 40), at)
+    m = _BEFORE.match(text[max(0, at - 40) : at][::-1])
     if not m:
         return "", ""
-    word = m.group().lstrip(".-’'")
+    word = m.group()[::-1].lstrip(".-’'")
     if not word:
         return "", ""
     if _NUMBER.match(word):
@@ -95,7 +96,7 @@ def period_key(text: str, at: int) -> tuple[str, str]:
     if _INITIALS.match(word) and word[0].isupper() and (len(word) == 1 or "." in word):
         return (word if len(word) == 1 else "&"), word
     key = word.lower()
-    start = m.end() - len(word)
+    start = at - len(word)
     before = text[max(0, start - 2) : start].rstrip()
     return ("#" + key if before[-1:].isdigit() else key), word
 
@@ -224,7 +225,6 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
                 continue
             close(after, end)
             continue
-        wide = bool(_WIDE.match(before)) or (not spaced and bool(_WIDE.match(text[after : after + 1])))
         if last in "!?":
             if follows in "L,":
                 continue
@@ -237,7 +237,7 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
                 continue
             close(after, end)
         elif last == "…" or len(mark) > 1:
-            if wide:
+            if _WIDE.match(before) or (not spaced and _WIDE.match(text[after : after + 1])):
                 close(after, end)
             elif follows in "L,":
                 continue
@@ -247,7 +247,7 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
             elif spaced or follows == "U":
                 close(after, end)
         else:
-            if _MARKED.match(before):
+            if before >= "\u0530" and _MARKED.match(before):
                 continue
             if closers and follows in "L-,":
                 continue
@@ -267,7 +267,8 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
                 if _after(text, text.index(text[end], end) + 1) == "L":
                     continue
                 follows = "U"
-            if _LINE_NUMBER.search(text, max(0, m.start() - 24), m.start()):
+            # a list number ends with a digit or is one letter
+            if (before.isdigit() or not text[max(0, m.start() - 2) : m.start() - 1].isalpha()) and _LINE_NUMBER.search(text, max(0, m.start() - 24), m.start()):
                 continue
             if closers or model.period(key, "U" if follows in "UCO" else follows, _next_word(text, after).lower()):
                 close(after, end)
@@ -300,6 +301,9 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, Model]:
 
     source = df.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).where("t is not null")
     each = source.mapInArrow(run, ddl).groupBy("language", "kind", "word").agg(*[F.sum(F.when(F.col("follows") == f, F.col("n")).otherwise(0)).alias(name) for f, name in zip("EUCLDSM", _COUNTED)])
+    # words that hardly begin a sentence only count in the sums of their language
+    seldom = (F.col("kind") == "s") & (F.col("starts") < LEAST_COUNT)
+    each = each.withColumn("word", F.when(seldom, "").otherwise(F.col("word"))).groupBy("language", "kind", "word").agg(*[F.sum(c).alias(c) for c in _COUNTED])
     each = staged(each, "period-counts")  # read several times below; the texts are read once
     n = sum((F.col(c) for c in _COUNTED), F.lit(0))
     capital, inside = F.col("upper") + F.col("caseless"), F.col("lower") + F.col("digits")
@@ -343,7 +347,7 @@ def _starters(each: DataFrame) -> DataFrame:
     """The words that begin sentences oftener than they stand inside them."""
     words = each.where("kind = 's'")
     whole = words.groupBy("language").agg(F.greatest(F.sum("starts"), F.lit(1)).alias("s"), F.greatest(F.sum("middles"), F.lit(1)).alias("t"))
-    return words.where(F.col("starts") >= LEAST_COUNT).join(whole, "language").where(ratio_column(F.col("starts"), F.col("s"), F.col("middles"), F.col("t")) > LEAST_RATIO)
+    return words.where((F.col("starts") >= LEAST_COUNT) & (F.col("word") != "")).join(whole, "language").where(ratio_column(F.col("starts"), F.col("s"), F.col("middles"), F.col("t")) > LEAST_RATIO)
 
 
 def ratio_column(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
