@@ -33,6 +33,8 @@ NUMBER_MARKS = {
 }
 # Blanks that don't separate.
 HARD_BLANKS = {0xA0, 0x2007, 0x202F}
+_NEVER = {"Cs", "Co", "Cn"}
+_category = unicodedata.category
 _SEPARATING = ("Cc", "Cf", "Ps", "Pe", "Pi", "Pf", "Zl", "Zp", "Zs")
 
 
@@ -40,9 +42,9 @@ _SEPARATING = ("Cc", "Cf", "Ps", "Pe", "Pi", "Pf", "Zl", "Zp", "Zs")
 def _sets() -> dict[str, frozenset[int]]:
     separators, numbers, words, currency = set(), set(), set(), set()
     for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp < 0xE000:
+        c = _category(chr(cp))
+        if c in _NEVER:
             continue
-        c = unicodedata.category(chr(cp))
         late = LATE.get(c)
         part = cp in WORD_PARTS or c == "Me" or (late is not None and cp not in late[0] and cp <= late[1])
         if cp == 0x22 or (c in _SEPARATING and cp not in HARD_BLANKS):

@@ -58,12 +58,15 @@ def _domain(address: str, kind: int) -> str:
     return address.rpartition("@")[2] if _EMAIL.fullmatch(address) else ""
 
 
+#: Texts whose features and forms a task remembers.
+REMEMBERED = 200_000
+
+
 @lru_cache
 def _classes() -> tuple[re.Pattern, ...]:
     return tuple(re.compile(f"[{python_class(n)}]+") for n in "SNW")
 
 
-@lru_cache(1 << 16)
 def features(text: str, options: TokenizerOptions) -> int:
     """Features of a token without lemmas."""
     if options.classify_currencies and len(text) == 1 and ord(text) in members("C"):
@@ -89,6 +92,8 @@ def type_of(flags: int, options: TokenizerOptions) -> str:
 
 def select_lemmas(analyses: list[tuple[str, float | None]], policy: LemmaPolicy) -> list[str]:
     """Non-empty lemmas: all distinct ones as first seen, or the first of those with the greatest weight."""
+    if len(analyses) == 1:
+        return [analyses[0][0]] if analyses[0][0] else []
     filled = [(lemma, weight) for lemma, weight in analyses if lemma]
     if policy == LemmaPolicy.ALL:
         return list(dict.fromkeys(lemma for lemma, _ in filled))
@@ -134,22 +139,34 @@ class Tokenizer:
     def __init__(self, options: TokenizerOptions):
         self.options = options
         self.gaps = re.compile(gap_pattern(options.classify_currencies))
-        self._known: dict[str, tuple[str, list[tuple[str, bool]]]] = {}
+        self._flags: dict[str, int] = {}
+        self._known: dict[object, tuple[str, list[tuple[str, bool]]]] = {}
+
+    def flags(self, text: str) -> int:
+        """features() of a text, remembered."""
+        found = self._flags.get(text)
+        if found is None:
+            if len(self._flags) > REMEMBERED:
+                self._flags.clear()
+            found = self._flags[text] = features(text, self.options)
+        return found
 
     def gap(self, text: str, start: int, end: int) -> Iterator[Token]:
         for m in self.gaps.finditer(text, start, end):
             piece = m.group()
-            yield Token(piece, m.start(), m.end(), features(piece, self.options))
+            yield Token(piece, m.start(), m.end(), self.flags(piece))
 
     def simple(self, piece: str) -> tuple[str, list[tuple[str, bool]]]:
         """(type, forms) of a gap token that isn't merged."""
-        found = self._known.get(piece)
+        return self._known.get(piece) or self.whole(piece, piece, self.flags(piece), [], [])
+
+    def whole(self, key: object, piece: str, flags: int, lemmas: list[str], extra: list[str]) -> tuple[str, list[tuple[str, bool]]]:
+        """(type, forms) of a token, remembered by ``key``."""
+        found = self._known.get(key)
         if found is None:
-            flags = features(piece, self.options)
-            found = type_of(flags, self.options), make_forms(piece, flags, [], [], self.options)
-            if len(self._known) > 200_000:
+            if len(self._known) > REMEMBERED:
                 self._known.clear()
-            self._known[piece] = found
+            found = self._known[key] = type_of(flags, self.options), make_forms(piece, flags, lemmas, extra, self.options)
         return found
 
     def prepared(self, text: str, analyzed: list[tuple]) -> list[Token]:
@@ -175,18 +192,19 @@ class Tokenizer:
                 else:
                     continue
             out.extend(self.gap(text, cursor, start))
-            token = Token(piece, start, end, WORD | LEMMA if lemmas else features(piece, self.options), lemmas)
+            token = Token(piece, start, end, WORD | LEMMA if lemmas else self.flags(piece), lemmas)
             self._take_ending(text, token)
             out.append(token)
             cursor = max(start, token.end)
         out.extend(self.gap(text, cursor, len(text)))
         return out
 
+    _ENDS = ("#", "+", chr(SOFT_HYPHEN))
     _ENDING = re.compile(chr(SOFT_HYPHEN) + r"*(?:(?P<sharp>\#)|(?P<pluses>\+\+)|(?P<plus>\+))?")
 
     def _take_ending(self, text: str, token: Token) -> None:
         """Soft hyphens behind a word, and one # or + or ++ the analyzer has dropped."""
-        if token.flags & WORD:
+        if token.flags & WORD and text[token.end : token.end + 1] in self._ENDS:
             m = self._ENDING.match(text, token.end)
             token.end = m.end()
             token.flags |= {"sharp": SHARP, "pluses": PLUSES, "plus": PLUS}.get(m.lastgroup or "", 0)
@@ -232,10 +250,10 @@ class Tokenizer:
         found = self.prepared(text, analyzed or [])
         for t in self.merged(text, found) if merging else found:
             source = text[t.start : t.end]
-            forms = make_forms(source, t.flags, t.lemmas, t.extra, self.options)
+            kind, forms = self.whole((source, t.flags, *t.lemmas, *t.extra), source, t.flags, t.lemmas, t.extra)
             if not forms:
                 raise TokenizationError("a token without forms")
-            out.append((source, t.start, t.end, type_of(t.flags, self.options), forms))
+            out.append((source, t.start, t.end, kind, forms))
         return out
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.errors import InvalidOptions
@@ -53,6 +53,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, label: str, **sums) -> tuple[DataFrame, dict]:
+    """staged(), and aggregates of the rows, which the writing itself takes."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(name) for name, c in sums.items()]), label)
+    return out, {name: seen.get.get(name) or 0 for name in sums}
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores, if its scan gives fewer partitions than there are cores.
 
@@ -74,8 +81,8 @@ def first_deliveries(df: DataFrame, key: str, most: int = 1_000_000) -> DataFram
     placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     places = placed.select(F.col(key).alias("_key"), F.struct(*at).alias("at"))
     several = places.groupBy("_key").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = staged(places.join(several, "_key").where("at <> first").select("at.*"), "later-rows")
-    return placed.join(F.broadcast(later) if later.count() <= most else later, at, "left_anti").drop(*at)
+    later, size = staged_with(places.join(several, "_key").where("at <> first").select("at.*"), "later-rows", n=F.count(F.lit(1)))
+    return placed.join(F.broadcast(later) if size["n"] <= most else later, at, "left_anti").drop(*at)
 
 
 def arrow_schema(ddl: str):

@@ -17,7 +17,7 @@ from lemmaflow.errors import InvalidOptions, LemmaflowError
 from lemmaflow.functions.charclass import java_class, python_class
 from lemmaflow.operators.analyze import ANSWERS, MODEL, STATS, prefix, preparation_issues, reader_chunks, units
 from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, ExecutionProfile, Limits, OutputFormat, OversizedPolicy, PoolOptions
-from lemmaflow.runtime import arrow_batch, staged
+from lemmaflow.runtime import arrow_batch, staged_with
 
 
 class Engine(Protocol):
@@ -102,12 +102,12 @@ class DictionaryEngine:
     def look_up(self):
         """A function from a piece of text to its analyzed tokens, or None if the dictionary is too large to be sent."""
         spark = self.dictionary.sparkSession
-        held = staged(self.dictionary, "dictionary")
-        n, chars = held.agg(F.count("*"), F.coalesce(F.sum(F.length("w") + F.length("lemma")), F.lit(0))).first()
-        if n > self.local_words or chars > self.local_chars:
+        held, size = staged_with(self.dictionary, "dictionary", n=F.count(F.lit(1)), chars=F.sum(F.length("w") + F.length("lemma")))
+        if size["n"] > self.local_words or size["chars"] > self.local_chars:
             return None
         lemmas: dict[str, list[str]] = {}
-        for w, lemma in held.collect():
+        found = held.toArrow()
+        for w, lemma in zip(found["w"].to_pylist(), found["lemma"].to_pylist()):
             lemmas.setdefault(w, []).append(lemma)
         sent = spark.sparkContext.broadcast({w: [(x, None) for x in sorted(found)] for w, found in lemmas.items()})
         return _LookUp(sent, f"[{python_class('W')}]+")
