@@ -68,12 +68,21 @@ SOUND = [f"Мама мыла раму и пела песню номер {n}, п
 ORIGINAL = "Вечер был тихий. Мама пела песню, потому что пошли домой."
 
 
-@pytest.fixture(scope="module")
-def measure():
+def samples():
     by = {}
     for t in SOUND:
         by.setdefault(mojibake.language_of(t), []).append(t)
-    return mojibake.Measure({k: "\n".join(v) for k, v in by.items()})
+    return {k: "\n".join(v) for k, v in by.items()}
+
+
+@pytest.fixture(scope="module")
+def measure():
+    return mojibake.Measure(samples())
+
+
+@pytest.fixture(scope="module")
+def ranking():
+    return mojibake.Ranking(samples())
 
 
 def garble(text, *chain):
@@ -92,9 +101,30 @@ CHAINS = [
 
 
 @pytest.mark.parametrize("chain", CHAINS, ids=str)
-def test_chains_are_undone(measure, chain):
+def test_chains_are_undone(measure, ranking, chain):
     bad = garble(ORIGINAL, *chain)
     assert mojibake.SUSPECT.search(bad) and mojibake.restore(bad, None, measure) == ORIGINAL
+    gains = ranking.doubtful(["a", bad, "b"])
+    assert list(gains) == [1] and mojibake.restore(bad, None, measure, ranking, gains[1]) == ORIGINAL
+
+
+WORDS = "мама мыла раму пела песню потому что вечер был тихий затем все пошли домой спать".split()
+
+
+@pytest.mark.parametrize("change", [str.capitalize, str.lower, str.upper], ids=["sentence", "small", "capitals"])
+def test_the_first_look_loses_nothing(measure, ranking, change):
+    """Random sentences in every case, garbled in every way: what packing alone restores, and that is most, the first look lets through."""
+    rng = random.Random(12)
+    texts = [change(" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 14)))) + "." for _ in range(25)]
+    plain = looked = total = 0
+    for t in texts:
+        for chain in CHAINS:
+            bad = garble(t, *chain)
+            total += 1
+            plain += mojibake.restore(bad, None, measure) == t
+            looked += bool(ranking.doubtful([bad])) and mojibake.restore(bad, None, measure, ranking) == t
+        assert not ranking.doubtful([t]) or mojibake.restore(t, None, measure, ranking) == t
+    assert looked >= 0.99 * plain and looked >= 0.9 * total
 
 
 def test_parts_and_sound_texts(measure):
