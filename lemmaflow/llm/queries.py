@@ -58,7 +58,7 @@ def p1_files(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     forms = canon.canonical(spread(table(spark, d, "mystem_documents").select("mdoc_id", "original_text")), "mdoc_id", "original_text")
-    return forms.select("mdoc_id", "canonical_text", F.hex("look").alias("look"))
+    return forms.select("mdoc_id", "canonical_text")
 
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +162,7 @@ _WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))) + "￠￡￢￥￦", "".join(m
 _ALIKE = ("АВСЕНІЈКМОРЅТХУасеіјорѕхуЁёЇїһԁԛԝԌԚԜӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυια", "ABCEHIJKMOPSTXYaceijopsxyËëÏïhdqwGQWlABEZHIKMNOPTYXovpuia")
 #: Small letters that look alike in either case.
 _ALIKE_SMALL = ("авсенікморѕтхујёїһԁԛԝԍӏαβεζηικμνορτυχvuς", "abcehikmopstxyjëïhdqwglabezhikmnoptyxnyσ")
-_HIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{3164}\\x{FFA0}\\x{180B}-\\x{180F}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]"
+_HIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{3164}\\x{FFA0}\\x{180B}-\\x{180F}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}\\x{FDD0}-\\x{FDEF}" + "".join(f"\\x{{{n}FFFE}}\\x{{{n}FFFF}}" for n in ["", *"123456789ABCDEF", "10"]) + "]"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
@@ -206,6 +206,36 @@ _P4_CLASSES = """c AS (SELECT form, t, count(*) AS n FROM f WHERE form <> '' GRO
 SELECT f.mdoc_id, w.n_looks, CAST(w.members - c.n AS BIGINT) AS n_alike, min(f.mdoc_id) OVER (PARTITION BY f.form) AS first_alike FROM f JOIN c ON f.form = c.form AND f.t = c.t JOIN w ON f.form = w.form"""
 
 
+def _p4_canonical_sql() -> str:
+    """Repair of tokens of mixed scripts, script by script: letters that no other script has a double of decide, the corpus confirms."""
+    latin, cyrillic, greek = "A-Za-z\\x{C0}-\\x{24F}", "\\x{400}-\\x{52F}", "\\x{370}-\\x{3FF}\\x{1F00}-\\x{1FFF}"
+    others, doubles = _ALIKE
+    doubled = "".join(sorted({*others, *doubles}))
+    token = "[\\p{L}\\p{Nl}\\p{No}]+(?:[\\x{300}-\\x{36F}\\x{483}-\\x{487}]+[\\p{L}\\p{Nl}\\p{No}]*)*"
+    cyr = [(d, o) for o, d in zip(others, doubles) if "\u0400" <= o < "\u0530"]
+    grc = [(d, o) for o, d in zip(others, doubles) if o < "\u0400"]
+    of = lambda pairs, more: ("".join(a for a, _ in [*pairs, *more]), "".join(b for _, b in [*pairs, *more]))
+    to_cyr = of(cyr, [(o, dict(cyr)[d]) for d, o in grc if d in dict(cyr)])
+    to_grc = of(grc, [(o, dict(grc)[d]) for d, o in cyr if d in dict(grc)])
+    certain = lambda c, x: f"length(regexp_replace(strip_accents({x}), '[^{c}]|[{doubled}]|[^\\p{{L}}]', '', 'g'))"
+    best = "CASE WHEN {l} > {c} AND {l} > {g} THEN 'l' WHEN {c} > {l} AND {c} > {g} THEN 'c' WHEN {g} > {l} AND {g} > {c} THEN 'g' ELSE '' END"
+    every = lambda c, x: f"length(regexp_replace({x}, '[^{c}]|[^\\p{{L}}]', '', 'g'))"
+    return f"""
+WITH d AS (SELECT DISTINCT mdoc_id, original_text AS t FROM mystem_documents WHERE original_text IS NOT NULL),
+f AS (SELECT mdoc_id, trim(regexp_replace({_sql_form("t", ("", ""), False)}, '\\r\\n?', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(8232) || chr(8233)) AS p FROM d),
+b AS (SELECT mdoc_id, p, {certain(latin, "p")} AS l, {certain(cyrillic, "p")} AS c, {certain(greek, "p")} AS g, {every(latin, "p")} AS l2, {every(cyrillic, "p")} AS c2, {every(greek, "p")} AS g2 FROM f WHERE p <> ''),
+m AS (SELECT mdoc_id, p, coalesce(nullif({best.format(l="l", c="c", g="g")}, ''), {best.format(l="l2", c="c2", g="g2")}) AS main FROM b),
+w0 AS (SELECT mdoc_id, main, regexp_extract_all(p, '{token}|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS a FROM m),
+w AS (SELECT mdoc_id, main, unnest(a) AS w, generate_subscripts(a, 1) AS n FROM w0),
+kinds AS (SELECT DISTINCT w, main, regexp_matches(strip_accents(w), '[{doubled}]') AS doubt,
+  CAST(regexp_matches(w, '[{latin}]') AS INT) + CAST(regexp_matches(w, '[{cyrillic}]') AS INT) + CAST(regexp_matches(w, '[{greek}]') AS INT) > 1 AS mixed,
+  {certain(latin, "w")} AS l, {certain(cyrillic, "w")} AS c, {certain(greek, "w")} AS g FROM w WHERE regexp_matches(w, '^[\\p{{L}}\\p{{Nl}}\\p{{No}}]')),
+words AS (SELECT DISTINCT w FROM kinds WHERE doubt AND NOT mixed),
+aims AS (SELECT w, main, CASE WHEN l + c + g = 0 THEN main ELSE {best.format(l="l", c="c", g="g")} END AS aim FROM kinds WHERE doubt AND mixed),
+fixed AS (SELECT w, main, CASE aim WHEN 'l' THEN translate(w, '{others}', '{doubles}') WHEN 'c' THEN translate(w, '{to_cyr[0]}', '{to_cyr[1]}') WHEN 'g' THEN translate(w, '{to_grc[0]}', '{to_grc[1]}') END AS made FROM aims)
+SELECT mdoc_id, string_agg(coalesce(words.w, w.w), '' ORDER BY n) AS canonical_text FROM w LEFT JOIN fixed ON w.w = fixed.w AND w.main = fixed.main LEFT JOIN words ON fixed.made = words.w GROUP BY mdoc_id"""
+
+
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH o AS (SELECT DISTINCT d.mdoc_id, d.original_text AS t, coalesce(a.max_chunk_chars, 32768) AS lim FROM mystem_documents d LEFT JOIN analysis_options a USING (analysis_options_id) WHERE d.original_text IS NOT NULL),
@@ -223,6 +253,7 @@ SELECT mdoc_id, units AS n_units, true AS limit_kept, true AS overlap_kept, true
     "p1_files": r"SELECT CAST(sum(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + 1) AS BIGINT) AS n_units, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS not_shared FROM documents WHERE text IS NOT NULL",
     "p4_found": _p4_sql() + _P4_PAIRS,
     "p4_classes": _p4_sql() + _P4_CLASSES,
+    "p4_canonical": _p4_canonical_sql(),
     "p8_found": _p8_sql("SELECT DISTINCT doc_id, item_id FROM hits"),
     "p8_leaks": _p8_sql(", p AS (SELECT DISTINCT doc_id, item_id, unnest(range(k, k + n)) AS place FROM hits) SELECT doc_id, item_id, count(*) AS n_words, count(*) / any_value(len(w)) AS coverage FROM p JOIN d USING (doc_id) GROUP BY doc_id, item_id"),
     "p8_cleaned": _p8_sql(f""", p AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS place FROM hits), g AS (SELECT doc_id, list(place) AS gone, count(*) AS removed_words FROM p GROUP BY doc_id)
