@@ -232,7 +232,7 @@ kinds AS (SELECT DISTINCT w, main, regexp_matches(strip_accents(w), '[{doubled}]
   {certain(latin, "w")} AS l, {certain(cyrillic, "w")} AS c, {certain(greek, "w")} AS g FROM w WHERE regexp_matches(w, '^[\\p{{L}}\\p{{Nl}}\\p{{No}}]')),
 words AS (SELECT DISTINCT w FROM kinds WHERE doubt AND NOT mixed),
 aims AS (SELECT w, main, CASE WHEN l + c + g = 0 THEN main ELSE {best.format(l="l", c="c", g="g")} END AS aim FROM kinds WHERE doubt AND mixed),
-fixed AS (SELECT w, main, CASE aim WHEN 'l' THEN translate(w, '{others}', '{doubles}') WHEN 'c' THEN translate(w, '{to_cyr[0]}', '{to_cyr[1]}') WHEN 'g' THEN translate(w, '{to_grc[0]}', '{to_grc[1]}') END AS made FROM aims)
+fixed AS (SELECT w, main, nfc_normalize(CASE aim WHEN 'l' THEN translate(w, '{others}', '{doubles}') WHEN 'c' THEN translate(w, '{to_cyr[0]}', '{to_cyr[1]}') WHEN 'g' THEN translate(w, '{to_grc[0]}', '{to_grc[1]}') END) AS made FROM aims)
 SELECT mdoc_id, string_agg(coalesce(words.w, w.w), '' ORDER BY n) AS canonical_text FROM w LEFT JOIN fixed ON w.w = fixed.w AND w.main = fixed.main LEFT JOIN words ON fixed.made = words.w GROUP BY mdoc_id"""
 
 
