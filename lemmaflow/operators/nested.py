@@ -268,6 +268,7 @@ LEVELS = {
     "analyses": "rec_id bigint, token_pos bigint, analysis_pos bigint, lemma string, weight double, grammar_raw string, part_of_speech string, common array<string>",
     "variants": "rec_id bigint, token_pos bigint, analysis_pos bigint, variant_pos bigint, grammemes array<string>",
     "paths": "rec_id bigint, token_pos bigint, analysis_pos bigint, variant_pos bigint",
+    "model": "rec_id bigint, tokens array<struct<text:string,analysis:array<struct<lex:string,gr:string,wt:double>>>>",
 }
 
 
@@ -333,6 +334,14 @@ def flatten_batch(ids: list[int], bodies: list[bytes], level: str) -> dict[str,
             "grammar_raw": [_string(scalar(o, 9)) for o in g], "part_of_speech": [_string(scalar(o, 10)) for o in g],
             "common": [strings(o, 11) for o in g],
         }
+    if level == "model":
+        each: list[list[tuple]] = [[] for _ in tok]
+        for n, o, g in zip(an_tok.tolist(), an.tolist(), gram.tolist()):
+            each[n].append((_string(scalar(o, 7)), _string(scalar(g, 9)), _number(scalar(o, 8), float)))
+        whole: dict[int, list[tuple]] = {}
+        for r, o, found_in in zip(t_rec.tolist(), tok.tolist(), each):
+            whole.setdefault(r, []).append((_string(scalar(o, 4)), [dict(zip(("lex", "gr", "wt"), x)) for x in found_in]))
+        return {"rec_id": list(whole), "tokens": [[{"text": t, "analysis": x} for t, x in v] for v in whole.values()]}
     va_an, va_pos, va = ix.elements(lists(gram, 3))
     v_rec, v_tok, v_an = t_rec[an_tok[va_an]], tok_pos[an_tok[va_an]], an_pos[va_an]
     if level == "variants":
@@ -356,8 +365,8 @@ BLOCK_BYTES = 4 << 20
 def flatten(df: DataFrame, level: str = "paths", key: str = "rec_id", body: str = "body") -> DataFrame:
     """One flat table of the nested records; rows of different levels join on their positions.
 
-    ``level``: records, tokens, analyses, variants, or paths (one row per innermost element, -1 where a
-    level has none). A redelivered record, with the same key, counts once. Other columns are ignored.
+    ``level``: records, tokens, analyses, variants, paths (one row per innermost element, -1 where a
+    level has none), or model (one row per record that holds tokens, as an analyzer would answer). A redelivered record, with the same key, counts once. Other columns are ignored.
     A null key or body, and a body that isn't complete JSON, have no row; an empty input gives none.
     """
     schema = LEVELS[level]

@@ -172,12 +172,9 @@ def precomputed_terms(spark: SparkSession, d: str) -> DataFrame:
 
     Of several records of a document the newest usable one counts: the greatest rec_id whose body holds tokens.
     """
-    flat = nested.flatten(spread(table(spark, d, "model_records").select("rec_id", "body")), "analyses")
-    toks = nested.flatten(spread(table(spark, d, "model_records").select("rec_id", "body")), "tokens")
-    each = flat.groupBy("rec_id", "token_pos").agg(F.array_sort(F.collect_list(F.struct("analysis_pos", F.col("lemma").alias("lex"), F.col("weight").alias("wt"), F.col("grammar_raw").alias("gr")))).alias("analysis"))
-    items = toks.join(each, ["rec_id", "token_pos"], "left").groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("token_pos", "text", "analysis"))).alias("items"))
-    ids = table(spark, d, "model_records").select("rec_id", "mdoc_id").distinct()
-    last = items.select("rec_id", F.to_json("items").alias("json")).join(ids, "rec_id").groupBy("mdoc_id").agg(F.max_by("json", "rec_id").alias("json"))
+    records = table(spark, d, "model_records")
+    items = nested.flatten(spread(records.select("rec_id", "body")), "model").select("rec_id", F.to_json("tokens").alias("json"))
+    last = items.join(records.select("rec_id", "mdoc_id").distinct(), "rec_id").groupBy("mdoc_id").agg(F.max_by("json", "rec_id").alias("json"))
     docs = _texts(spark, d).join(last, "mdoc_id")
     p = term_stream(docs, "mdoc_id", "original_text", tokenizer=ENTITIES, engine=PrecomputedEngine("json"))
     return p.select("mdoc_id", "term", F.col("start").cast("bigint").alias("start_offset"), F.col("end").cast("bigint").alias("end_offset"), "type", "keyword", F.col("position").cast("bigint").alias("position"))
