@@ -11,9 +11,9 @@ from lemmaflow.runtime import first_deliveries, map_rows, scratch, spread, stage
 
 def _limited(spark: SparkSession, d: str) -> DataFrame:
     """The documents, a redelivered one once, with the limit and overlap of their options."""
-    docs = first_deliveries(table(spark, d, "mystem_documents"), "mdoc_id").select("mdoc_id", "original_text", "analysis_options_id")
+    docs = first_deliveries(table(spark, d, "mystem_documents"), "mdoc_id", "mdoc_id", "original_text", "analysis_options_id")
     options = table(spark, d, "analysis_options").select("analysis_options_id", "max_chunk_chars", "overlap_chars").dropDuplicates(["analysis_options_id"])
-    return spread(docs).join(options, "analysis_options_id", "left")
+    return docs.join(options, "analysis_options_id", "left")
 
 
 _CHUNKED = ("mdoc_id", "original_text", "max_chunk_chars", "overlap_chars")
