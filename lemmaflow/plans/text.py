@@ -30,7 +30,7 @@ def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The analyzer's documents, a redelivered one once."""
-    return spread(first_deliveries(table(spark, d, "mystem_documents"), "mdoc_id").select("mdoc_id", "original_text"))
+    return first_deliveries(table(spark, d, "mystem_documents"), "mdoc_id", "mdoc_id", "original_text")
 
 
 def _postings(spark: SparkSession, d: str, tokenizer: TokenizerOptions = SEARCH, options: AnalysisOptions = AnalysisOptions()) -> DataFrame:

@@ -71,18 +71,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
-def first_deliveries(df: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """The rows of a table read from files, of each key only the first by file and place.
+def first_deliveries(df: DataFrame, key: str, *columns: str, most: int = 1_000_000) -> DataFrame:
+    """``columns`` of a table read from files, of each key only its first row by file and place; spread over all cores.
 
     Keys and places alone are shuffled. The places of the later rows are broadcast if they are no more
-    than ``most``, so that the rows themselves stay where they are; else Spark joins by size.
+    than ``most``, so that the rows themselves stay where they are; else Spark joins by size. Rows with a
+    null key are all kept.
     """
     at = ["_file", "_row"]
-    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    places = placed.select(F.col(key).alias("_key"), F.struct(*at).alias("at"))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    places = df.select(F.col(key).alias("_key"), F.struct(*place).alias("at"))
     several = places.groupBy("_key").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
     later, size = staged_with(places.join(several, "_key").where("at <> first").select("at.*"), "later-rows", n=F.count(F.lit(1)))
-    return placed.join(F.broadcast(later) if size["n"] <= most else later, at, "left_anti").drop(*at)
+    rows = spread(df.select(*columns, *place))
+    return rows.join(F.broadcast(later) if size["n"] <= most else later, at, "left_anti").drop(*at)
 
 
 def arrow_schema(ddl: str):

@@ -283,3 +283,14 @@ def test_the_newest_usable_record_counts(spark, tmp_path):
     spark.createDataFrame([(1, "Дом"), (2, "Лес"), (3, "Сад"), (4, "Пол"), (5, "Дом")], "mdoc_id bigint, original_text string").write.parquet(f"{tmp_path}/mystem_documents.parquet")
     got = {(r["mdoc_id"], r["term"]) for r in precomputed_terms(spark, str(tmp_path)).where("keyword").collect()}
     assert got == {(1, "домb"), (2, "лесa"), (3, "садa"), (4, "полb")}
+
+
+def test_first_deliveries_keep_the_rows_where_they_lie(spark, tmp_path):
+    from lemmaflow.runtime import first_deliveries
+
+    rows = [(1, "a"), (2, "b"), (1, "c"), (None, "d"), (None, "e"), (3, None), (3, "f")]
+    spark.createDataFrame(rows, "k bigint, t string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    for most in (10, 0):
+        got = first_deliveries(spark.read.parquet(f"{tmp_path}/t"), "k", "k", "t", most=most)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "a"), (2, "b"), (None, "d"), (None, "e"), (3, None)]))
+    assert first_deliveries(spark.read.parquet(f"{tmp_path}/t").where("k > 5"), "k", "k", "t").count() == 0
