@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import os
 import shutil
@@ -9,18 +10,46 @@ import tarfile
 import time
 import urllib.request
 import zipfile
+from contextlib import contextmanager
 
 from lemmaflow.errors import InvalidOptions
 
 
+@contextmanager
+def _locked(target: str):
+    """One process at a time works on ``target``; others wait."""
+    with open(f"{target}.lock", "w") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        yield
+
+
+def _cached(target: str, sha256: str | None) -> bool:
+    """Whether ``target`` is whole: it has the digest asked for, or else the one noted beside it when it was fetched."""
+    note = f"{target}.sha256"
+    if not os.path.exists(target):
+        return False
+    if sha256 is None and os.path.exists(note):
+        with open(note) as f:
+            sha256 = f.read().split()[0]
+    return sha256 is not None and digest(target) == sha256.lower()
+
+
 def fetch(url: str, target: str, sha256: str | None = None, license_accepted: bool = False, max_bytes: int = 200 << 20, attempts: int = 3, delay_s: float = 0.1) -> str:
-    """The archive at ``target``, downloaded unless it is there already with the right digest."""
+    """The archive at ``target``, downloaded unless it is there already with the right digest.
+
+    Its digest is noted in a file beside it, and a lock keeps processes from fetching it twice.
+    """
     if not license_accepted:
         raise InvalidOptions("the licence must be accepted")
     if url.startswith(("http:", "https:")) and not sha256:
         raise InvalidOptions("a download needs its digest")
-    if os.path.exists(target) and sha256 and digest(target) == sha256.lower():
-        return target
+    with _locked(target):
+        if not _cached(target, sha256):
+            _download(url, target, sha256, max_bytes, attempts, delay_s)
+    return target
+
+
+def _download(url: str, target: str, sha256: str | None, max_bytes: int, attempts: int, delay_s: float) -> None:
     part, last = f"{target}.part{os.getpid()}", None
     for n in range(attempts):
         try:
@@ -31,10 +60,13 @@ def fetch(url: str, target: str, sha256: str | None = None, license_accepted: bo
                     if size > max_bytes:
                         raise InvalidOptions("the archive is too large")
                     out.write(block)
-            if sha256 and digest(part) != sha256.lower():
+            found = digest(part)
+            if sha256 and found != sha256.lower():
                 raise InvalidOptions("the archive has another digest")
             os.replace(part, target)
-            return target
+            with open(f"{target}.sha256", "w") as f:
+                f.write(f"{found}  {os.path.basename(target)}\n")
+            return
         except OSError as e:
             last = e
             time.sleep(delay_s if n + 1 < attempts else 0)

@@ -130,6 +130,10 @@ def test_archive(tmp_path):
     url = packed.as_uri()
     got = archive.fetch(url, str(tmp_path / "b.zip"), archive.digest(str(packed)), license_accepted=True)
     assert os.access(archive.unpack(got, str(tmp_path / "out"), "tool"), os.X_OK)
+    packed.write_bytes(b"other")  # what was fetched is whole by its note, and isn't fetched again
+    assert archive.fetch(url, got, license_accepted=True) == got and archive.digest(got) != archive.digest(str(packed))
+    (tmp_path / "b.zip").write_bytes(b"cut off")
+    assert archive.digest(archive.fetch(url, got, license_accepted=True)) == archive.digest(str(packed))
     for bad in (dict(license_accepted=False), dict(license_accepted=True, sha256="0" * 64), dict(license_accepted=True, max_bytes=3)):
         with pytest.raises(errors.InvalidOptions):
             archive.fetch(url, str(tmp_path / "c.zip"), **bad)
