@@ -35,6 +35,8 @@ from lemmaflow.runtime import arrow_batch, arrow_schema, staged
 DEFAULT_LIMIT = 32_768
 #: Bytes of a range of a text, and code points of the halo that is read with it on either side.
 RANGE, HALO = 65_536, 256
+#: Tasks that ranges or sections are spread over at most; their number is set, as their rows are small and their work isn't.
+MOST_TASKS = 20_000
 #: Bytes of a section of a file. Longer files are first cut at the best natural place in the first range of each further section.
 SECTION = 512 << 20
 _TERMINAL = frozenset(".!?…。！？｡．։።፧؟۔।॥")
@@ -249,7 +251,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, un
     return (out if unique else out.dropDuplicates(["k", "h", "piece_no"])).drop("h").withColumnRenamed("k", key)
 
 
-def _sections(tables: DataFrame, per_section: int, limit: int, overlap: int, around: int) -> DataFrame:
+def _sections(tables: DataFrame, per_section: int, limit: int, overlap: int, around: int, tasks: int) -> DataFrame:
     """(k, piece_no, start, end) of files from the boundary tables of their ranges.
 
     A section is walked by one task from its certain cut to that of the next one; both lie in first
@@ -307,7 +309,7 @@ def _sections(tables: DataFrame, per_section: int, limit: int, overlap: int, aro
         out = walked(held) if held else []
         yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
 
-    pieces = staged(given.repartition("k", "s").sortWithinPartitions("k", "s", "r").mapInArrow(run, ddl), "pieces")
+    pieces = staged(given.repartition(tasks, "k", "s").sortWithinPartitions("k", "s", "r").mapInArrow(run, ddl), "pieces")
     counts = pieces.groupBy("k", "s").agg(F.count("*").alias("c"))
     firsts = counts.select("k", "s", F.coalesce(F.sum("c").over(in_order), F.lit(0)).alias("first"))
     return pieces.join(firsts, ["k", "s"]).select("k", (F.col("first") + F.col("n")).alias("piece_no"), "start", "end")
@@ -347,5 +349,6 @@ def split_files(spark, files: list[tuple[str, int]], limit: int = DEFAULT_LIMIT,
     ranges = listed.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / range_bytes) - 1)).alias("r"), "size")
     ranges = ranges.select("k", "r", (F.col("r") * range_bytes).alias("at"), F.least(F.lit(range_bytes), F.col("size") - F.col("r") * range_bytes).alias("n"))
     # the tables are written once: lengths are summed before the tables are walked
-    tables = staged(ranges.repartition("k", "r").mapInArrow(run, ddl), "boundaries")
-    return _sections(tables, per_section, limit, overlap, min(around, per_section)).withColumnRenamed("k", "path")
+    tasks = lambda size: min(MOST_TASKS, max(1, sum(-(-n // size) for _, n in files)))
+    tables = staged(ranges.repartition(tasks(range_bytes), "k", "r").mapInArrow(run, ddl), "boundaries")
+    return _sections(tables, per_section, limit, overlap, min(around, per_section), tasks(per_section * range_bytes)).withColumnRenamed("k", "path")
