@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.errors import InvalidOptions
 from lemmaflow.runtime import arrow_batch, arrow_schema, staged
 
 #: Fixed value: the limit where none is given.
@@ -42,7 +43,8 @@ SECTION = 512 << 20
 _TERMINAL = frozenset(".!?…。！？｡．։።፧؟۔।॥")
 _WIDE_TERMINAL = frozenset("。！？｡．։።፧।॥")
 _BLANKS = r"\p{Z}\t\n\x0b\x0c\r"
-_TABLE = "units int, cuts array<int>, ranks array<int>, wide array<int>, lead int, inner int, trail int"
+#: A file's boundary table: a cut and its rank share a number, cut * 8 + rank.
+_TABLE = "units int, cuts array<int>, wide array<int>"
 
 
 def boundary_table(before: str, core: str, after: str):
@@ -270,7 +272,8 @@ def _sections(tables: DataFrame, per_section: int, limit: int, overlap: int, aro
 
     def certain(x: dict) -> int:
         """The best cut in the first range of a section, from its start; the start itself if there is none."""
-        return next((c for c, r in zip(x["cuts"], x["ranks"]) if r == max(x["ranks"])), 0)
+        top = max((c % 8 for c in x["cuts"]), default=0)
+        return next((c // 8 for c in x["cuts"] if c % 8 == top), 0)
 
     def walked(rows: list[dict]) -> list[tuple]:
         k, s, base, last = (rows[0][c] for c in ("k", "s", "base", "last"))
@@ -284,8 +287,8 @@ def _sections(tables: DataFrame, per_section: int, limit: int, overlap: int, aro
         for x in rows:
             end = certain(x) if x["own"] > s else x["units"]
             at = walk.total
-            walk.cuts += [at + c for c in x["cuts"] if c <= end]
-            walk.ranks += [r for c, r in zip(x["cuts"], x["ranks"]) if c <= end]
+            walk.cuts += [at + c // 8 for c in x["cuts"] if c // 8 <= end]
+            walk.ranks += [c % 8 for c in x["cuts"] if c // 8 <= end]
             walk.wide += [at + w for w in x["wide"] if w < end]
             walk.total += end
             if x is first and s and walk._inside(walk.start):
@@ -320,8 +323,11 @@ def split_files(spark, files: list[tuple[str, int]], limit: int = DEFAULT_LIMIT,
 
     Tasks read only their byte range and its halo through the file's own file system; a range begins at
     the first whole character at or behind its offset, so that neighbours meet without gap or overlap.
-    A file of more than ``section_bytes`` is walked by several tasks, one for each section.
+    A file of more than ``section_bytes`` is walked by several tasks, one for each section. A range has
+    at most 256 MB.
     """
+    if not 0 < range_bytes <= 256 << 20:
+        raise InvalidOptions("a range has between one byte and 256 MB")
     ddl = f"k string, r bigint, {_TABLE}"
     arrow = arrow_schema(ddl)
     halo = 4 * HALO
@@ -342,7 +348,8 @@ def split_files(spark, files: list[tuple[str, int]], limit: int = DEFAULT_LIMIT,
                 b = _utf8_start(data, min(len(data), x["at"] - lo + x["n"]))
                 left = data[_utf8_start(data, 0) : a].decode("utf-8", "replace")
                 right = data[b:].decode("utf-8", "ignore")
-                out.append((x["k"], x["r"], *boundary_table(left[-HALO:], data[a:b].decode("utf-8", "replace"), right[:HALO])))
+                units, cuts, ranks, wide, *_ = boundary_table(left[-HALO:], data[a:b].decode("utf-8", "replace"), right[:HALO])
+                out.append((x["k"], x["r"], units, (np.array(cuts, np.int32) * 8 + np.array(ranks, np.int32)), wide))
             yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
 
     listed = spark.createDataFrame(files or [("", 0)], "k string, size bigint").where("size > 0")

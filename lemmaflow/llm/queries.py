@@ -50,7 +50,7 @@ def p1_files(spark: SparkSession, d: str) -> DataFrame:
     place = scratch(spark, "files")
     table(spark, d, "documents").where("text is not null").select("text").write.text(place)
     listed = spark.read.format("binaryFile").load(place).select("path", "length").collect()
-    pieces = chunks.split_files(spark, [(r["path"].replace("file:/", "file:///", 1) if r["path"].startswith("file:/") and not r["path"].startswith("file://") else r["path"], r["length"]) for r in listed], 4096, 128, 1 << 20, 8 << 20)
+    pieces = chunks.split_files(spark, [(r["path"].replace("file:/", "file:///", 1) if r["path"].startswith("file:/") and not r["path"].startswith("file://") else r["path"], r["length"]) for r in listed], 4096, 128, 1 << 20, 16 << 20)
     behind = pieces.select("path", (F.col("piece_no") + 1).alias("piece_no"), F.col("end").alias("before"))
     each = pieces.join(behind, ["path", "piece_no"], "left").withColumn("shared", F.coalesce(F.col("before") - F.col("start"), F.lit(128)))
     return each.agg((F.sum(F.col("end") - F.col("start")) - F.sum(F.when(F.col("piece_no") > 0, F.col("shared")).otherwise(0))).alias("n_units"), F.sum((F.col("end") - F.col("start") > 4096).cast("bigint")).alias("too_long"), F.sum((F.abs(F.col("shared") - 128) > 1).cast("bigint")).alias("not_shared"))
