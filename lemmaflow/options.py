@@ -174,11 +174,13 @@ class PoolOptions:
     acquire_timeout_s: float = 2.0
     warmup: int = 0
     min_idle: int = 0
+    hook_timeout_s: float = 2.0
+    background_replenishment: bool = True
 
     def __post_init__(self) -> None:
         _require(self.max_size > 0 and self.max_requests_per_worker > 0, "sizes must be positive")
         _require(0 <= self.warmup <= self.max_size and 0 <= self.min_idle <= self.max_size, "warm-up and idle within the size")
-        _require(self.max_worker_age_s >= 0 and self.acquire_timeout_s > 0, "times must be positive")
+        _require(self.max_worker_age_s >= 0 and self.acquire_timeout_s > 0 and self.hook_timeout_s > 0, "times must be positive")
 
 
 @dataclass(frozen=True)

@@ -115,8 +115,9 @@ class OneShot:
 class Session:
     """A long-lived process: a line in, a line out; after a failure it is of no more use."""
 
-    def __init__(self, command: list[str], options: AnalyzerOptions = AnalyzerOptions(), limits: Limits = Limits()):
+    def __init__(self, command: list[str], options: AnalyzerOptions = AnalyzerOptions(), limits: Limits = Limits(), close_timeout_s: float = 2.0):
         options.check_for(ExecutionMode.SESSION)
+        self.close_timeout_s = close_timeout_s
         self.limits, self.encoding = limits, str(options.encoding or Encoding.UTF_8)
         try:
             self.process = subprocess.Popen([*command, *options.arguments()], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, bufsize=0)
@@ -191,30 +192,59 @@ class Session:
                 pipe.close()
             except OSError:
                 pass
-        self.process.wait()
+        try:
+            self.process.wait(self.close_timeout_s)
+        except subprocess.TimeoutExpired:
+            pass  # it was told to end; nobody waits for it any longer
 
 
 class Pool:
     """Sessions for the requests of one task, lent to one request at a time.
 
-    ``warmup`` sessions start at once; after each request enough are started to have ``min_idle`` free.
+    ``warmup`` sessions start at once; after each request enough are started to have ``min_idle`` free, by
+    a thread of their own with ``background_replenishment``, else before the request's answer is given.
     A session that is spent, too old, idle too long or broken is replaced. A request that finds all
     ``max_size`` sessions lent waits ``acquire_timeout_s`` at most.
     """
 
     def __init__(self, command: list[str], options: AnalyzerOptions, limits: Limits, pool: PoolOptions):
-        self._new = lambda: Session(command, options, limits)
+        self._new = lambda: Session(command, options, limits, pool.hook_timeout_s)
         self.pool, self.limits = pool, limits
         self._free: deque[Session] = deque()
         self._changed = threading.Condition()
-        self._lent = self.started = 0
+        self._lent = self._starting = self.started = 0
         self._closed = False
         self._fill(max(pool.warmup, pool.min_idle))
 
     def _fill(self, least: int) -> None:
-        while not self._closed and len(self._free) < least and self._lent + len(self._free) < self.pool.max_size:
-            self._free.append(self._new())
-            self.started += 1
+        """Starts sessions until ``least`` are free or the pool is full; others may be lent meanwhile."""
+        while True:
+            with self._changed:
+                if self._closed or len(self._free) >= least or self._lent + len(self._free) + self._starting >= self.pool.max_size:
+                    return
+                self._starting += 1
+            s = None
+            try:
+                s = self._new()
+            finally:
+                with self._changed:
+                    self._starting -= 1
+                    if s is not None:
+                        self.started += 1
+                        self._free.append(s)
+                    if self._closed:
+                        self._end_free()
+                    self._changed.notify()
+
+    def _replenish(self) -> None:
+        try:
+            self._fill(self.pool.min_idle)
+        except EngineStartup:
+            pass  # the next request that needs a session meets the same failure
+
+    def _end_free(self) -> None:
+        while self._free:
+            self._free.popleft().close()
 
     def _usable(self, s: Session) -> bool:
         now = time.monotonic()
@@ -233,7 +263,7 @@ class Pool:
                         self._lent += 1
                         return s
                     s.close()
-                if self._lent < self.pool.max_size:
+                if self._lent + self._starting < self.pool.max_size:
                     self._lent += 1
                     break
                 if not self._changed.wait(max(0.0, until - time.monotonic())) and time.monotonic() >= until:
@@ -255,8 +285,12 @@ class Pool:
                     s.close()
                 else:
                     self._free.append(s)
-                self._fill(self.pool.min_idle)
             self._changed.notify()
+        if s is not None and self.pool.min_idle:
+            if self.pool.background_replenishment:
+                threading.Thread(target=self._replenish, daemon=True).start()
+            else:
+                self._replenish()
 
     def ask(self, text: str) -> tuple[str, Stats]:
         s = self._acquire()
@@ -270,8 +304,7 @@ class Pool:
         """Ends the free sessions now and lent ones when they come back."""
         with self._changed:
             self._closed = True
-            while self._free:
-                self._free.popleft().close()
+            self._end_free()
             self._changed.notify_all()
 
 

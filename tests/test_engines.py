@@ -3,6 +3,7 @@
 import os
 import stat
 import sys
+import time
 import zipfile
 
 import pytest
@@ -95,8 +96,19 @@ def test_pools():
     assert warm.ask("x")[0] and warm.started >= 3
     for q in (warm, waiting):
         q.close()
+    for background in (False, True):
+        filled = pool(max_size=3, min_idle=2, background_replenishment=background)
+        one = filled._acquire()
+        filled._give_back(one)
+        filled._acquire().close()
+        filled.ask("x")
+        until = time.monotonic() + 5
+        while len(filled._free) < 2 and time.monotonic() < until:
+            time.sleep(0.02)
+        assert len(filled._free) == 2
+        filled.close()
     old = pool(max_worker_age_s=0.01)
-    old.ask("x"), __import__("time").sleep(0.05), old.ask("x")
+    old.ask("x"), time.sleep(0.05), old.ask("x")
     assert old.started == 2
     old.close()
     from concurrent.futures import ThreadPoolExecutor
