@@ -11,7 +11,8 @@ are kept together if they occur together more often than apart, by the geometric
 of several words pays for being one: the price, learned in each round, is the logarithm of how many
 recurring groups of words are parted for each that is kept, and the occurrences of a value share it.
 
-A group of words that occurs once, or that even all its occurrences could not lift above what its words
+Of groups that always occur within the same longer group, by words that are never certain alone, only
+the longer one counts. A group of words that occurs once, or that even all its occurrences could not lift above what its words
 are certain to be alone, is never kept in any round; such candidates are dropped before the first, and
 segments without any other are parted at once. A value kept together has at most ``longest`` words.
 
@@ -83,6 +84,14 @@ def candidates(text: str, longest: int) -> list[tuple[int, int, str]]:
     return [(i, j, text[spans[i][0] : spans[j - 1][1]].strip(_EDGE)) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1)]
 
 
+def _shortened(value: str) -> list[tuple[str, str]]:
+    """A group of three or more words without its first and without its last word, and the word left out."""
+    spans = [m.span() for m in _ATOM.finditer(value)]
+    if len(spans) < 3:
+        return []
+    return [(value[spans[1][0] :].strip(_EDGE), value[: spans[0][1]].strip(_EDGE)), (value[: spans[-2][1]].strip(_EDGE), value[spans[-1][0] :].strip(_EDGE))]
+
+
 def weight(words: int, count: float, seen: int, price: float) -> float:
     """What a value adds to a path: its frequency, once for each word, less its share of the price."""
     return words * math.log(count + PRIOR) - (words - 1) * price / seen
@@ -143,6 +152,10 @@ def learn_splits(open_segments: DataFrame, fixed: DataFrame, rounds: int, longes
     every = staged(every, "packed-edges")
     certain = fixed.groupBy("value").agg(F.sum("n").cast("double").alias("c"))
     groups = every.where("j - i > 1").groupBy("value").agg(F.sum("n").alias("seen")).where("seen > 1")
+    groups = staged(groups, "packed-recurring")
+    within = map_rows(groups, "value string, seen bigint, word string", lambda x: ((v, x["seen"], w) for v, w in _shortened(x["value"])))
+    within = within.join(certain.withColumnRenamed("value", "word"), "word", "left_anti").select("value", "seen").distinct()
+    groups = groups.join(within, ["value", "seen"], "left_anti")
     words = map_rows(groups, "value string, seen bigint, words int, word string", lambda x: ((x["value"], x["seen"], len(w), y) for w in [_ATOM.findall(x["value"])] for y in w))
     alone = words.join(certain.withColumnRenamed("value", "word"), "word", "left").groupBy("value", "seen", "words").agg(F.sum(F.log(F.coalesce("c", F.lit(0.0)) + PRIOR)).alias("apart"))
     judged = staged(alone.select("value", "seen", "words", (F.col("words") * F.log(F.col("seen") + PRIOR) > F.col("apart")).alias("may")), "packed-groups")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from lemmaflow.errors import InvalidOptions
 
 
+#: Rows of a batch that a task hands on at once.
+MOST_ROWS = 50_000
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One Parquet table of the directory ``base``."""
     return spark.read.parquet(f"{base}/{name}.parquet")
@@ -109,7 +114,9 @@ def map_rows(df: DataFrame, ddl: str, rows) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [r for x in batch.to_pylist() for r in rows(x)]
-            yield arrow_batch(arrow, zip(*out) if out else [[] for _ in arrow])
+            made = (r for x in batch.to_pylist() for r in rows(x))
+            # one row may make very many: they go on in parts
+            while out := list(islice(made, MOST_ROWS)):
+                yield arrow_batch(arrow, zip(*out))
 
     return df.mapInArrow(run, ddl)

@@ -59,6 +59,13 @@ def test_words_with_many_partners_part_without_any_certain_value(spark):
     assert {v for _, _, v in values(spark, rows)} == {"S", "V", "A", "ADV", "NUM", "ед", "мн", "муж", "жен", "сред"}
 
 
+def test_a_very_long_field(spark):
+    rows = column((" ".join(f"w{n % 100}" for n in range(600)), 1), ("S;часть речи;муж", 40), ("S;собств имя сущ;муж", 40), ("S;вид глагола муж", 30))
+    got = values(spark, rows)
+    assert {v for k, _, v in got if k > 0} == {"S", "часть речи", "муж", "собств имя сущ", "вид глагола"}
+    assert " ".join(v for k, _, v in got if k == 0) == " ".join(f"w{n % 100}" for n in range(600))
+
+
 def test_lattice():
     edges = [dict(i=0, j=1, value="a", w=-0.7), dict(i=1, j=2, value="b", w=-0.7), dict(i=0, j=2, value="a b", w=-1.6)]
     assert best_path(edges) == ["a", "b"]
