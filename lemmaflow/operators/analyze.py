@@ -27,7 +27,7 @@ from lemmaflow.functions.text import CONTROL_MESSAGE, LINE_MESSAGE, NONCHARACTER
 from lemmaflow.operators.parse import align, parse_tokens
 from lemmaflow.operators.tokens import Tokenizer, from_utf16, to_utf16
 from lemmaflow.options import AnalysisOptions, OversizedPolicy, PositionPolicy, TokenizerOptions
-from lemmaflow.runtime import arrow_batch, arrow_schema
+from lemmaflow.runtime import MOST_ROWS, arrow_batch, arrow_schema
 
 STATS = "struct<elapsed_ms:double,mode:string,in_chars:int,in_bytes:int,out_chars:int,out_bytes:int>"
 #: Tokens that are analyzed already; offsets in UTF-16 units, -1 where unknown.
@@ -147,6 +147,13 @@ def postings_of(tokens: list[tuple], positions: PositionPolicy) -> tuple[list[tu
     return out, pending - 1
 
 
+def end_increment(tokens: list[tuple], positions: PositionPolicy) -> int:
+    """The increment that postings_of() leaves at the end: the tokens that are left out behind the last posting, if they count."""
+    if positions != PositionPolicy.PRESERVE:
+        return 0
+    return next((n for n, t in enumerate(reversed(tokens)) if t[3] not in SKIPPED), len(tokens))
+
+
 def _describe(e: LemmaflowError) -> str:
     return str(e) if isinstance(e, AnswerError) else f"{type(e).__name__}: {e}"
 
@@ -182,8 +189,12 @@ class _Source:
         self.extra = [F.col(text).cast("string"), (F.col(answers) if answers else F.lit(None)).cast(ANSWERS), (F.col(deltas) if deltas else F.lit(None)).cast(DELTAS)]
         self.tokenizer, self.options, self.mode = tokenizer, options, mode
 
-    def rows(self, ddl: str, made, nothing: tuple | None = None) -> DataFrame:
-        """``made(found)`` gives the rows of an analyzed document; ``nothing`` is the row of a null text, if it has any."""
+    def rows(self, ddl: str, made, nothing: tuple | None = None, weight=None) -> DataFrame:
+        """``made(found)`` gives the rows of an analyzed document; ``nothing`` is the row of a null text, if it has any.
+
+        Rows go on as soon as there are MOST_ROWS, whatever the size of the batch they come from; ``weight(row)``
+        tells how many a row counts for that holds lists.
+        """
         types, lenient = dict(self.df.dtypes), self.mode == "PERMISSIVE"
         head = ", ".join(f"`{c}` {types[c]}" for c in self.kept)
         whole = f"{head}, {ddl}" + (", error string" if lenient else "")
@@ -204,17 +215,25 @@ class _Source:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokenizer = Tokenizer(tokenizer_options)
             for batch in batches:
+
+                def parts(index: list[int], out: list[tuple]) -> Iterator[pa.RecordBatch]:
+                    for a in range(0, len(out), MOST_ROWS):
+                        picked = pa.array(index[a : a + MOST_ROWS], pa.int64())
+                        columns = [batch.column(i).take(picked) for i in range(fixed)]  # noqa: B023
+                        yield arrow_batch(arrow, [*columns, *zip(*out[a : a + MOST_ROWS])])
+
                 index: list[int] = []
                 out: list[tuple] = []
+                held = 0
                 for n, x in enumerate(zip(*(batch.column(fixed + i).to_pylist() for i in range(3)))):
                     got = of(*x, tokenizer)
                     out += got
                     index += [n] * len(got)
-                for a in range(0, max(len(out), 1), 50_000):
-                    part = out[a : a + 50_000]
-                    picked = pa.array(index[a : a + 50_000], pa.int64())
-                    columns = [batch.column(i).take(picked) for i in range(fixed)]
-                    yield arrow_batch(arrow, [*columns, *(zip(*part) if part else [[] for _ in range(len(arrow) - fixed)])])
+                    held += sum(map(weight, got)) if weight else len(got)
+                    if held >= MOST_ROWS:
+                        yield from parts(index, out)
+                        index, out, held = [], [], 0
+                yield from parts(index, out)
 
         return self.df.select(*self.kept, *[c.alias(f"_x{n}") for n, c in enumerate(self.extra)]).mapInArrow(run, whole)
 
@@ -223,11 +242,22 @@ def analyze(df: DataFrame, key: str, text: str, answers: str | None = None, toke
     """One row per document: tokens, issues, final_offset and end_increment; a null or failed text has none of them."""
 
     def rows(found: Analysis) -> list[tuple]:
-        tokens = [{"text": t, "start": s, "end": e, "type": k, "forms": [{"text": f, "keyword": w} for f, w in forms]} for t, s, e, k, forms in found.tokens]
-        issues = [{"type": k, "message": m, "offset": o, "length": n} for k, m, o, n in found.issues]
-        return [(tokens, issues, found.final, postings_of(found.tokens, options.positions)[1])]
+        # tuples in the order of the structs' fields
+        return [(found.tokens, found.issues, found.final, end_increment(found.tokens, options.positions))]
+
+    def weight(row: tuple) -> int:
+        return 1 + len(row[0]) + len(row[1])
+
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows(f"tokens {TOKENS}, issues {ISSUES}, final_offset int, end_increment int", rows, ([], [], 0, 0), weight)
+
+
+def document_ends(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:
+    """One row per document: final_offset, end_increment and n_tokens, as analyze() has them; the tokens stay where they are made."""
+
+    def rows(found: Analysis) -> list[tuple]:
+        return [(found.final, end_increment(found.tokens, options.positions), len(found.tokens))]
 
-    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows(f"tokens {TOKENS}, issues {ISSUES}, final_offset int, end_increment int", rows, ([], [], 0, 0))
+    return _Source(df, key, text, answers, tokenizer, options, keep, mode, engine, deltas).rows("final_offset int, end_increment int, n_tokens bigint", rows, (0, 0, 0))
 
 
 def search_tokens(df: DataFrame, key: str, text: str, answers: str | None = None, tokenizer: TokenizerOptions = TokenizerOptions(), options: AnalysisOptions = AnalysisOptions(), keep: tuple[str, ...] = (), mode: str = "FAILFAST", engine=None, deltas: str | None = None) -> DataFrame:

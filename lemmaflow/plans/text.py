@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions import text as T
 from lemmaflow.functions.sql import register
-from lemmaflow.operators import lemmas, nested, search
-from lemmaflow.operators.analyze import analyze, document_stats, document_terms, reader_chunks, search_tokens, term_stream
+from lemmaflow.operators import analyze, lemmas, nested, search
+from lemmaflow.operators.analyze import document_stats, document_terms, reader_chunks, search_tokens, term_stream
 from lemmaflow.operators.parse import align
 from lemmaflow.operators.tokens import to_utf16
 from lemmaflow.options import AnalysisOptions, PositionPolicy, TokenizerOptions
@@ -67,8 +67,8 @@ def doc_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_ends(spark: SparkSession, d: str) -> DataFrame:
-    found = analyze(_docs(spark, d), "doc_id", "text", tokenizer=SEARCH, options=PRESERVE)
-    return found.select("doc_id", F.col("final_offset").cast("bigint").alias("final_offset"), F.col("end_increment").cast("bigint").alias("end_increment"), F.size("tokens").cast("bigint").alias("n_tokens"))
+    found = analyze.document_ends(_docs(spark, d), "doc_id", "text", tokenizer=SEARCH, options=PRESERVE)
+    return found.select("doc_id", F.col("final_offset").cast("bigint").alias("final_offset"), F.col("end_increment").cast("bigint").alias("end_increment"), "n_tokens")
 
 
 def analyzed_query(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lemmaflow import errors
 from lemmaflow.functions.sql import register
 from lemmaflow.operators import search
-from lemmaflow.operators.analyze import analyze, corrected, term_stream
+from lemmaflow.operators.analyze import analyze, corrected, document_ends, search_tokens, term_stream
 from lemmaflow.options import AnalysisOptions, AnalyzerOptions, ClientPolicy, Encoding, ExecutionProfile, Limits, OutputFormat, OversizedPolicy, PoolOptions, PositionPolicy, TokenizerOptions
 from lemmaflow.sources import archive, files, process
 from lemmaflow.sources.engines import DictionaryEngine, NoEngine, PrecomputedEngine, ProcessEngine, check_policy, request_stats
@@ -310,3 +310,41 @@ def test_first_deliveries_keep_the_rows_where_they_lie(spark, tmp_path):
         got = first_deliveries(spark.read.parquet(f"{tmp_path}/t"), "k", "k", "t", most=most)
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "a"), (2, "b"), (None, "d"), (None, "e"), (3, None)]))
     assert first_deliveries(spark.read.parquet(f"{tmp_path}/t").where("k > 5"), "k", "k", "t").count() == 0
+
+
+class Parts:
+    """Stands for a DataFrame: gives the batches that one task makes of one batch."""
+
+    def __init__(self, texts):
+        self.texts, self.dtypes = texts, [("doc_id", "bigint"), ("text", "string")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        import pyarrow as pa
+
+        nulls = pa.nulls(len(self.texts))
+        return list(run(iter([pa.record_batch([pa.array(range(len(self.texts))), pa.array(self.texts), nulls, nulls], ["doc_id", "_x0", "_x1", "_x2"])])))
+
+
+def test_a_task_holds_few_tokens_at_once(spark):
+    """A batch has ten thousand documents; what is made of them goes on in parts."""
+    texts = [f"слово {n} и ещё " * 200 for n in range(100)] + [None, ""]
+    whole = analyze(Parts(texts), "doc_id", "text")
+    assert [n for b in whole for n in b.column(0).to_pylist()] == list(range(102))
+    sizes = [sum(map(len, b.column(1).to_pylist())) for b in whole]
+    assert sum(sizes) == 160_000 and max(sizes) < 52_000
+    rows = search_tokens(Parts(texts), "doc_id", "text")
+    assert sum(b.num_rows for b in rows) == 160_000 and max(b.num_rows for b in rows) <= 50_000
+
+
+@pytest.mark.parametrize("positions", list(PositionPolicy))
+def test_ends_of_documents_are_those_of_their_tokens(spark, positions):
+    df = spark.createDataFrame([(1, "Раз, два! "), (2, " ... "), (3, ""), (4, None), (5, "😀 слово")], "doc_id bigint, text string")
+    options = AnalysisOptions(positions=positions)
+    whole = analyze(df, "doc_id", "text", options=options).select("doc_id", "final_offset", "end_increment", F.size("tokens").cast("bigint"))
+    got = {tuple(r) for r in document_ends(df, "doc_id", "text", options=options).collect()}
+    assert got == {tuple(r) for r in whole.collect()}
+    left = {r[0]: r[2] for r in got}
+    assert left == ({1: 2, 2: 3, 3: 0, 4: 0, 5: 0} if positions == PositionPolicy.PRESERVE else dict.fromkeys(range(1, 6), 0))
