@@ -160,6 +160,42 @@ def test_samples_are_whole_texts(spark):
     assert mojibake.sample_texts(df, "k", "t") == {"ru": f"\n{text}\n{text}"}
 
 
+def test_every_sound_text_is_learned_from(spark):
+    texts = [f"Мама мыла раму и пела песню номер {n}, потому что вечер был тихий." for n in range(1000)]
+    df = spark.createDataFrame([*enumerate(texts), (None, "Лишняя строка без ключа, её никто не считает."), (2000, "Домик")], "k bigint, t string").repartition(5)
+    samples, counts = mojibake.learn(df, "k", "t")
+    assert sorted(samples["ru"].split("\n")) == sorted(["", "Домик", *texts])
+    number, size = mojibake._letters()
+    assert counts["ru"].sum() == sum(len(t) + 1 for t in [*texts, "Домик"])
+    assert counts["ru"][number[ord("М")] * size + number[ord("а")]] == 1000
+
+
+def test_a_large_language_gives_the_words_that_save_most(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(mojibake, "DICTIONARY_CHARS", 700)
+    rng = random.Random(4)
+    texts = [" ".join(f"слово{rng.choice('абвгд')}{int(rng.expovariate(0.05))}" for _ in range(12)) + "." for _ in range(3000)]
+    texts = [t.capitalize() for t in texts]
+    samples, _ = mojibake.learn(spark.createDataFrame([*enumerate(texts)], "k bigint, t string").repartition(7), "k", "t")
+    found = Counter(w for t in texts for w in t.split(" "))
+    best = sorted(found, key=lambda w: (-(found[w] - 1) * (len(w.encode()) - 3) / (len(w) + 1), w.encode()))
+    room, want = 700, []
+    for w in best:
+        room -= len(w) + 1
+        if room < 0:
+            break
+        want.append(w)
+    assert samples == {"ru": " ".join(want[::-1])}
+
+
+def test_soundness_of_a_batch_equals_that_of_each_text():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aбВÀñЂ¤─\x85 .\nўіАZзё÷😀?�") for _ in range(rng.randint(1, 9))) for _ in range(5000)] + SOUND
+    want = [None if mojibake.SUSPECT.search(t) or mojibake._one_case(t) or mojibake.is_lost(t) else mojibake.language_of(t) for t in texts]
+    assert mojibake.Tally().sound(texts)[0] == want and len(set(want)) > 5
+
+
 def test_lost():
     assert mojibake.is_lost("Ве�ер") and mojibake.is_lost("??? ????? ??") and mojibake.is_lost("sch?n")
     assert not mojibake.is_lost("Что?! Да??? Нет? http://a.b/?q=1 ok") and not mojibake.is_lost("")
